@@ -103,11 +103,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     The ids are cut into many ranges of about equal counts (quantiles, each then
     cut evenly), so the neighbour search shuffles every text once and no task
     gets more than its ranges. The first document of each range is also sent to
-    the range before it, where it serves as the last one's neighbour only; what
-    the driver sees is one id per range. Rows of equal doc_id follow each other
+    the range before it, where it serves as the last one's neighbour only; that
+    list has one id per range, so its size is bounded by the number of partitions. Rows of equal doc_id follow each other
     by descending text; null ids come last.
     """
-    spark = docs.sparkSession
     low = -(2**63)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("at").filter(F.col("at") > low)
@@ -116,7 +115,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         bucket = F.lit(0).cast("long")
     else:
         edges = sorted(set(cuts)) + [max(cuts) + 1]
-        fine = max(1, -(-parallelism(spark) * RANGES_PER_PARTITION // CUTS))
+        fine = max(1, -(-parallelism(docs.sparkSession) * RANGES_PER_PARTITION // CUTS))
         edge = F.lit(edges).cast("array<bigint>")
         part = F.greatest(F.size(F.filter(edge, lambda e: e <= F.col("at"))), F.lit(1))
         lo, hi = F.get(edge, part - 1), F.get(edge, part)
@@ -124,11 +123,11 @@ def with_next(docs: DataFrame) -> DataFrame:
         inner = F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share * fine)))
         bucket = F.when(F.col("at") == low, F.lit(-1).cast("long")).otherwise(part.cast("long") * fine + inner)
     placed = rows.withColumn("bucket", bucket)
-    heads = [(r.bucket, r.head) for r in placed.groupBy("bucket").agg(F.max("at").alias("head")).orderBy(F.desc("bucket")).collect()]
-    # heads[i] also goes to the range before it in this order; the very first to the last range.
-    sent = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    extra = spark.createDataFrame(sent or [(low, 0)], "at long, to long")
-    moved = placed.join(F.broadcast(extra), "at", "left")
+    heads = placed.groupBy("bucket").agg(F.max("at").alias("at"))
+    # each range's first document also goes to the range before it in this order; the very first to the last range
+    down = Window.orderBy(F.desc("bucket"))
+    sent = heads.select("at", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy())).alias("to"))
+    moved = placed.join(F.broadcast(sent), "at", "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("guest"))
     both = moved.select("doc_id", "at", "text", sketch(F.col("text")).alias("sketch"), F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("p"))
