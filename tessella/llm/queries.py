@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, licenses, quality, toxicity
+from . import chat, decontaminate, fingerprints, language, licenses, mixing, nearduplicates, quality, substrings, toxicity
 from .common import read
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -16,6 +16,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_report(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,8 +46,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_events(chat.conversation_events(rows.unionByName(extra))))
 
 
+def op9_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.report(read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_licenses, op4_quality, op5_decontaminate, op7_toxicity, op8_chat)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_licenses, op4_quality, op5_decontaminate, op6_substrings, op7_toxicity, op8_chat, op9_nearduplicates, op10_mixing)}
 
 
 _OP8 = f"""
