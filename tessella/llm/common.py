@@ -16,14 +16,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() needs a folder that all executors share; the session's own setting wins.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's spark.checkpoint.dir, else (tests, a single machine) a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessella"
+
 
-    Only where the session names none (tests, a single machine) a local folder is set.
-    """
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """checkpoint() needs a folder that all executors share; one that is set already stays."""
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or "/tmp/checkpoints/tessella")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def parallelism(spark: SparkSession) -> int:
