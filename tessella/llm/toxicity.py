@@ -211,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(1)], ["e", "n", "label"])
 
     rows = sample.select("text", "label").mapInArrow(stats, "e double, n double, label int").collect()
-    x = np.array([[1.0, r.e, r.n] for r in rows]).reshape(-1, 3)
+    if not rows:
+        return Model()
+    x = np.array([[1.0, r.e, r.n] for r in rows])
     y = np.array([float(r.label) for r in rows])
     weight = np.where(y == 1, counts[1] / max((y == 1).sum(), 1), counts[0] / max((y == 0).sum(), 1))
     model.beta = logistic(x, y, weight / weight.mean(), ridge=0.1)
