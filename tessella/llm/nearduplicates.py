@@ -15,11 +15,13 @@ aligned k-mers over all k-mers of the two texts together, at least
 `SIMILARITY`.
 
 Scale. Equal word sequences collapse to one representative first, by digest.
-A band group never expands into all its pairs: all members are compared with
-the group's smallest member; members unlike it elect further leaders among
-themselves and all members are compared with those, until each member is a
-leader or like one. Links are (leader, member); classes are their connected
-components by iterated smallest label with pointer jumping. Groups are keys of
+A band group never expands into its pairs: each member is compared with the
+group's lead, the member in most company over all bands, which is the text that
+the others are copies of. Members that end up in other classes than the leads
+of their group meet again under longer keys (four sketches), so texts that are
+alike but unlike the lead, such as copies of a copy, still find each other. Each
+text is in at most twelve and 24 comparisons, whatever the size of a group.
+Classes are the connected components of the links. Groups are keys of
 joins and sums only; no group is collected. Lineage is cut with checkpoint().
 
 Cases: null and wordless texts are near-duplicates of equal raw text only
@@ -34,7 +36,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -44,8 +46,10 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES, ROWS = 24, 2
 BANDS = SKETCHES // ROWS
-#: Leaders a band group elects at once after the first round.
-LEADERS = 16
+#: Longer keys of the second round.
+LONG_ROWS, LONG_BANDS = 4, 24
+#: So many ids (8 bytes each) at most are sent to all tasks; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _SEEDS = textnum.mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:SKETCHES, None], _SEEDS[SKETCHES:, None] | np.uint64(1)
@@ -66,8 +70,8 @@ def labelled_kmers(hashes: np.ndarray) -> np.ndarray:
     return np.where(occurrence > 0, textnum.mix(k + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), k)
 
 
-def bands(kmers: np.ndarray) -> np.ndarray:
-    """BANDS hashes of the Order MinHash sketches of a text (none without k-mers)."""
+def sketch(kmers: np.ndarray) -> np.ndarray:
+    """SKETCHES Order MinHash values of a text (none without k-mers)."""
     n = len(kmers)
     if not n:
         return np.zeros(0, np.uint64)
@@ -78,14 +82,22 @@ def bands(kmers: np.ndarray) -> np.ndarray:
     else:
         low = np.broadcast_to(np.arange(n), (SKETCHES, n))
     picked = kmers[low]
-    sketch = picked[:, 0]
-    if picked.shape[1] > 1:
-        sketch = textnum.mix(sketch * np.uint64(0x9E3779B97F4A7C15) + picked[:, 1])
-    rows = sketch.reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        out = textnum.mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + rows[:, i])
-    return out
+    if picked.shape[1] == 1:
+        return picked[:, 0]
+    return textnum.mix(picked[:, 0] * np.uint64(0x9E3779B97F4A7C15) + picked[:, 1])
+
+
+def bands(rows: int, count: int) -> list[list[int]]:
+    """Which sketches each of `count` keys of `rows` sketches takes: disjoint while there are enough, then drawn."""
+    if rows * count <= SKETCHES:
+        return [list(range(i * rows, (i + 1) * rows)) for i in range(count)]
+    draw = np.random.default_rng(9)
+    return [sorted(draw.choice(SKETCHES, rows, replace=False).tolist()) for _ in range(count)]
+
+
+def band_keys(sketch_column: Column, rows: int, count: int) -> Column:
+    """array<bigint>: one key a band."""
+    return F.array(*(F.xxhash64(F.lit(k), *(F.get(sketch_column, F.lit(i)) for i in band)) for k, band in enumerate(bands(rows, count))))
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, wanted: float = SIMILARITY) -> float:
@@ -113,7 +125,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, wanted: float = SIMILARITY)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, c1, c2 (digest of the word sequence, or of the raw text where there are no words), bands."""
+    """doc_id, c1, c2 (digest of the word sequence, or of the raw text where there are no words), sketch."""
 
     def run(batches):
         for batch in batches:
@@ -128,13 +140,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                     if len(h):
                         place = np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                         c[0, i], c[1, i] = textnum.mix(h + place).sum(), textnum.mix((h ^ np.uint64(0xA0761D6478BD642F)) + textnum.mix(place)).sum()
-                        found.append(bands(labelled_kmers(h)).view(np.int64) if len(h) > K else [])
+                        found.append(sketch(labelled_kmers(h)).view(np.int64) if len(h) > K else [])
                     else:
                         c[:, i] = [int.from_bytes(_digest(raw[i] or "")[j : j + 8], "little") for j in (0, 8)]
                         found.append([])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "c1", "c2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, c1 long, c2 long, sketch array<long>")
 
 
 def _digest(text: str) -> bytes:
@@ -144,7 +156,7 @@ def _digest(text: str) -> bytes:
 
 
 def _kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, kmers of the documents named in ids."""
+    """id, kmers of the documents named in ids (checkpointed)."""
 
     def run(batches):
         for batch in batches:
@@ -153,8 +165,9 @@ def _kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 lists = [labelled_kmers(w.hash[w.first[i] : w.first[i + 1]]).view(np.int64) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(lists, pa.list_(pa.int64()))], ["id", "kmers"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, kmers array<long>")
+    few = ids.count() <= BROADCAST_IDS  # else the texts meet the ids in a shuffle
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return rows.mapInArrow(run, "id long, kmers array<long>").dropDuplicates(["id"]).checkpoint()
 
 
 def _verify(pairs: DataFrame, kmers: DataFrame, wanted: float) -> DataFrame:
@@ -173,26 +186,37 @@ def _verify(pairs: DataFrame, kmers: DataFrame, wanted: float) -> DataFrame:
     return joined.select("lead", "id", "kmers", "other").mapInArrow(run, "lead long, id long, alike boolean")
 
 
-def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> DataFrame:
-    """lead, id: verified links between representatives of different texts (checkpointed)."""
-    banded = contents.select("rep", F.explode("bands").alias("band")).groupBy("band", "rep").count().drop("count")
-    groups = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = banded.join(groups, "band").select("band", F.col("rep").alias("id"), "lead").checkpoint()
-    kmers = _kmer_table(docs, members.select("id").distinct()).dropDuplicates(["id"]).checkpoint()
-    tested = _verify(members.filter("id <> lead").select("lead", "id").distinct(), kmers, wanted).checkpoint()
-    open_ = members.filter("id <> lead").join(tested.filter("not alike"), ["lead", "id"], "left_semi").select("band", "id").checkpoint()
-    while not open_.isEmpty():
-        # members unlike every leader so far elect further leaders; all members are compared with them
-        chosen = open_.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("id"))).filter(F.col("r") <= LEADERS).select("band", F.col("id").alias("lead"))
-        pairs = members.select("band", "id").join(chosen, "band").filter("id <> lead")
-        fresh = pairs.select("lead", "id").distinct().join(tested.select("lead", "id"), ["lead", "id"], "left_anti")
-        fresh = fresh.join(tested.select(F.col("id").alias("lead"), F.col("lead").alias("id")), ["lead", "id"], "left_anti")
-        tested = tested.unionByName(_verify(fresh, kmers, wanted)).checkpoint()
-        like = tested.filter("alike")
-        both = like.select("lead", "id").unionByName(like.select(F.col("id").alias("lead"), F.col("lead").alias("id")))
-        done = pairs.join(both, ["lead", "id"], "left_semi").select("band", "id").unionByName(chosen.select("band", F.col("lead").alias("id"))).distinct()
-        open_ = open_.join(done, ["band", "id"], "left_anti").checkpoint()
-    return tested.filter("alike").select("lead", "id")
+def _members(keyed: DataFrame) -> DataFrame:
+    """key, id, lead of all groups of two or more, from (id, keys). The lead is the member in most company.
+
+    Company is the sum of the sizes of all groups an id is in: the text that
+    most others are near to, so most members are near to it.
+    """
+    rows = keyed.select("id", F.explode("keys").alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = rows.join(groups, "key")
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    leads = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top"))
+    return members.join(leads.select("key", (-F.col("top.minus")).alias("lead")), "key").select("key", "id", "lead")
+
+
+def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
+    """(lead, id) of verified links between different texts, and (id, label) of their components."""
+    first = _members(contents.select("id", band_keys(F.col("sketch"), ROWS, BANDS).alias("keys"))).select("id", "lead").distinct().checkpoint()
+    ids = first.select("id").distinct().checkpoint()
+    kmers = _kmer_table(docs, ids)
+    links = _verify(first.filter("id <> lead"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
+    labels = components(links)
+    # members in other classes than their lead meet again under longer keys, whose groups are smaller and more alike
+    grouped = contents.join(ids, "id", "left_semi")
+    second = _members(grouped.select("id", band_keys(F.col("sketch"), LONG_ROWS, LONG_BANDS).alias("keys"))).filter("id <> lead").select("id", "lead").distinct()
+    of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    apart = second.join(of("id"), "id", "left").join(of("lead"), "lead", "left").filter(F.coalesce("id_label", "id") != F.coalesce("lead_label", "lead")).select("lead", "id")
+    more = _verify(apart.join(first, ["lead", "id"], "left_anti"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more).dropDuplicates(["lead", "id"]).checkpoint()
+    return links, components(links)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,10 +238,9 @@ def classes(docs: DataFrame, wanted: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id of equal words), n_links (to different texts)."""
     ensure_checkpoint_dir(docs.sparkSession)
     sketches = sketched(docs).checkpoint()
-    contents = sketches.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    contents = sketches.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("n"))
     contents = contents.checkpoint()
-    links = _links(docs, contents.select("rep", "bands").dropDuplicates(["rep"]), wanted)
-    labels = components(links)
+    links, labels = _links(docs, contents.filter(F.size("sketch") > 0).select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"]), wanted)
     counted = links.select("id").unionByName(links.select(F.col("lead").alias("id"))).groupBy("id").count()
     of_rep = labels.join(counted, "id").select(F.col("id").alias("rep"), "label", "count")
     copies = contents.filter("n > 1").select("c1", "c2", "rep")

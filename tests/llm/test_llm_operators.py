@@ -460,17 +460,23 @@ def test_near_duplicates_against_brute_force(spark):
             assert b in seen
 
 
-def test_near_duplicates_unlike_members_elect_leaders(spark, monkeypatch):
-    monkeypatch.setattr(nearduplicates, "bands", lambda k: np.arange(nearduplicates.BANDS, dtype=np.uint64))  # all in one group
+def test_near_duplicates_copies_of_copies(spark):
+    """A crowd around one text whose members are unlike it, but each has a twin."""
     rng = random.Random(6)
-    bases = [[f"b{g}x{i}" for i in range(160)] for g in range(20)]
-    rows = []
-    for i in range(60):
-        w = list(bases[i % 20])
-        w[rng.randrange(160)] = f"e{i}"
-        rows.append((i, " ".join(w)))
-    got = nearduplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r.class_id == r.doc_id % 20 for r in got)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(40):
+        w = list(base)
+        for p in rng.sample(range(300), 14):
+            w[p] = f"e{i}x{p}"
+        twin = list(w)
+        twin[rng.randrange(300)] = f"t{i}"
+        rows += [(2 * i + 1, " ".join(w)), (2 * i + 2, " ".join(twin))]
+    s = {d: shingles(t) for d, t in rows}
+    assert all(len(s[2 * i + 1] & s[0]) / len(s[2 * i + 1] | s[0]) < 0.8 for i in range(40))
+    got = {r.doc_id: r for r in nearduplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[2 * i + 2].class_id == 2 * i + 1 for i in range(40)]) > 0.95
+    assert got[0].class_id == 0 and got[0].n_links == 0
 
 
 def test_near_duplicates_odd(odd, empty):
