@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.values import all_of
+from tessella.session import use_shared_checkpoints
 
 
 def where(rows: DataFrame, *, equal: dict | None = None, among: dict | None = None, at_least: dict | None = None, at_most: dict | None = None, blank: dict | None = None, more: Iterable[Column] = ()) -> DataFrame:
@@ -89,6 +90,7 @@ def unique_slugs(rows: DataFrame, id: str, r2: str, posts: str) -> DataFrame:
     together: groups of colliding rows are components of the slug graph, found
     by the smallest id; each is settled in order on its own.
     """
+    use_shared_checkpoints(rows.sparkSession)
     first = rows.withColumn("__r2", F.row_number().over(Window.partitionBy(r2).orderBy(id)))
     taken = first.filter("__r2 > 1").drop("__r2").withColumn("outcome", F.lit("r2_taken"))
     alive = first.filter("__r2 = 1").drop("__r2")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import colors, jsonx, text, values
-from tessella.operators import arrays, changes, jobs, rules, summaries, tables, trees
+from tessella.operators import arrays, changes, images, jobs, rules, summaries, tables, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -647,3 +647,62 @@ def rgb_lab(spark, sf_dir):
     k = F.col("p_partkey")
     lab = read(spark, sf_dir, "part").select("p_partkey", colors.rgb_to_lab(k % 256, (k * 7) % 256, (k * 13) % 256).alias("lab"))
     return lab.select("p_partkey", *(F.round(F.col("lab")[c], 4).alias(c) for c in ("L", "a", "b")))
+
+
+# kernels without SQL, and the export flow
+
+
+def gray_images(spark, sf_dir):
+    v = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), (128 + x * 600).cast("int"))))
+    return read(spark, sf_dir, "embeddings").select("vec_id", v.alias("gray"))
+
+
+@bound()
+def image_metrics(spark, sf_dir):
+    g = gray_images(spark, sf_dir).withColumn("rgb", F.flatten(F.transform("gray", lambda x: F.array(x, x, x))))
+    return g.select("vec_id", images.qc_metrics(F.lit(8), F.lit(8), F.col("rgb")).alias("m")).select("vec_id", "m.*")
+
+
+@bound()
+def image_openness(spark, sf_dir):
+    return gray_images(spark, sf_dir).select("vec_id", F.round(images.openness_ratio(F.lit(8), F.lit(8), F.col("gray"), 128), 6).alias("openness"))
+
+
+@bound()
+def image_components(spark, sf_dir):
+    parts = images.components(grid(spark, sf_dir))
+    return parts.groupBy("image").agg(F.countDistinct("part").alias("parts"))
+
+
+@bound()
+def image_region_merge(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    stats = g.groupBy("image", "region").agg(F.count("*").cast("double").alias("area"), (100 * F.avg("v")).alias("L")).withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))
+    return images.merge_regions(stats, arrays.adjacency(g), 12.0)
+
+
+_BAYER = ", ".join(str(v) for row in images.bayer() for v in row)
+
+
+@bound(f"""SELECT vec_id, CAST(sum(CASE WHEN 128 + x * 600 > (t[p] + 0.5::DOUBLE) * 3.984375::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS white FROM
+(SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p, [{_BAYER}] AS t FROM embeddings) GROUP BY vec_id""")
+def dithering(spark, sf_dir):
+    p = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x"))
+    white = images.dither(128 + F.col("x") * 600, F.floor(F.col("p") / 8), F.col("p") % 8)
+    return p.groupBy("vec_id").agg(F.count_if(white == 255).alias("white"))
+
+
+@bound(r"""WITH d AS (SELECT doc_id, source, n_chars, string_split(text, chr(10))[1] AS title, left(text, 120) AS description, quality FROM documents JOIN (SELECT doc_id AS i, quality FROM labels) ON i = doc_id),
+e AS (SELECT * FROM d WHERE length(title) BETWEEN 5 AND 100 AND length(description) BETWEEN 20 AND 200),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quality DESC NULLS LAST, n_chars DESC, doc_id) AS r FROM e)
+SELECT source, doc_id, v.locale, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') || '-' || v.locale AS slug, left(title, 40) AS title_card FROM b, (VALUES ('fr'), ('en'), ('ar')) v(locale) WHERE r = 1""")
+def export_flow(spark, sf_dir):
+    """Eligible documents, the best of each source, unique slugs, one post a locale."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.get(F.split("text", "\n"), 0).alias("title"), F.substring("text", 1, 120).alias("description"))
+    d = d.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    fit = d.filter(F.size(rules.hard_violations({"title_en": F.col("title"), "description_en": F.col("description")})) == 0)
+    best = tables.best(fit, ["source"], F.desc_nulls_last("quality"), F.desc("n_chars"), F.col("doc_id"))
+    r2 = text.r2_slug(F.col("source"))["slug"]
+    posts = F.array(*(F.struct(F.lit(loc).alias("locale"), F.concat(r2, F.lit(f"-{loc}")).alias("slug")) for loc in rules.LOCALES))
+    chosen = tables.unique_slugs(best.withColumn("r2", r2).withColumn("posts", posts), "source", "r2", "posts").filter("outcome = 'kept'")
+    return chosen.select("source", "doc_id", F.explode("posts").alias("p"), F.substring("title", 1, 40).alias("title_card")).select("source", "doc_id", "p.locale", "p.slug", "title_card")
