@@ -4,7 +4,9 @@ Tokens are the words of a text and their first 4, 5 and 6 bytes, so that a stem
 counts with any ending. Their log-odds between toxic and other training
 documents have an informative Dirichlet prior: the pooled frequencies, with
 `PRIOR` of the pooled count as strength. Tokens whose z-score reaches `Z` score
-their log-odds; any other word scores `-DRIFT`.
+their log-odds; any other word scores `-DRIFT`. Counts are of documents first;
+tokens that pass are counted again by distinct surroundings (the words before
+and behind), so that the accidental words of copied documents drop out.
 
 A linear scan (Ruzzo and Tompa) finds every maximal scoring segment of a text.
 Segment scores follow an extreme-value law with parameters lambda (the root of
@@ -41,6 +43,8 @@ PER_CLASS = 4000
 PREFIXES = (4, 5, 6)
 PRIOR, Z, DRIFT = 0.1, 3.5, 0.02
 SIGNIFICANT = 0.01
+#: -log E above which a segment is no stronger evidence for the calibration.
+MOST = 15.0
 
 
 def tokens(w: textnum.Words) -> list[np.ndarray]:
@@ -86,7 +90,7 @@ class Model:
         for i, segments in enumerate(found):
             if segments:
                 e = self.log_e(segments, counts[i])
-                rows[i, 1:] = min(max(0.0, -min(e)), 60.0), np.log1p(sum(x <= np.log(SIGNIFICANT) for x in e))
+                rows[i, 1:] = min(max(0.0, -min(e)), MOST), np.log1p(sum(x <= np.log(SIGNIFICANT) for x in e))
         return rows
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -147,18 +151,45 @@ def _token_odds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = sample.select("text", "label").mapInArrow(counted, "token long, c1 long, c0 long").groupBy("token").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     total = sample.agg(F.sum(F.col("label")).alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
     n1, n0 = max(total.n1 or 0, 1), max(total.n0 or 0, 1)
-    prior = (F.col("c1") + F.col("c0")) * PRIOR
-    # counts are documents that hold the token; the prior adds PRIOR of the pooled rate to both sides
-    odds = lambda c, n: F.log((F.col(c) + prior * n / (n1 + n0)) / (n * (1 + PRIOR) + 1 - F.col(c) - prior * n / (n1 + n0)))
-    variance = 1 / (F.col("c1") + prior * n1 / (n1 + n0)) + 1 / (F.col("c0") + prior * n0 / (n1 + n0))
-    scored = counts.withColumn("odds", odds("c1", n1) - odds("c0", n0)).withColumn("z", F.col("odds") / F.sqrt(variance))
-    rows = scored.filter((F.col("z") >= Z) & (F.col("c1") >= 3) & (F.col("odds") > 0)).select("token", "odds").collect()
+    candidates = np.sort(np.array([r.token for r in _significant(counts, n1, n0).select("token").collect()], np.int64).view(np.uint64))
+    if not len(candidates):
+        return candidates, np.zeros(0)
+
+    def surrounded(batches):
+        """Each candidate with a digest of the words before and behind it."""
+        for batch in batches:
+            texts, label = batch.column(0), batch.column(1).to_numpy()
+            for a, b, w in per_slice(texts):
+                if not len(w.hash):
+                    continue
+                owner = owners(w)
+                before, behind = np.roll(w.hash, 1), np.roll(w.hash, -1)
+                before[w.first[:-1][w.counts > 0]] = 0
+                behind[w.first[1:][w.counts > 0] - 1] = 0
+                place = textnum.mix(before + textnum.mix(behind + textnum.mix(w.hash)))
+                for kind in tokens(w):
+                    at = np.minimum(np.searchsorted(candidates, kind), len(candidates) - 1)
+                    hit = candidates[at] == kind
+                    yield pa.RecordBatch.from_arrays([pa.array(kind[hit].view(np.int64)), pa.array(place[hit].view(np.int64)), pa.array(label[a:b][owner[hit]].astype(np.int32))], ["token", "place", "label"])
+
+    places = sample.select("text", "label").mapInArrow(surrounded, "token long, place long, label int").distinct()
+    counts = places.groupBy("token").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
+    rows = _significant(counts, n1, n0).select("token", "odds").collect()
     token = np.array([r.token for r in rows], np.int64).view(np.uint64)
     value = np.array([r.odds for r in rows])
     order = np.argsort(token)
     return token[order], value[order]
 
 
+def _significant(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """token, odds of tokens (token, c1, c0) with a z-score of at least Z; the prior adds PRIOR of the pooled rate to both sides."""
+    prior = (F.col("c1") + F.col("c0")) * PRIOR / (n1 + n0)
+    a1, a0 = F.col("c1") + prior * n1, F.col("c0") + prior * n0
+    odds = F.log(a1 / F.greatest(n1 * (1 + PRIOR) + 1 - a1, F.lit(1.0))) - F.log(a0 / F.greatest(n0 * (1 + PRIOR) + 1 - a0, F.lit(1.0)))
+    scored = counts.select("token", "c1", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
+    return scored.filter((F.col("z") >= Z) & (F.col("c1") >= 3) & (F.col("odds") > 0))
+
+
 def _lambda(values: np.ndarray, rates: np.ndarray) -> float:
     """Positive root of sum(rate * exp(lambda * value)) = 1; values have a negative mean."""
     low, high = 1e-6, 1.0
