@@ -50,6 +50,7 @@ BANDS = SKETCHES // ROWS
 LONG_ROWS, LONG_BANDS = 4, 24
 #: So many ids (8 bytes each) at most are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+LINKS_PER_PARTITION = 100_000
 
 _SEEDS = textnum.mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:SKETCHES, None], _SEEDS[SKETCHES:, None] | np.uint64(1)
@@ -220,15 +221,24 @@ def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (smallest id of its component) of every id that has a link."""
+    """id, label (smallest id of its component) of every id that has a link.
+
+    While the links are few (counted first) the labels are sent to all tasks and
+    kept in few partitions; else they meet in shuffles.
+    """
+    n = links.count()
+    few = n <= BROADCAST_IDS
+    parts = n // LINKS_PER_PARTITION + 1
+    sent = F.broadcast if few else (lambda df: df)
+    kept = (lambda df: df.coalesce(parts).checkpoint()) if few else (lambda df: df.checkpoint())
     edges = links.select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    edges = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
+        near = edges.join(sent(labels.select(F.col("id").alias("b"), "label")), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        hooked = near.join(sent(labels), "id").select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("further"))
-        moved = hooked.join(jump, "low", "left").select("id", F.least("low", "further").alias("next"), "label").checkpoint()
+        moved = kept(hooked.join(sent(jump), "low", "left").select("id", F.least("low", "further").alias("next"), "label"))
         labels = moved.select("id", F.col("next").alias("label"))
         if moved.filter("next < label").isEmpty():
             return labels
@@ -242,7 +252,7 @@ def classes(docs: DataFrame, wanted: float = SIMILARITY) -> DataFrame:
     contents = contents.checkpoint()
     links, labels = _links(docs, contents.filter(F.size("sketch") > 0).select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"]), wanted)
     counted = links.select("id").unionByName(links.select(F.col("lead").alias("id"))).groupBy("id").count()
-    of_rep = labels.join(counted, "id").select(F.col("id").alias("rep"), "label", "count")
+    of_rep = labels.join(counted, "id").select(F.col("id").alias("rep"), "label", "count").checkpoint()
     copies = contents.filter("n > 1").select("c1", "c2", "rep")
     found = sketches.select("doc_id", "c1", "c2").join(copies, ["c1", "c2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     found = found.join(of_rep, "rep", "left")
