@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 from tessella.sources import readers, writers
 from tessella.streaming import queue
@@ -75,6 +76,7 @@ def test_stream_finds_stale_jobs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, events in enumerate([[("a", "running", 0), ("b", "running", 0)], [("b", "completed", 2), ("c", "pending", 30)], [("c", "running", 31)]]):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"job_id": j, "status": s, "ts": at(m)}) for j, s, m in events))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i,) * 2)  # files are read in order of time
     source = spark.readStream.schema("job_id string, status string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     run(queue.follow(source), tmp_path, "followed")
     got = {(r.job_id, r.status, r.stale) for r in spark.table("followed").collect()}
