@@ -15,12 +15,17 @@ aligned k-mers over all k-mers of the two texts together, at least
 `SIMILARITY`.
 
 Scale. Equal word sequences collapse to one representative first, by digest.
-A band group never expands into its pairs: each member is compared with the
-group's lead, the member in most company over all bands, which is the text that
-the others are copies of. Members that end up in other classes than the leads
-of their group meet again under longer keys (four sketches), so texts that are
-alike but unlike the lead, such as copies of a copy, still find each other. Each
-text is in at most twelve and 24 comparisons, whatever the size of a group.
+First each member of a band group is compared with the group's lead only, the
+member in most company over all bands, which is the text that the others are
+copies of; this joins most copies without expanding a group into its pairs.
+Then nothing that can be alike stays open: the texts of all groups meet by
+prefix filter. The labelled k-mers of every text are put into one order, common
+ones last; two texts of the wanted similarity share one of the first
+`n - ceil(wanted * n) + 1` k-mers of each. Pairs in different classes that do,
+and whose sizes and places allow enough shared k-mers, are all verified, some
+for each text and class at first, so that classes that merge spare the rest.
+So any two texts that are in band groups and alike end up in one class. Pairs
+that share only common words of a family meet late in the order, not at all.
 Classes are the connected components of the links. Groups are keys of
 joins and sums only; no group is collected. Lineage is cut with checkpoint().
 
@@ -32,6 +37,7 @@ class (null class_id, no links). An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -46,8 +52,10 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES, ROWS = 24, 2
 BANDS = SKETCHES // ROWS
-#: Longer keys of the second round.
-LONG_ROWS, LONG_BANDS = 4, 24
+#: So many k-mers at most are sent to all tasks as common ones (16 bytes each), each in more than COMMON texts.
+COMMON_KMERS, COMMON = 250_000, 8
+#: Pairs verified for each text and other class in the first round; BATCH times as many in each later one.
+BATCH = 8
 #: So many ids (8 bytes each) at most are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LINKS_PER_PARTITION = 100_000
@@ -208,16 +216,75 @@ def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFra
     kmers = _kmer_table(docs, ids)
     links = _verify(first.filter("id <> lead"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
     labels = components(links)
-    # members in other classes than their lead meet again under longer keys, whose groups are smaller and more alike
-    grouped = contents.join(ids, "id", "left_semi")
-    second = _members(grouped.select("id", band_keys(F.col("sketch"), LONG_ROWS, LONG_BANDS).alias("keys"))).filter("id <> lead").select("id", "lead").distinct()
+    # what can be alike and is in different classes yet: verified until no pair is left
     of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = second.join(of("id"), "id", "left").join(of("lead"), "lead", "left").filter(F.coalesce("id_label", "id") != F.coalesce("lead_label", "lead")).select("lead", "id")
-    more = _verify(apart.join(first, ["lead", "id"], "left_anti"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
-    if more.isEmpty():
-        return links, labels
-    links = links.unionByName(more).dropDuplicates(["lead", "id"]).checkpoint()
-    return links, components(links)
+    pairs, limit = _candidates(kmers, labels, wanted).checkpoint(), BATCH
+    while not pairs.isEmpty():
+        apart = pairs.join(of("id"), "id", "left").join(of("lead"), "lead", "left").withColumn("id_label", F.coalesce("id_label", "id")).withColumn("lead_label", F.coalesce("lead_label", "lead"))
+        ranked = Window.partitionBy("id", "lead_label").orderBy("lead")
+        apart = apart.filter("id_label <> lead_label").withColumn("r", F.row_number().over(ranked)).select("lead", "id", "r").checkpoint()
+        more = _verify(apart.filter(F.col("r") <= limit).select("lead", "id"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
+        if not more.isEmpty():
+            links = links.unionByName(more).checkpoint()
+            labels = components(links)
+        pairs, limit = apart.filter(F.col("r") > limit).select("lead", "id"), limit * BATCH
+    return links, labels
+
+
+def _common(kmers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common k-mers, COMMON_KMERS at most, and in how many texts they are."""
+
+    def count(batches):
+        for batch in batches:
+            k, n = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["kmer", "n"])
+
+    found = kmers.select("kmers").mapInArrow(count, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON).checkpoint()
+    least = COMMON
+    while (kept := found.filter(F.col("n") > least)).count() > COMMON_KMERS:
+        least *= 2
+    table = kept.toArrow()
+    names, n = table["kmer"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
+def prefix(kmers: np.ndarray, common: tuple[np.ndarray, np.ndarray], wanted: float) -> np.ndarray:
+    """The first k-mers of a text in the order common to all, so many that texts of the wanted similarity share one."""
+    names, counts = common
+    weight = np.zeros(len(kmers), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, kmers), len(names) - 1)
+        weight = np.where(names[at] == kmers, counts[at], 0)
+    return kmers[np.lexsort((kmers, weight))[: len(kmers) - math.ceil(wanted * len(kmers) - 1e-9) + 1]]
+
+
+def _candidates(kmers: DataFrame, labels: DataFrame, wanted: float) -> DataFrame:
+    """(lead, id), each pair once: texts in different classes that can be alike, by prefix, size and place."""
+    common = _common(kmers)
+
+    def run(batches):
+        for batch in batches:
+            lists, ids = batch.column(1), batch.column(0).to_numpy()
+            sizes = lists.value_lengths().to_numpy()
+            x, first = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(sizes)])
+            found = [prefix(x[first[i] : first[i + 1]], common, wanted) for i in range(batch.num_rows)]
+            took = np.array([len(f) for f in found], np.int64)
+            place = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, took)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(sizes, took).astype(np.int32)), pa.array(place.astype(np.int32))], ["id", "key", "n", "place"])
+
+    of = labels.select("id", "label")
+    few = labels.count() <= BROADCAST_IDS
+    rows = kmers.mapInArrow(run, "id long, key long, n int, place int").join(F.broadcast(of) if few else of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    rows = rows.join(mixed, "key", "left_semi").checkpoint()
+    # members of a key's largest class are only compared with members of its others
+    largest = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    rows = rows.join(largest, "key")
+    one = rows.filter("label <> largest").select("key", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
+    enough = F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) >= wanted / (1 + wanted) * (F.col("a_n") + F.col("n")) - 1e-6
+    near = one.join(rows, "key").filter((F.col("label") != F.col("a_label")) & ((F.col("label") == F.col("largest")) | (F.col("a") < F.col("id"))) & enough)
+    return near.select(F.least("a", "id").alias("lead"), F.greatest("a", "id").alias("id")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,7 +312,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, wanted: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id of equal words), n_links (to different texts)."""
+    """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id of equal words), n_links (verified links to different texts; not all that are alike are compared once they share a class)."""
     ensure_checkpoint_dir(docs.sparkSession)
     sketches = sketched(docs).checkpoint()
     contents = sketches.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("n"))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessella.llm")
 from tessella.llm import chat, decontaminate, fingerprints, language, licenses, mixing, nearduplicates, quality, queries, substrings, textnum, toxicity  # noqa: E402
@@ -479,6 +480,40 @@ def test_near_duplicates_copies_of_copies(spark):
     assert got[0].class_id == 0 and got[0].n_links == 0
 
 
+def one_group(monkeypatch):
+    monkeypatch.setattr(nearduplicates, "band_keys", lambda s, rows, count: F.array(*(F.lit(k).cast("long") for k in range(count))))
+
+
+def test_near_duplicates_unlike_members_elect_leaders(spark, monkeypatch):
+    one_group(monkeypatch)
+    rng = random.Random(6)
+    bases = [[f"b{g}x{i}" for i in range(160)] for g in range(20)]
+    rows = []
+    for i in range(60):
+        w = list(bases[i % 20])
+        w[rng.randrange(160)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    got = nearduplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id == r.doc_id % 20 for r in got)
+
+
+def test_near_duplicates_chain_in_one_group(spark, monkeypatch):
+    """Each text is like the next one only; all share all keys, led by the first."""
+    one_group(monkeypatch)
+    monkeypatch.setattr(nearduplicates, "COMMON", 1)
+    monkeypatch.setattr(nearduplicates, "BATCH", 2)
+    w, rows = [f"b{i}" for i in range(200)], []
+    for i in range(12):
+        for p in range(5):
+            w[13 * i + 2 * p] = f"e{i}x{p}"
+        rows.append((i, " ".join(w)))
+    s = [shingles(t) for _, t in rows]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    assert all(alike(a, b) for a, b in zip(s, s[1:])) and not any(alike(a, b) for a, b in zip(s, s[2:]))
+    got = nearduplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 12 and all(r.class_id == 0 for r in got)
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = nearduplicates.report(odd).collect()
     assert len(rows) == len(ODD)
