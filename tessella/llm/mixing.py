@@ -7,16 +7,18 @@ released blocks fills the slots; with weights that sum to 1 this meets every
 deadline, so after any number of slots t a source has had w * t blocks with a
 deviation of less than one.
 
-Weights are held as whole shares of a period of `PERIOD` slots (largest
-remainder), so the schedule repeats after each period: only one period is
-scheduled, and a block's slot follows from its number in its source by
-arithmetic. Documents are numbered within their source without bringing a
-source together: a source is split by hash into groups of about `GROUP`
-documents, groups are counted, and running sums of the counts give each group
-its first number. A hot source has more groups, not larger ones.
+Weights are exact rationals (`Fraction` of the given numbers), and all blocks of
+all sources are scheduled, so the deviation does not grow with the table. The
+driver holds one slot (8 bytes) for each block, half a byte a document, and
+sends the slots to all tasks up to `SENT_BLOCKS`; more meet the documents in a
+shuffle. Documents are numbered within their source without bringing a source
+together: a source is split by hash into groups of about `GROUP` documents,
+groups are counted, and running sums of the counts give each group its first
+number. A hot source has more groups, not larger ones.
 
 No document is dropped or repeated. The target holds until the first source
-runs out (`in_target`); after that the others go on in the same relative shares.
+runs out (`in_target`); after that the others go on in the same relative shares,
+scheduled anew from there.
 Default weights: the square root of a source's size.
 
 Cases: null is a source of its own. Sources without a weight get weight 0 if
@@ -29,18 +31,24 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 16
 PERIOD = 1000
 GROUP = 2000
+SENT_BLOCKS = 4_000_000
+#: A block's key is its source's number above these bits, its own below.
+NUMBER_BITS = 40
 ADDED = ("mix_slot", "mix_index", "in_target")
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares of a period that sum to it, at least one for each positive weight (largest remainder)."""
+    """Whole shares of a period that sum to it, at least one for each positive weight (largest remainder); mix() itself uses the exact weights."""
     positive = {k: float(v) for k, v in weights.items() if v > 0}
     if not positive:
         return {}
@@ -54,22 +62,38 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
+def mixture(weights: dict[str, float], blocks: dict[str, int]) -> tuple[dict[str, list[int]], int]:
+    """Slots of each source's blocks, EDF over Pfair windows of the exact weights, and the slot at which the first source lacks a block."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * scale) for k, w in exact.items()}
+    slots: dict[str, list[int]] = {k: [] for k in weights}
+    active, start, horizon = sorted(whole), 0, None
+    while active:
+        total = sum(whole[k] for k in active)
+        had = {k: len(slots[k]) for k in active}
+        waiting = [(0, k, 1) for k in active]  # release, source, block number, all since start
+        ready: list[tuple[int, str, int]] = []  # deadline, source, block number
+        t = 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-i * total // whole[k]), k, i))
+            _, k, i = heapq.heappop(ready)
+            if had[k] + i > blocks[k]:
+                break
+            slots[k].append(start + t)
+            heapq.heappush(waiting, (i * total // whole[k], k, i + 1))
+            t += 1
+        start += t
+        horizon = start if horizon is None else horizon
+        active = [k for k in active if len(slots[k]) < blocks[k]]
+    return slots, horizon or 0
+
+
 def schedule(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period: EDF over Pfair windows."""
-    period = sum(share.values())
-    slots: dict[str, list[int]] = {k: [] for k in share}
-    waiting = [(0, k, 1) for k in sorted(share)]  # release, source, block number
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block number
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-i * period // share[k]), k, i))
-        _, k, i = heapq.heappop(ready)
-        slots[k].append(t)
-        if i < share[k]:
-            heapq.heappush(waiting, (i * period // share[k], k, i + 1))
-    return slots
+    """Slots of each source's blocks in one period of whole shares."""
+    return mixture(share, share)[0]
 
 
 def _source(column):
@@ -77,7 +101,7 @@ def _source(column):
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """docs with mix_slot, mix_index (order of the mixture, gaps after a source has run out) and in_target."""
+    """docs with mix_slot, mix_index (order of the mixture, gaps after a source's last block) and in_target."""
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ADDED]
     row = F.struct(*(docs[f"`{c}`"] for c in columns))
@@ -85,29 +109,30 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     # one row a source: as many as the mixture has weights
     sizes = {r.src: r["count"] for r in keyed.groupBy("src").count().collect()}
     wanted = {k: math.sqrt(n) for k, n in sizes.items()} if weights is None else {("null" if k is None else f"={k}"): w for k, w in weights.items() if ("null" if k is None else f"={k}") in sizes}
-    share = shares(wanted)
-    period = sum(share.values())
-    slots = schedule(share)
-    ends = [(n // share[k] * period + slots[k][n % share[k]]) for k in share for n in [-(-sizes[k] // block)]]
-    horizon = min(ends, default=0)
+    blocks = {k: -(-n // block) for k, n in sizes.items()}
+    slots, horizon = mixture({k: w for k, w in wanted.items() if w > 0}, blocks)
     # sources without weight come after everything else, one after the other
-    at = max((((-(-sizes[k] // block)) // share[k] + 1) * period for k in share), default=0)
+    at = sum(len(s) for s in slots.values())
     plan = []
-    for k, n in sorted(sizes.items()):
-        if k in share:
-            plan.append((k, max(1, -(-n // GROUP)), share[k], period, 0, slots[k]))
-        else:
-            plan.append((k, max(1, -(-n // GROUP)), 1, 1, at, [0]))
-            at += -(-n // block)
-    table = F.broadcast(spark.createDataFrame(plan, "src string, groups long, share long, period long, offset long, slots array<long>"))
+    for number, (k, n) in enumerate(sorted(sizes.items())):
+        plan.append((k, number, max(1, -(-n // GROUP)), 0 if k in slots else at))
+        at += 0 if k in slots else blocks[k]
+    table = F.broadcast(spark.createDataFrame(plan, "src string, number long, groups long, offset long"))
+    number_of = {k: number for k, number, _, _ in plan}
+    keys = [np.arange(len(s), dtype=np.int64) + (number_of[k] << NUMBER_BITS) for k, s in slots.items()]
+    at_slot = [np.array(s, np.int64) for s in slots.values()]
+    none = np.zeros(0, np.int64)
+    slot_table = spark.createDataFrame(pa.table({"block_key": np.concatenate([none, *keys]), "slot": np.concatenate([none, *at_slot])}))
+    if sum(len(s) for s in at_slot) <= SENT_BLOCKS:
+        slot_table = F.broadcast(slot_table)
     placed = keyed.join(table, "src").withColumn("g", F.pmod("h", "groups"))
     counted = keyed.select("src", "h").join(table.select("src", "groups"), "src").groupBy("src", F.pmod("h", "groups").alias("g")).count()
     first = counted.select("src", "g", F.coalesce(F.sum("count").over(Window.partitionBy("src").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     within = Window.partitionBy("src", "g").orderBy("h", "id", F.xxhash64("row"))
     numbered = placed.join(first, ["src", "g"]).withColumn("n", F.row_number().over(within) - 1 + F.col("first"))
     b = F.floor(F.col("n") / block).cast("long")
-    slot = F.col("offset") + F.floor(b / F.col("share")).cast("long") * F.col("period") + F.get("slots", (b % F.col("share")).cast("int"))
-    out = numbered.select("row.*", slot.alias("mix_slot"), F.col("n").alias("__n"))
+    found = numbered.withColumn("b", b).withColumn("block_key", F.shiftleft("number", NUMBER_BITS) + F.col("b")).join(slot_table, "block_key", "left")
+    out = found.select("row.*", F.coalesce("slot", F.col("offset") + F.col("b")).alias("mix_slot"), F.col("n").alias("__n"))
     return out.select(
         *(F.col(f"`{c}`") for c in columns),
         "mix_slot",

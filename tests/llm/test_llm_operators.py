@@ -545,6 +545,17 @@ def test_schedule_deviates_less_than_a_block(weights):
         assert np.abs(had - np.arange(1, period + 1) * share[k] / period).max() < 1
 
 
+def test_mixture_keeps_to_the_target_weights():
+    blocks = {"big": 12500} | {f"s{i}": 1316 for i in range(19)} | {"rare": 40}
+    weights = {k: n**0.5 for k, n in blocks.items()} | {"rare": 0.01}
+    slots, horizon = mixing.mixture(weights, blocks)
+    assert horizon > 10000 and sorted(t for s in slots.values() for t in s) == list(range(sum(blocks.values())))
+    t = np.arange(1, horizon + 1)
+    for k, s in slots.items():
+        assert len(s) == blocks[k]
+        assert np.abs(np.searchsorted(s, t, "left") - t * (weights[k] / sum(weights.values()))).max() < 1
+
+
 def test_mixing_numbers_every_document(spark, odd, empty):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 7}", 2) for i in range(9000)]
     df = spark.createDataFrame(rows, DOCS)
