@@ -3,21 +3,21 @@
 A text is cut into units: lines, and within lines sentences (after `.`, `!` or
 `?` and a blank). A unit is normalised to its words, lower-cased, and hashed to
 128 bits in their order. Digests are grouped over all documents; the earliest
-ranked document (smallest doc_id) keeps its first occurrence, every later
+ranked document (smallest doc_id, then smallest hash of the text) keeps its first occurrence, every later
 occurrence is marked. Runs of marked units of at least `MIN_WORDS` words
 together are removed, so repeated passages go and short phrases that clean
 documents happen to share stay. Offsets of what was removed refer to the
 original text.
 
 Only digests are shuffled: each document sends a distinct digest once, Spark
-takes the smallest and largest doc_id a digest (partial sums before the
+takes the smallest and largest rank a digest (partial sums before the
 shuffle, so frequent lines do not gather), and a join with the digests of more
 than one document, which adaptive execution can split, marks the later ones.
 
 Cases: null stays null and has no units; units without words are no units and
 do not end a run. Within one text the first of equal units is kept. Rows of
-equal doc_id rank equal: none loses a unit to the other. Null doc_ids rank last,
-as one. Empty tables give no rows. Extra columns pass through untouched.
+equal doc_id or of null doc_id (ranked last) are told apart by their text; rows
+equal in both rank equal, and none loses a unit to the other. Empty tables give no rows. Extra columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -69,27 +69,29 @@ class Units:
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
-    """doc (null doc_id: largest), unit, d1, d2: each distinct unit of each document once."""
+    """doc (null doc_id: largest), h (hash of the text), unit, d1, d2: each distinct unit of each document once."""
 
     def cut(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            ids, hashes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2)
             for a, b in textnum.slices(texts):
                 u = Units(textnum.words(texts[a:b]))
                 keep = ~u.earlier_here()
                 unit = np.arange(len(u.owner)) - u.first[u.owner]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][u.owner[keep]], pa.int64()), pa.array(unit[keep], pa.int32()), pa.array(u.d1[keep]), pa.array(u.d2[keep])], ["doc", "unit", "d1", "d2"])
+                of = u.owner[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of], pa.int64()), pa.array(hashes[a:b][of], pa.int64()), pa.array(unit[keep], pa.int32()), pa.array(u.d1[keep]), pa.array(u.d2[keep])], ["doc", "h", "unit", "d1", "d2"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    return rows.mapInArrow(cut, "doc long, unit int, d1 long, d2 long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(cut, "doc long, h long, unit int, d1 long, d2 long")
 
 
 def later_units(docs: DataFrame) -> DataFrame:
-    """doc, units array<int>: the units of a document that stand in an earlier ranked one."""
+    """doc, h, units array<int>: the units of a document that stand in an earlier ranked one."""
     units = unit_digests(docs)
-    shared = units.groupBy("d1", "d2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).filter("keeper < last").select("d1", "d2", "keeper")
-    marked = units.join(shared, ["d1", "d2"]).filter(F.col("doc") > F.col("keeper"))
-    return marked.groupBy("doc").agg(F.collect_set("unit").alias("units"))
+    rank = F.struct("doc", "h")
+    shared = units.groupBy("d1", "d2").agg(F.min(rank).alias("keeper"), F.max(rank).alias("last")).filter("keeper < last").select("d1", "d2", "keeper")
+    marked = units.join(shared, ["d1", "d2"]).filter(rank > F.col("keeper"))
+    return marked.groupBy("doc", "h").agg(F.collect_set("unit").alias("units"))
 
 
 def _remove(text: Column, units: Column) -> Column:
@@ -149,8 +151,8 @@ def _removed(texts: pa.Array, marks: pa.Array) -> list[tuple]:
 
 def _deduplicated(docs: DataFrame) -> DataFrame:
     """row (all columns of docs) and r (what _remove returns)."""
-    packed = pack(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), text=F.col("text"))
-    joined = packed.join(later_units(docs), "doc", "left")
+    packed = pack(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), h=F.xxhash64("text"), text=F.col("text"))
+    joined = packed.join(later_units(docs), ["doc", "h"], "left")
     return joined.select("row", _remove(F.col("text"), F.col("units")).alias("r"))
 
 

@@ -379,6 +379,15 @@ def test_substrings_odd(spark, odd, empty):
     assert got == {1: f"Start.\n{passage}\nStop.", 2: "Own words here. End.", 3: ""}
 
 
+def test_substrings_marks_belong_to_one_row(spark):
+    line = lambda name: " ".join(f"{name}{i}" for i in range(30)) + "."
+    rows = [(1, line("p")), (None, f"{line('p')}\n{line('q')}"), (None, f"{line('u')}\n{line('v')}"), (2, f"{line('p')}\nx"), (2, f"{line('w')}\ny"), (None, f"{line('z')}\na"), (None, f"{line('z')}\nb")]
+    got = sorted(r.text.replace("\n", " ").strip() for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    z = [g for g in got if g.split()[-1] in "ab"]
+    assert sorted(len(g.split()) for g in z) == [1, 31]
+    assert [g for g in got if g not in z] == sorted([line("p"), line("q"), f"{line('u')} {line('v')}", "x", f"{line('w')} y"])
+
+
 # 8 chat
 
 
