@@ -97,8 +97,10 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Plain rows (conv_id, turn, role, text) as an event log of messages."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    """Plain rows (conv_id, turn, role, text) as an event log of messages, numbered within their conversation: each row is its own turn."""
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
+    numbered = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("turn"), "role", "text")
+    return numbered.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -391,6 +391,15 @@ def test_substrings_marks_belong_to_one_row(spark):
 # 8 chat
 
 
+def test_chat_keeps_rows_of_equal_turn(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "c"), (1, None, "user", "d"), (1, None, "assistant", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (got,) = chat.digests(chat.format_events(chat.conversation_events(df))).collect()
+    turns = "user\na\nuser\na\nassistant\nb\nassistant\nc\nassistant\ne\nuser\nd\n"
+    assert (got.n_turns, got.loss_chars, got.turns_sha256) == (6, 3, hashlib.sha256(turns.encode()).hexdigest())
+
+
+
 def test_chat_folds_events(spark):
     events = spark.createDataFrame(
         [
