@@ -1,7 +1,9 @@
 """Operator 3: license scan as an exact set-similarity join.
 
-Every line of a document is a text block. A block matches a template when it
-holds at least `THRESHOLD` of the template's distinct words. The join is exact:
+Every line of a document is a text block, and so is every run of as many words
+as the template has that crosses a line end (wrapped notices). A block matches a
+template when it holds at least `THRESHOLD` of the template's distinct words. The
+join is exact; for lines:
 
 1. words are ordered by how often they occur in all documents (one counting
    pass over the whole table, summed per word);
@@ -12,6 +14,8 @@ holds at least `THRESHOLD` of the template's distinct words. The join is exact:
    orders, the words that can still be shared must suffice;
 5. what is left is counted exactly.
 
+Runs start at a word of the template; those with `need` such words are counted.
+
 The base phrases are templates of threshold 1 whose words must also stand
 consecutively; their one-word prefix is their rarest word. They are sought in
 the whole text, across lines.
@@ -90,7 +94,7 @@ class Scanner:
         for label, text in sorted(templates.items()):
             ranks = np.array(sorted({rank[t] for t in textnum.word_hash(text).tolist()}), np.int64)
             need = math.ceil(threshold * len(ranks) - 1e-9)
-            self.templates.append((label, ranks, need))
+            self.templates.append((label, ranks, need, len(textnum.word_hash(text))))
         self.phrases = []
         for phrase, label in sorted(BASE.items()):
             ranks = np.array([rank[t] for t in textnum.word_hash(phrase).tolist()], np.int64)
@@ -108,6 +112,27 @@ class Scanner:
             start = start[rank[start + i] == r]
         return start
 
+    @staticmethod
+    def _wrapped(rank: np.ndarray, owner: np.ndarray, block: np.ndarray, position: np.ndarray, need: int, width: int) -> list[tuple[int, int, int]]:
+        """(first word, word after the last, distinct template words) of the runs of `width` words across line ends that hold `need`."""
+        hit = np.flatnonzero((rank >= 0) & (position[rank] >= 0))
+        if len(hit) < need:
+            return []
+        order = np.lexsort((hit, rank[hit]))
+        before = np.full(len(hit), -1)  # where the same word stood last
+        same = rank[hit[order[1:]]] == rank[hit[order[:-1]]]
+        before[order[1:][same]] = hit[order[:-1][same]]
+        first = np.flatnonzero(hit[need - 1 :] - hit[: len(hit) - need + 1] < width)
+        begin = hit[first]
+        found, last = np.zeros(len(first), np.int64), begin.copy()
+        for step in range(width):
+            j = np.minimum(first + step, len(hit) - 1)
+            inside = (first + step < len(hit)) & (hit[j] < begin + width) & (owner[hit[j]] == owner[begin]) & (before[j] < begin)
+            found += inside
+            last = np.where(inside, hit[j], last)
+        fits = (found >= need) & (block[begin] != block[last])
+        return list(zip(begin[fits].tolist(), (last[fits] + 1).tolist(), found[fits].tolist(), strict=True))
+
     def _scan(self, w: textnum.Words) -> pa.Array:
         n = len(w.first) - 1
         owner = owners(w)
@@ -139,9 +164,15 @@ class Scanner:
         held = np.bincount(of, minlength=len(size))
         begin = np.cumsum(held) - held
         place = np.arange(len(pairs)) - begin[of]
-        for label, ranks, need in self.templates:
+        for label, ranks, need, width in self.templates:
             position = np.full(v, -1)
             position[ranks] = np.arange(len(ranks))
+            for start, stop, found in self._wrapped(rank, owner, block, position, need, width):
+                text = int(owner[start])
+                share = float(found / len(ranks))
+                labels[text].add(label)
+                blocks[text].append(f"{label}@{start - int(w.first[text])}+{stop - start}={share:.3f}")
+                score[text] = max(score[text], share)
             i = position[term]
             prefix = np.flatnonzero((i >= 0) & (i <= len(ranks) - need))
             _, once = np.unique(of[prefix], return_index=True)

@@ -215,6 +215,19 @@ def test_licenses_odd(spark, odd, empty):
     assert (b.n_base, b.first_word, b.labels, b.score) == (0, None, "", 0.0)
 
 
+def test_licenses_wrapped_notices(spark):
+    rows = [
+        (1, "x y\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided"),
+        (2, "This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy"),
+        (3, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published"),
+        (4, "Redistribution and use in source and binary forms, with or without"),
+        (5, "modification, are permitted provided"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4, 5)] == ["bsd-terms", "mpl-notice", "gpl,gpl-terms", "", ""]
+    assert "bsd-terms@2+14=1.000" in got[1].blocks.split(",") and got[2].score == 1.0
+
+
 # 4 quality, 7 toxicity
 
 
