@@ -10,20 +10,21 @@ from .common import fold
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, label) of at most per_class documents of each label, and the label counts of all training rows.
+    """(doc_id, text, label) of at most per_class documents of each label, and the label counts of all training ids.
 
-    Only rows outside the held-out fold are taken; of those the ones with the
-    smallest hash of the id, so the sample is the same on every run. The ids
-    are bounded by 2 * per_class, so broadcasting them is safe.
+    Only ids outside the held-out fold are taken; of those the ones with the
+    smallest hash of the id, so the sample is the same on every run. An id counts
+    once; an id whose labels contradict each other has none. The ids are bounded
+    by 2 * per_class, so broadcasting them is safe.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), parts) != held_out))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("doc_id", "label")
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     drawn = None
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
-    ids = drawn.dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), counts
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:

@@ -260,29 +260,54 @@ def test_toxicity(spark, docs, labels, odd, empty):
     assert {r.score for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_toxicity_learns_words_and_stems(spark):
+@pytest.fixture(scope="module")
+def insults(spark):
+    """12,000 texts of common words; a third toxic, with one passage of insults each, and a little more of some common words."""
     rng = random.Random(2)
+    common, weight = [f"w{i}" for i in range(400)], [1 / (i + 1) for i in range(400)]
     rows, marks = [], []
-    for i in range(600):
-        w = [f"w{rng.randrange(400)}" for _ in range(80)]
-        toxic = i % 6 == 0
+    for i in range(12_000):
+        w = rng.choices(common, weight, k=60)
+        toxic = i % 3 == 0
         if toxic:
-            for p in rng.sample(range(80), 3):
-                w[p] = rng.choice(["vile", f"gruesomely{rng.randrange(10**6)}"])
+            at = rng.randrange(10, 45)
+            w[at : at + 6] = [rng.choice(["vile", f"gruesomely{rng.randrange(10**6)}", "w7"]) for _ in range(5)] + ["vile"]
+            w[rng.randrange(8)] = f"w{rng.randrange(5)}"
         rows.append((i, " ".join(w)))
         marks.append((i, 1, int(toxic)))
-    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    got = [(r.predicted, marks[r.doc_id][2]) for r in toxicity.classify(d, lab).collect() if r.held_out]
-    assert np.mean([a == b for a, b in got]) > 0.95
+    marks += [(5, 1, 1), (6, 1, 0)]  # contradictory labels
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("size", [300, 1000, 4000])
+def test_toxicity_at_every_sample_size(insults, size):
+    d, lab = insults
+    model = toxicity.fit(d, lab, size)
+    assert 2 <= (model.odds > 0).sum() < 60 and model.lam > 0.1
+    scored = d.select("doc_id", "text", toxicity.score(F.col("text"), model).alias("s")).filter(toxicity.fold(F.col("doc_id"), 3) == 1).collect()
+    toxic, marked = np.array([r.doc_id % 3 == 0 for r in scored]), np.array([r.s.score >= toxicity.CUT for r in scored])
+    assert marked[toxic].mean() > 0.97 and marked[~toxic].mean() < 0.01
+    # passages, not whole texts
+    inside = []
+    for r in scored[:300]:
+        w = r.text.split()
+        bad = {i for i, x in enumerate(w) if x == "vile" or x.startswith("gruesomely")}
+        spans = [tuple(map(int, x.split("-"))) for x in r.s.segments.split(",") if x]
+        assert all(any(a <= i < b for i in bad) for a, b in spans)
+        if bad:
+            inside.append(len(bad & {i for a, b in spans for i in range(a, b)}) / len(bad))
+            assert sum(b - a for a, b in spans) <= 20
+    assert np.mean(inside) > 0.95
 
 
 def test_maximal_segments_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
         n = rng.randrange(1, 40)
-        s = [rng.choice([0.3, 1.0, 0.05]) if rng.random() < 0.2 else -toxicity.DRIFT for _ in range(n)]
+        s = [rng.choice([0.313, 1.0371, 0.0577]) if rng.random() < 0.2 else -toxicity.DRIFT for _ in range(n)]
         at = [i for i, x in enumerate(s) if x > 0]
-        got = toxicity.maximal_segments(at, [s[i] for i in at])
+        total = np.concatenate([[0.0], np.cumsum(s)])
+        got = toxicity.maximal_segments(at, total[at].tolist(), total[np.array(at, int) + 1].tolist())
 
         def split(a, b):  # the best segment, then the same left and right of it
             best = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), key=lambda x: (round(x[0], 9), -(x[2] - x[1]), -x[1]), default=None)
