@@ -1,34 +1,36 @@
 """Operator 1: document fingerprints by a threshold-scaled sketch (DataFrame functions only).
 
 A text's sketch keeps the hash of every distinct five-word shingle that lies
-below a fixed fraction of the 64-bit range. Sketches of that kind merge by
-union, and the share of one sketch found in another estimates containment
-without bias, also between documents of very unequal length.
-
-Texts of few shingles would keep next to none, so those with at most
-`KEEP_ALL` distinct shingles keep all of them (`whole` is true). To compare a
-whole sketch with a scaled one, the whole one is cut at the same fraction
-first, which is exactly the sketch it would have had.
+below a fixed fraction of the 64-bit range, the same for texts of every length.
+Sketches of that kind merge by union, and the share of one sketch found in
+another estimates containment without bias, also between documents of very
+unequal length. The smallest hash of a text stays in any case, so that no text
+with words has an empty sketch; it counts only where neither of two sketches
+has a hash below the fraction, and then says whether the texts agree in it.
 
 Cases: null text counts as empty. Texts without words have an empty sketch;
 two of them have likeness 1, one of them and any other 0. Texts of one to four
 words have one shingle, all their words. Repeated shingles count once.
+Containment of a text that has no hash below the fraction is 1 for equal
+sketches and else unknown (null).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, parallelism, struct, words
 
 SHINGLE_WORDS = 5
-FRACTION = 8  # keep one hash in eight
-KEEP_ALL = 128
+FRACTION = 4  # keep one hash in four
 #: Largest hash of the lowest 1/FRACTION of the signed 64-bit range.
 LIMIT = -(2**63) + 2**64 // FRACTION
 #: doc_id ranges of the neighbour search: quantiles asked of Spark, and ranges per shuffle partition.
-CUTS, RANGES_PER_PARTITION = 128, 8
+CUTS, RANGES_PER_PARTITION = 256, 16
+_LOWEST = -(2**63)
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE_WORDS) -> Column:
@@ -47,48 +49,40 @@ def scaled(hashes: Column) -> Column:
     return F.filter(hashes, lambda h: h < F.lit(LIMIT))
 
 
+def _kept(hashes: Column) -> Column:
+    """The sketch of sorted shingle hashes: those below the limit, else the smallest."""
+    return let(hashes, lambda h: F.when(F.get(h, F.lit(0)) < F.lit(LIMIT), scaled(h)).otherwise(F.slice(h, 1, 1)))
+
+
 def sketch(text: Column) -> Column:
-    """struct<whole boolean, hashes array<bigint>>."""
-    return let(
-        shingle_hashes(text),
-        lambda h: struct(whole=F.size(h) <= KEEP_ALL, hashes=F.when(F.size(h) <= KEEP_ALL, h).otherwise(scaled(h))),
-    )
+    """array<bigint>, ascending."""
+    return _kept(shingle_hashes(text))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """Sketch of two texts' shingles together, at the coarser of the two scales."""
-    both = a["whole"] & b["whole"]
-    cut = lambda s: F.when(both | ~s["whole"], s["hashes"]).otherwise(scaled(s["hashes"]))
-    return struct(whole=both, hashes=F.sort_array(F.array_union(cut(a), cut(b))))
+    """Sketch of two texts' shingles together."""
+    return _kept(F.sort_array(F.array_union(a, b)))
+
+
+def _overlap(a: Column, b: Column, share: Callable[[Column], Column], none: Column) -> Column:
+    """share(struct of a, b, both: hashes below the limit of each and of both); without any in either: 1 if equal, else `none`."""
+    counted = let(scaled(a), lambda x: let(scaled(b), lambda y: struct(a=F.size(x), b=F.size(y), both=F.size(F.array_intersect(x, y)))))
+    return let(counted, lambda n: F.when(a == b, F.lit(1.0)).when(n["a"] + n["b"] == 0, none).otherwise(share(n)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has (0 to 1)."""
-    both = a["whole"] & b["whole"]
-    cut = lambda s: F.when(both | ~s["whole"], s["hashes"]).otherwise(scaled(s["hashes"]))
-    shared = let(cut(a), lambda x: let(cut(b), lambda y: struct(a=F.size(x), n=F.size(F.array_intersect(x, y)))))
-    return let(
-        shared,
-        lambda s: F.when((F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0), F.lit(1.0)).when(s["a"] == 0, F.lit(0.0)).otherwise(s["n"] / s["a"]),
-    )
+    """Estimated share of a's shingles that b has (0 to 1; null: unknown)."""
+    return _overlap(a, b, lambda n: F.when(n["a"] > 0, n["both"] / n["a"]), F.lit(None).cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate from two sketches: shared over all hashes at the common scale (0 to 1)."""
-    both = a["whole"] & b["whole"]
-    cut = lambda s: F.when(both | ~s["whole"], s["hashes"]).otherwise(scaled(s["hashes"]))
-    shared = let(cut(a), lambda x: let(cut(b), lambda y: struct(sum=F.size(x) + F.size(y), n=F.size(F.array_intersect(x, y)))))
-    return let(
-        shared,
-        lambda s: F.when((F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0), F.lit(1.0))
-        .when(s["sum"] == s["n"], F.lit(0.0))
-        .otherwise(s["n"] / (s["sum"] - s["n"])),
-    )
+    """Jaccard estimate from two sketches: shared hashes over all hashes below the limit (0 to 1)."""
+    return _overlap(a, b, lambda n: n["both"] / (n["a"] + n["b"] - n["both"]), F.lit(0.0))
 
 
 def as_text(s: Column) -> Column:
-    """The sketch as a string: `w` (whole) or `s` (scaled), then 16 hex digits a hash, ascending."""
-    return F.concat(F.when(s["whole"], F.lit("w")).otherwise(F.lit("s")), F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ""))
+    """The sketch as a string: 16 hex digits a hash, ascending."""
+    return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,43 +91,50 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), as_text(sketch(F.col("text"))).alias("fingerprint"))
 
 
+def _ranges(rows: DataFrame, edges: list[int]) -> Column:
+    """Number of the range that a row is in, from its id `at` and the hash `h` of its text; later ranges have larger (at, h).
+
+    `edges` are quantiles of the ids, each range between two of them is cut evenly
+    once more. An id that is several quantiles (null or repeated ids) has the
+    ranges between them to itself, cut by the hash.
+    """
+    fine = max(1, -(-parallelism(rows.sparkSession) * RANGES_PER_PARTITION // CUTS))
+    edge = F.lit(edges).cast("array<bigint>")
+    below, upto = F.size(F.filter(edge, lambda e: e < F.col("at"))), F.size(F.filter(edge, lambda e: e <= F.col("at")))
+    part = F.greatest(upto, F.lit(1))
+    low, high = F.get(edge, part - 1).cast("double"), F.get(edge, part).cast("double")
+    share = F.coalesce((F.col("at").cast("double") - low) / (high - low), F.lit(0.0))
+    even = part * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share * fine)))
+    spread = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    hot = (below + 1) * fine + F.floor(F.least(spread, F.lit(1 - 1e-9)) * (upto - below - 1) * fine)
+    return F.when(upto - below > 1, hot).otherwise(even).cast("long")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch and next_text, next_sketch: of the next document by descending doc_id, cyclically.
 
-    The ids are cut into many ranges of about equal counts (quantiles, each then
-    cut evenly), so the neighbour search shuffles every text once and no task
-    gets more than its ranges. The first document of each range is also sent to
-    the range before it, where it serves as the last one's neighbour only; that
-    list has one id per range, so its size is bounded by the number of partitions. Rows of equal doc_id follow each other
-    by descending text; null ids come last.
+    The ids are cut into many ranges of about equal counts, so the neighbour
+    search shuffles every text once and no task gets more than its ranges;
+    sketches are made behind the shuffle. The first document of each range is
+    also sent to the range before it, where it serves as the last one's neighbour
+    only; the list of these has one id and hash per range, so its size is bounded
+    by the number of partitions. Rows of equal doc_id follow each other by
+    descending hash of the text, then text; null ids come last.
     """
-    low = -(2**63)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("at").filter(F.col("at") > low)
-    cuts = ids.agg(F.percentile_approx("at", [i / CUTS for i in range(CUTS + 1)], 20_000)).first()[0]
-    if not cuts:
-        bucket = F.lit(0).cast("long")
-    else:
-        edges = sorted(set(cuts)) + [max(cuts) + 1]
-        fine = max(1, -(-parallelism(docs.sparkSession) * RANGES_PER_PARTITION // CUTS))
-        edge = F.lit(edges).cast("array<bigint>")
-        part = F.greatest(F.size(F.filter(edge, lambda e: e <= F.col("at"))), F.lit(1))
-        lo, hi = F.get(edge, part - 1), F.get(edge, part)
-        share = (F.col("at").cast("double") - lo.cast("double")) / (F.coalesce(hi, lo + 1).cast("double") - lo.cast("double"))
-        inner = F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share * fine)))
-        bucket = F.when(F.col("at") == low, F.lit(-1).cast("long")).otherwise(part.cast("long") * fine + inner)
-    placed = rows.withColumn("bucket", bucket)
-    heads = placed.groupBy("bucket").agg(F.max("at").alias("at"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("at"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    cuts = rows.agg(F.percentile_approx("at", [i / CUTS for i in range(CUTS + 1)], 20_000)).first()[0]
+    placed = rows.withColumn("bucket", _ranges(rows, sorted(cuts)) if cuts else F.lit(0).cast("long"))
+    heads = placed.groupBy("bucket").agg(F.max(F.struct("at", "h")).alias("top"))
     # each range's first document also goes to the range before it in this order; the very first to the last range
     down = Window.orderBy(F.desc("bucket"))
-    sent = heads.select("at", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy())).alias("to"))
-    moved = placed.join(F.broadcast(sent), "at", "left")
+    sent = heads.select("top.at", "top.h", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy())).alias("to"))
+    moved = placed.join(F.broadcast(sent), ["at", "h"], "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("guest"))
-    both = moved.select("doc_id", "at", "text", sketch(F.col("text")).alias("sketch"), F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("p"))
-    flat = both.select("doc_id", "at", "text", "sketch", "p.bucket", "p.guest")
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("at"), F.desc("text"))
-    seen = flat.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).filter("guest = 0")
+    flat = moved.select("doc_id", "at", "h", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("p")).select("doc_id", "at", "h", "text", "p.bucket", "p.guest")
+    sketched = flat.repartition("bucket").withColumn("sketch", sketch(F.col("text")))
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("at"), F.desc("h"), F.desc("text"))
+    seen = sketched.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).filter("guest = 0")
     return seen.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 
 
