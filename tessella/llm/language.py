@@ -3,21 +3,26 @@
 For each language a suffix automaton holds every substring of a sample of its
 labelled text. A text is cross-parsed: from where it stands, the longest match
 in the automaton is one phrase (an unknown byte is a phrase by itself), then
-parsing goes on behind it. The fewer phrases a byte, the lower the cross
-entropy; the language needing fewest phrases wins, the first by name of equals.
+parsing goes on behind it, across word ends. Texts, learned and parsed ones
+alike, are lower-cased words with one blank between.
 
-Phrases do not cross word ends: a word is parsed with a blank on both sides. So
-each distinct word of a batch is parsed once for each language, all words side
-by side with array operations, and a text's phrases are the sum over its words.
-Words longer than `PIECE` bytes are parsed in pieces.
+Phrases are normalised as the cross-parsing estimate of entropy asks: a text of m
+bytes with c phrases against n learned bytes has c * log2(n) / m bits a byte, so
+that a language with more learned text gains nothing from it. The language of
+the smallest entropy wins, the first by name of equals.
 
-Sample: at most `SAMPLE_DOCS` training documents a language, those of smallest
-id hash, of each at most `DOC_BYTES` bytes. Learned from text and lang only; a
-prediction uses the text only. Texts are read in place; nothing is shuffled.
+Many texts are parsed side by side with array operations, all languages at
+once. Long texts are parsed in pieces of `PIECE` bytes, cut between code points,
+which adds at most one phrase a piece for every language alike.
+
+Sample: at most `SAMPLE_DOCS` training documents a language, whole, those of
+smallest id hash; of rows with equal id the smallest text. Learned from text and
+lang only; a prediction uses the text only. Texts are read in place; nothing is
+shuffled but the counts of languages and the sample.
 
 Cases: null, empty and letterless texts are `und` with score 0. With no labelled
 training rows every text is `und`. One learned language gives score 0. Equal
-texts get equal results. Score: 1 - phrases of the best / of the second best.
+texts get equal results. Score: 1 - entropy of the best / of the second best.
 """
 
 from __future__ import annotations
@@ -29,30 +34,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import fold, owners, per_slice
+from .common import fold, per_slice
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_DOCS, DOC_BYTES = 100, 400
-PIECE = 64
+SAMPLE_DOCS = 24
+PIECE = 4096
+#: Transitions are a dense table up to this size, else a sorted list: the same steps, slower and smaller.
+TABLE_BYTES = 200_000_000
 NONE = "und"
 
 
-def suffix_automaton(text: bytes, symbol: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings of text; 0: none (no transition leads to the root)."""
+def suffix_automaton(text: bytes) -> list[dict[int, int]]:
+    """Transitions {byte: state} of each state of the automaton of all substrings of text; state 0 is the root."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for byte in text:
-        s = int(symbol[byte])
         cur = len(step)
         length.append(length[last] + 1)
         link.append(0)
         step.append({})
         p = last
-        while p >= 0 and s not in step[p]:
-            step[p][s] = cur
+        while p >= 0 and byte not in step[p]:
+            step[p][byte] = cur
             p = link[p]
         if p >= 0:
-            q = step[p][s]
+            q = step[p][byte]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
@@ -60,78 +66,113 @@ def suffix_automaton(text: bytes, symbol: np.ndarray, width: int) -> np.ndarray:
                 length.append(length[p] + 1)
                 link.append(link[q])
                 step.append(dict(step[q]))
-                while p >= 0 and step[p].get(s) == q:
-                    step[p][s] = clone
+                while p >= 0 and step[p].get(byte) == q:
+                    step[p][byte] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(step), width), np.int32)
-    for state, to in enumerate(step):
-        for s, target in to.items():
-            table[state, s] = target
-    return table
+    return step
+
+
+def stream(w: textnum.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts as words with one blank before each and one at the end, and where each text begins."""
+    n = len(w.first) - 1
+    at = np.cumsum(np.concatenate([[0], w.length + 1]))  # of each word's blank, before the texts' last blanks
+    begin = at[w.first] + np.arange(n + 1)
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    text = np.repeat(np.arange(n), w.counts)
+    inside = np.repeat(w.start, w.length) + np.arange(int(w.length.sum())) - np.repeat(np.cumsum(w.length) - w.length, w.length)
+    to = np.arange(len(inside)) + np.repeat(np.arange(len(w.length)) + 1 + text, w.length)
+    out[to] = w.data[inside]
+    return out, begin
 
 
 class Parser:
+    """The automata of all languages in one table: states are numbered through, 0 is no state."""
+
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         used = np.unique(np.frombuffer(b" " + b"".join(samples.values()), np.uint8))
         self.symbol = np.full(256, len(used), np.int64)  # the last symbol has no transitions
         self.symbol[used] = np.arange(len(used))
-        self.tables = [suffix_automaton(samples[k], self.symbol, len(used) + 1) for k in self.languages]
-
-    def phrases(self, units: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """[unit, language]: phrases of each unit; units are rows of symbols, longest first."""
-        out = np.zeros((len(units), len(self.languages)), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(units), np.int64)
-            count = out[:, k]
-            for t in range(units.shape[1]):
-                n = int(np.searchsorted(-length, -t))  # units longer than t
-                if not n:
-                    break
-                s, now = units[:n, t], state[:n]
-                to = table[now, s]
-                ended = (to == 0) & (now != 0)
-                to = np.where(ended, table[0, s], to)
-                count[:n] += ended
-                count[:n] += to == 0
-                state[:n] = to
-            count += state != 0
+        self.width = len(used) + 1
+        self.bits = np.log2([max(len(samples[k]), 2) for k in self.languages])
+        roots, keys, targets, states = [], [], [], 1
+        for k in self.languages:
+            automaton = suffix_automaton(samples[k])
+            roots.append(states)
+            for state, to in enumerate(automaton):
+                keys += [(states + state) * self.width + int(self.symbol[byte]) for byte in to]
+                targets += [states + target for target in to.values()]
+            states += len(automaton)
+        self.roots = np.array(roots, np.int64)
+        key, target = np.array(keys, np.int64), np.array(targets, np.int32)
+        self.dense = states * self.width * 4 <= TABLE_BYTES
+        if self.dense:
+            self.table = np.zeros(states * self.width, np.int32)
+            self.table[key] = target
+        else:
+            order = np.argsort(key)
+            self.key, self.target = key[order], target[order]
+
+    def step(self, key: np.ndarray) -> np.ndarray:
+        """Target of each state * width + symbol; 0: none."""
+        if self.dense:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.target[at], 0)
+
+    def phrases(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """[language, piece]: phrases of each piece of data."""
+        order = np.argsort(-length, kind="stable")
+        start, size = start[order], length[order]
+        symbol = self.symbol[data]
+        root = np.broadcast_to(self.roots[:, None], (len(self.roots), len(start)))
+        state, count = root.copy(), np.zeros(root.shape, np.int64)
+        longer = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0))  # pieces longer than t
+        for t, n in enumerate(longer.tolist()):
+            s = symbol[start[:n] + t]
+            now = state[:, :n]
+            to = self.step(now * self.width + s)
+            language, piece = np.nonzero(to == 0)
+            if len(piece):
+                first = self.roots[language]
+                again = self.step(first * self.width + s[piece]).astype(np.int64)
+                # a phrase ended before this byte; a byte that no phrase begins with is one by itself
+                count[language, piece] += (now[language, piece] != first).astype(np.int64) + (again == 0)
+                to[language, piece] = np.where(again == 0, first, again)
+            state[:, :n] = to
+        count += state != root
+        out = np.zeros_like(count)
+        out[:, order] = count
         return out
 
-    def totals(self, w: textnum.Words) -> np.ndarray:
-        """[text, language]: phrases of each text."""
-        n = len(w.first) - 1
-        if not len(w.hash):
-            return np.zeros((n, len(self.languages)), np.int64)
-        _, one, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        pieces = -(-w.length[one] // PIECE)
-        of = np.repeat(np.arange(len(one)), pieces)
+    def entropies(self, w: textnum.Words) -> np.ndarray:
+        """[text, language]: bits a byte of each text; 0 without words."""
+        data, begin = stream(w)
+        size = np.where(w.counts > 0, np.diff(begin), 0)
+        pieces = -(-size // PIECE)
+        of = np.repeat(np.arange(len(size)), pieces)
         inner = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = w.start[one][of] + inner * PIECE
-        size = np.minimum(w.length[one][of] - inner * PIECE, PIECE)
-        order = np.argsort(-size, kind="stable")
-        start, size, of = start[order], size[order], of[order]
-        at = start[:, None] + np.arange(int(size[0]))
-        body = self.symbol[w.data[np.minimum(at, len(w.data) - 1)]]
-        units = np.full((len(start), int(size[0]) + 2), self.symbol[32])
-        units[:, 1:-1] = np.where(np.arange(int(size[0])) < size[:, None], body, self.symbol[32])
-        found = self.phrases(units, size + 2)
-        per_word = np.stack([np.bincount(of, found[:, k], minlength=len(one)) for k in range(found.shape[1])], axis=1).astype(np.int64)
-        owner = owners(w)
-        return np.stack([np.bincount(owner, per_word[inverse, k], minlength=n) for k in range(found.shape[1])], axis=1).astype(np.int64)
+        cut = begin[of] + inner * PIECE
+        for _ in range(3):  # back to the first byte of a code point
+            cut = np.where(data[cut] & 0xC0 == 0x80, cut - 1, cut) if len(cut) else cut
+        end = np.append(cut[1:], 0)
+        last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+        end = np.where(last, begin[of + 1], end[: len(of)])
+        found = self.phrases(data, cut, end - cut)
+        total = np.stack([np.bincount(of, found[k], minlength=len(size)) for k in range(len(self.languages))], axis=1)
+        return total * self.bits / np.maximum(size, 1)[:, None]
 
     def predict(self, texts: pa.Array) -> pa.Array:
         low = pc.utf8_lower(texts)
         names, scores = [], []
         for a, b, w in per_slice(low):
             lettered = self._lettered(low[a:b], w)
-            total = self.totals(w) if self.languages else np.zeros((b - a, 0))
-            if total.shape[1]:
-                best = total.argmin(axis=1)
-                ordered = np.sort(total, axis=1)
-                score = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1) if total.shape[1] > 1 else np.zeros(b - a)
+            if self.languages:
+                bits = self.entropies(w)
+                best, ordered = bits.argmin(axis=1), np.sort(bits, axis=1)
+                score = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1e-300) if bits.shape[1] > 1 else np.zeros(b - a)
             else:
                 best, score, lettered = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
             names += [self.languages[i] if ok else NONE for i, ok in zip(best, lettered, strict=True)]
@@ -154,23 +195,18 @@ def samples(docs: DataFrame) -> dict[str, bytes]:
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    # a cut on the id hash leaves about twice the wanted rows of each language, whatever their number
-    scale = 1_000_000
-    cut = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(scale, -(-2 * SAMPLE_DOCS * scale // n))))))
-    drawn = rows.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(scale)) < cut[F.col("lang")])
-    head = drawn.select("lang", "h", "doc_id", F.substring("text", 1, DOC_BYTES).alias("head"))
-    out: dict[str, list[bytes]] = {}
-    for r in head.limit(8 * SAMPLE_DOCS * len(counts)).collect() if len(counts) else []:
-        out.setdefault(r.lang, []).append((r.h, r.doc_id, r.head))
+    # a cut on the id hash leaves about twice the wanted ids of each language, however many it has
+    span = 2**52
+    cut = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(span, int(2 * SAMPLE_DOCS * span / n) + 1)))))
+    drawn = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(span))).filter(F.col("h") < cut[F.col("lang")])
+    found: dict[str, list[tuple]] = {}
+    for r in drawn.groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text")).collect():
+        found.setdefault(r.lang, []).append((r.h, r.doc_id, r.text))
     joined = {}
-    for lang, found in out.items():
-        texts = dict.fromkeys(x for _, _, x in sorted(found))  # copies count once
-        data = []
-        for text in list(texts)[:SAMPLE_DOCS]:
-            raw = text.lower().encode()
-            array = np.frombuffer(raw, np.uint8)
-            data.append(np.where(textnum.WORD_BYTE[array], array, 32).astype(np.uint8).tobytes())
-        joined[lang] = b" " + b" ".join(b" ".join(data).split()) + b" "
+    for lang, chosen in found.items():
+        texts = dict.fromkeys(x for _, _, x in sorted(chosen)[:SAMPLE_DOCS])  # copies count once
+        data, _ = stream(textnum.words(pc.utf8_lower(pa.array(list(texts)))))
+        joined[lang] = b" " + b" ".join(data.tobytes().split()) + b" "
     return joined
 
 

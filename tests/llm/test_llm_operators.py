@@ -107,7 +107,7 @@ def test_fingerprints_odd_and_empty(odd, empty):
     rows = fingerprints.edited_pairs(odd).collect()
     assert len(rows) == len(ODD)
     assert len({r.fingerprint for r in rows if r.doc_id in (4, 5)}) == 1
-    assert {r.fingerprint for r in rows if r.doc_id in (1, 2, 3)} == {"w"}
+    assert {r.fingerprint for r in rows if r.doc_id in (1, 2, 3)} == {""}
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert fingerprints.edited_pairs(empty).count() == 0
     assert fingerprints.fingerprints(odd).count() == len(ODD)
@@ -122,8 +122,25 @@ def test_containment_of_unequal_documents(spark):
     from pyspark.sql import functions as F
 
     a, b = fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))
-    r = df.select(fingerprints.containment(a, b).alias("c"), fingerprints.likeness(a, b).alias("j"), (fingerprints.merge(a, b)["hashes"] == b["hashes"]).alias("m")).first()
+    r = df.select(fingerprints.containment(a, b).alias("c"), fingerprints.likeness(a, b).alias("j"), (fingerprints.merge(a, b) == b).alias("m")).first()
     assert r.c > 0.99 and abs(r.j - 0.2) < 0.03 and r.m
+    # passages of 14 words: their containment in the whole is 1 or unknown, never 0; the sketch of each is never empty
+    short = spark.createDataFrame([(" ".join(long[i : i + 14]), " ".join(long[:3000])) for i in range(0, 2980, 20)], "a string, b string")
+    got = short.select(fingerprints.containment(a, b).alias("c"), F.size(a).alias("n")).collect()
+    assert {r.c for r in got} <= {1.0, None} and np.mean([r.c is None for r in got]) < 0.15 and min(r.n for r in got) > 0
+
+
+@pytest.mark.parametrize("cuts", [4, 256])
+def test_next_document_with_hot_and_null_ids(spark, monkeypatch, cuts):
+    monkeypatch.setattr(fingerprints, "CUTS", cuts)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 7, 7, rng.randrange(-50, 50), rng.randrange(10**12)]), f"text {i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = d.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    want = {a.text: b.text for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    got = fingerprints.with_next(d).collect()
+    assert {r.text: r.next_text for r in got} == want and len(got) == len(rows)
 
 
 # 2 language
@@ -131,14 +148,13 @@ def test_containment_of_unequal_documents(spark):
 
 def test_suffix_automaton_against_substrings():
     text = b" abcab abd "
-    symbol = np.arange(256)
-    table = language.suffix_automaton(text, symbol, 257)
+    automaton = language.suffix_automaton(text)
 
     def known(s):
         state = 0
         for b in s:
-            state = table[state, b]
-            if not state:
+            state = automaton[state].get(b)
+            if state is None:
                 return False
         return True
 
@@ -148,25 +164,69 @@ def test_suffix_automaton_against_substrings():
             assert known(bytes(s)) == (bytes(s) in subs)
 
 
-def test_phrases_against_greedy_parse():
-    samples = {"x": b" abcab abd ", "y": b" ddd cab "}
+def longest_matches(data, sample):
+    """Phrases of a greedy parse of data by substrings of sample."""
+    n = i = 0
+    while i < len(data):
+        j = i + 1
+        while j <= len(data) and data[i:j] in sample:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
+    return n
+
+
+def pieces(data, size):
+    """data cut every `size` bytes, back to the begin of a code point."""
+    at = [0]
+    for k in range(size, len(data), size):
+        while data[k] & 0xC0 == 0x80:
+            k -= 1
+        at.append(k)
+    return [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
+
+
+@pytest.mark.parametrize("dense", [True, False])
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_phrases_against_greedy_parse(monkeypatch, dense, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    monkeypatch.setattr(language, "TABLE_BYTES", 10**9 if dense else 0)
+    samples = {"x": b" abcab abd ", "y": " ddd cab déd ".encode()}
     parser = language.Parser(samples)
-    text = "abd cabd zq ddd abcabc"
-
-    def brute(sample):
-        n = 0
-        for w in text.split():
-            s = f" {w} ".encode()
-            i = 0
-            while i < len(s):
-                j = i + 1
-                while j <= len(s) and s[i:j] in sample:
-                    j += 1
-                i = max(i + 1, j - 1)
-                n += 1
-        return n
-
-    assert parser.totals(textnum.words(pa.array([text])))[0].tolist() == [brute(samples["x"]), brute(samples["y"])]
+    assert parser.dense == dense
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdé zq  .") for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", "abd cabd, zq ddd abcabc"]
+    got = parser.entropies(textnum.words(pa.array(texts)))
+    for t, bits in zip(texts, got, strict=True):
+        w = words(t)
+        data = (" " + " ".join(w) + " ").encode() if w else b""
+        want = [sum(longest_matches(p, sample) for p in pieces(data, piece)) * np.log2(len(sample)) / max(len(data), 1) for sample in samples.values()]
+        assert np.allclose(bits, want)
+
+
+def test_language_query_against_brute_force(spark, docs):
+    """Every row of the query, with the same sample of training rows, parsed naively."""
+    d = docs.filter("doc_id < 60").cache()
+    learned = language.samples(d)
+    found = {r.doc_id: r for r in language.identify(d).collect()}
+    for r in d.collect():
+        w = words((r.text or "").lower())
+        if not w:
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        data = (" " + " ".join(w) + " ").encode()
+        bits = {k: sum(longest_matches(p, v) for p in pieces(data, language.PIECE)) * np.log2(len(v)) for k, v in sorted(learned.items())} if len(data) < 3000 else None
+        if bits:
+            best = min(bits, key=lambda k: (round(bits[k], 6), k))
+            assert found[r.doc_id].lang_pred == best
+            assert abs(found[r.doc_id].score - (1 - bits[best] / sorted(bits.values())[1])) < 1e-9
+
+
+def test_language_sample_is_whole_and_bounded(spark):
+    rows = [(i % 500, "abc " * 3000 + f"end{i}", "x") for i in range(1000)] + [(None, "never", "x"), (3, None, "x"), (3, "y words", "y"), (3, "other y words", "y")]
+    got = language.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got["x"].count(b" end") == language.SAMPLE_DOCS and b"never" not in got["x"]
+    assert got["y"] == b" other y words "
 
 
 def test_language_held_out(spark, docs, odd, empty):
