@@ -4,10 +4,11 @@ A text is cut into units: lines, and within lines sentences (after `.`, `!` or
 `?` and a blank). A unit is normalised to its words, lower-cased, and hashed to
 128 bits in their order. Digests are grouped over all documents; the earliest
 ranked document (smallest doc_id, then smallest hash of the text) keeps its first occurrence, every later
-occurrence is marked. Runs of marked units of at least `MIN_WORDS` words
-together are removed, so repeated passages go and short phrases that clean
-documents happen to share stay. Offsets of what was removed refer to the
-original text.
+occurrence is marked. Runs of marked units of at least `min_words` words
+together are removed. With min_words=1 every later occurrence goes. The default,
+`MIN_WORDS`, removes repeated passages and leaves the stock lines and short
+sentences that unrelated documents share. Offsets of what was removed refer to
+the original text.
 
 Only digests are shuffled: each document sends a distinct digest once, Spark
 takes the smallest and largest rank a digest (partial sums before the
@@ -94,12 +95,12 @@ def later_units(docs: DataFrame) -> DataFrame:
     return marked.groupBy("doc", "h").agg(F.collect_set("unit").alias("units"))
 
 
-def _remove(text: Column, units: Column) -> Column:
+def _remove(text: Column, units: Column, min_words: int) -> Column:
     @F.arrow_udf(_TYPE)
     def removed(texts: pa.Array, marks: pa.Array) -> pa.Array:
         out = []
         for a, b in textnum.slices(texts):
-            out += _removed(texts[a:b], marks[a:b])
+            out += _removed(texts[a:b], marks[a:b], min_words)
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3)), pa.array([r[4] for r in out], pa.string())],
             ["text", "n_units", "n_removed", "removed_chars", "spans"],
@@ -108,7 +109,7 @@ def _remove(text: Column, units: Column) -> Column:
     return removed(text, units)
 
 
-def _removed(texts: pa.Array, marks: pa.Array) -> list[tuple]:
+def _removed(texts: pa.Array, marks: pa.Array, min_words: int) -> list[tuple]:
     w = textnum.words(texts)
     u = Units(w)
     marked = u.earlier_here()
@@ -128,7 +129,7 @@ def _removed(texts: pa.Array, marks: pa.Array) -> list[tuple]:
         runs = []
         if flag.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]])))
-            runs = [(x, y) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if u.words[lo + x : lo + y].sum() >= MIN_WORDS]
+            runs = [(x, y) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if u.words[lo + x : lo + y].sum() >= min_words]
         if not runs:
             out.append((text, hi - lo, 0, 0, ""))
             continue
@@ -149,21 +150,21 @@ def _removed(texts: pa.Array, marks: pa.Array) -> list[tuple]:
     return out
 
 
-def _deduplicated(docs: DataFrame) -> DataFrame:
+def _deduplicated(docs: DataFrame, min_words: int) -> DataFrame:
     """row (all columns of docs) and r (what _remove returns)."""
     packed = pack(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), h=F.xxhash64("text"), text=F.col("text"))
     joined = packed.join(later_units(docs), ["doc", "h"], "left")
-    return joined.select("row", _remove(F.col("text"), F.col("units")).alias("r"))
+    return joined.select("row", _remove(F.col("text"), F.col("units"), min_words).alias("r"))
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
+def dedup_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without later occurrences, and what was removed (spans: code points `from-to` of the original)."""
-    return _deduplicated(docs.select("doc_id", "text")).select("row.doc_id", "r.text", "r.n_units", "r.n_removed", "r.removed_chars", "r.spans")
+    return _deduplicated(docs.select("doc_id", "text"), min_words).select("row.doc_id", "r.text", "r.n_units", "r.n_removed", "r.removed_chars", "r.spans")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs; text without later occurrences, n_chars (if there) to match."""
     text = F.col("r.text")
     fresh = {"text": text, "n_chars": F.length(text).cast("long")}
     fields = [fresh.get(c, F.col("row")[c]).cast(t).alias(c) for c, t in docs.dtypes]
-    return _deduplicated(docs).select(*fields)
+    return _deduplicated(docs, min_words).select(*fields)

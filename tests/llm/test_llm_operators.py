@@ -426,7 +426,7 @@ def test_proximity(spark):
 # 6 substrings
 
 
-def brute_dedup(rows):
+def brute_dedup(rows, bar):
     """rows (doc_id, text): marked units of each document, as sets of unit numbers."""
     units = {}
     for d, text in rows:
@@ -445,16 +445,17 @@ def brute_dedup(rows):
         gone, i = 0, 0
         for flag, run in itertools.groupby(flags):
             n = len(list(run))
-            if flag and sum(len(p) for p in ps[i : i + n]) >= substrings.MIN_WORDS:
+            if flag and sum(len(p) for p in ps[i : i + n]) >= bar:
                 gone += n
             i += n
         out[d] = (len(ps), gone)
     return out
 
 
-def test_substrings_against_brute_force(docs):
-    want = brute_dedup([(r.doc_id, r.text) for r in docs.collect()])
-    got = substrings.dedup_report(docs).collect()
+@pytest.mark.parametrize("bar", [1, substrings.MIN_WORDS])
+def test_substrings_against_brute_force(docs, bar):
+    want = brute_dedup([(r.doc_id, r.text) for r in docs.collect()], bar)
+    got = substrings.dedup_report(docs, bar).collect()
     assert {r.doc_id: (r.n_units, r.n_removed) for r in got} == want
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
