@@ -14,13 +14,14 @@ diagonal band that a pair of the wanted similarity cannot leave. Similarity is
 aligned k-mers over all k-mers of the two texts together, at least
 `SIMILARITY`.
 
-Scale. Equal word sequences collapse to one representative first, by digest.
-First each member of a band group is compared with the group's lead only, the
-member in most company over all bands, which is the text that the others are
-copies of; this joins most copies without expanding a group into its pairs.
-Then nothing that can be alike stays open: the texts of all groups meet by
-prefix filter. The labelled k-mers of every text are put into one order, common
-ones last; two texts of the wanted similarity share one of the first
+Scale. Equal word sequences collapse to one content first, by digest. Then each
+text of a band group is compared with the group's lead, the member in most
+company over all bands, which is the text that the others are copies of: first
+with the lead it shares most bands with, then, while they are in different
+classes, with its others. This joins most copies without expanding a group into
+its pairs. Then nothing that can be alike stays open: the texts of all groups
+meet by prefix filter. The labelled k-mers of every text are put into one order,
+common ones last; two texts of the wanted similarity share one of the first
 `n - ceil(wanted * n) + 1` k-mers of each. Pairs in different classes that do,
 and whose sizes and places allow enough shared k-mers, are all verified, some
 for each text and class at first, so that classes that merge spare the rest.
@@ -31,8 +32,11 @@ joins and sums only; no group is collected. Lineage is cut with checkpoint().
 
 Cases: null and wordless texts are near-duplicates of equal raw text only
 (null counts as empty). Texts of up to five words have one k-mer, so they match
-equal words only. Rows of equal doc_id are one document; a null doc_id is in no
-class (null class_id, no links). An empty table gives no rows.
+equal words only. Rows are told apart by doc_id and text, so different texts
+under one doc_id, or without one, have classes of their own. A class is named by
+its smallest doc_id (null if it has none) and kept by the row of smallest doc_id
+(null last), then smallest hash of the text. An empty table gives no rows.
+Contents are named by 64 bits of their digest while they are linked.
 """
 
 from __future__ import annotations
@@ -54,10 +58,11 @@ SKETCHES, ROWS = 24, 2
 BANDS = SKETCHES // ROWS
 #: So many k-mers at most are sent to all tasks as common ones (16 bytes each), each in more than COMMON texts.
 COMMON_KMERS, COMMON = 250_000, 8
-#: Pairs verified for each text and other class in the first round; BATCH times as many in each later one.
+#: Pairs verified for each text and other class in the first round of the exact search; BATCH times as many in each later round.
 BATCH = 8
 #: So many ids (8 bytes each) at most are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+_LAST = 2**63 - 1
 LINKS_PER_PARTITION = 100_000
 
 _SEEDS = textnum.mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -133,12 +138,17 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, wanted: float = SIMILARITY)
     return shared / (n + m - shared)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc (null doc_id: last) and h (hash of the text), which tell rows apart, and the text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("h"), "text")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, c1, c2 (digest of the word sequence, or of the raw text where there are no words), sketch."""
+    """doc, h, c1, c2 (digest of the word sequence, or of the raw text where there are no words), sketch."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for a, b in textnum.slices(texts):
                 w = textnum.words(texts[a:b])
                 raw = texts[a:b].to_pylist() if (w.counts == 0).any() else None
@@ -153,9 +163,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                     else:
                         c[:, i] = [int.from_bytes(_digest(raw[i] or "")[j : j + 8], "little") for j in (0, 8)]
                         found.append([])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "c1", "c2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["doc", "h", "c1", "c2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, c1 long, c2 long, sketch array<long>")
+    return _named(docs).mapInArrow(run, "doc long, h long, c1 long, c2 long, sketch array<long>")
 
 
 def _digest(text: str) -> bytes:
@@ -164,8 +174,8 @@ def _digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, kmers of the documents named in ids (checkpointed)."""
+def _kmer_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, kmers of the texts (id, doc, h) (checkpointed)."""
 
     def run(batches):
         for batch in batches:
@@ -174,13 +184,14 @@ def _kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 lists = [labelled_kmers(w.hash[w.first[i] : w.first[i + 1]]).view(np.int64) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(lists, pa.list_(pa.int64()))], ["id", "kmers"])
 
-    few = ids.count() <= BROADCAST_IDS  # else the texts meet the ids in a shuffle
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, kmers array<long>").dropDuplicates(["id"]).checkpoint()
+    n = texts.count()  # few are sent to all tasks, else the texts meet them in a shuffle
+    rows = _named(docs).join(F.broadcast(texts) if n <= BROADCAST_IDS else texts, ["doc", "h"]).select("id", "text")
+    found = rows.mapInArrow(run, "id long, kmers array<long>").checkpoint()
+    return found if found.count() == n else found.dropDuplicates(["id"]).checkpoint()  # repeated rows
 
 
 def _verify(pairs: DataFrame, kmers: DataFrame, wanted: float) -> DataFrame:
-    """lead, id, alike of each pair (lead, id)."""
+    """(lead, id) of the pairs (lead, id) that are alike."""
 
     def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.asarray(column.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
@@ -189,14 +200,18 @@ def _verify(pairs: DataFrame, kmers: DataFrame, wanted: float) -> DataFrame:
         for batch in batches:
             (x, xs), (y, ys) = flat(batch.column(2)), flat(batch.column(3))
             alike = [aligned_similarity(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], wanted) >= wanted for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["lead", "id", "alike"])
+            yield pa.RecordBatch.from_arrays([column.filter(pa.array(alike, pa.bool_())) for column in batch.columns[:2]], ["lead", "id"])
 
-    joined = pairs.join(kmers.withColumnRenamed("kmers", "other"), "id").join(kmers.select(F.col("id").alias("lead"), "kmers"), "lead")
-    return joined.select("lead", "id", "kmers", "other").mapInArrow(run, "lead long, id long, alike boolean")
+    # the lists of one side go to those of the other; few pairs are sent to where the lists are first
+    few = pairs.count() <= BROADCAST_IDS
+    sent = F.broadcast(pairs) if few else pairs
+    leads = kmers.select(F.col("id").alias("lead"), "kmers").join(F.broadcast(pairs.select("lead").distinct()) if few else pairs.select("lead").distinct(), "lead", "left_semi")
+    joined = kmers.withColumnRenamed("kmers", "other").join(sent, "id").join(leads, "lead")
+    return joined.select("lead", "id", "kmers", "other").mapInArrow(run, "lead long, id long")
 
 
-def _members(keyed: DataFrame) -> DataFrame:
-    """key, id, lead of all groups of two or more, from (id, keys). The lead is the member in most company.
+def _lead_pairs(keyed: DataFrame) -> DataFrame:
+    """lead, id, near (groups they share) of the groups of two or more, from (id, keys). The lead is the member in most company.
 
     Company is the sum of the sizes of all groups an id is in: the text that
     most others are near to, so most members are near to it.
@@ -206,29 +221,42 @@ def _members(keyed: DataFrame) -> DataFrame:
     members = rows.join(groups, "key")
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     leads = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top"))
-    return members.join(leads.select("key", (-F.col("top.minus")).alias("lead")), "key").select("key", "id", "lead")
+    led = members.join(leads.select("key", (-F.col("top.minus")).alias("lead")), "key")
+    return led.filter("id <> lead").groupBy("lead", "id").agg(F.count("*").alias("near"))
 
 
-def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
-    """(lead, id) of verified links between different texts, and (id, label) of their components."""
-    first = _members(contents.select("id", band_keys(F.col("sketch"), ROWS, BANDS).alias("keys"))).select("id", "lead").distinct().checkpoint()
-    ids = first.select("id").distinct().checkpoint()
-    kmers = _kmer_table(docs, ids)
-    links = _verify(first.filter("id <> lead"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
-    labels = components(links)
-    # what can be alike and is in different classes yet: verified until no pair is left
-    of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
-    pairs, limit = _candidates(kmers, labels, wanted).checkpoint(), BATCH
-    while not pairs.isEmpty():
-        apart = pairs.join(of("id"), "id", "left").join(of("lead"), "lead", "left").withColumn("id_label", F.coalesce("id_label", "id")).withColumn("lead_label", F.coalesce("lead_label", "lead"))
-        ranked = Window.partitionBy("id", "lead_label").orderBy("lead")
-        apart = apart.filter("id_label <> lead_label").withColumn("r", F.row_number().over(ranked)).select("lead", "id", "r").checkpoint()
-        more = _verify(apart.filter(F.col("r") <= limit).select("lead", "id"), kmers, wanted).filter("alike").select("lead", "id").checkpoint()
+def _settle(pairs: DataFrame, kmers: DataFrame, links: DataFrame, labels: DataFrame, wanted: float, by: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """links and labels after the pairs (lead, id, near) that are in different classes are verified, nearest first, until none is left.
+
+    `limit` pairs for each value of `by` are verified first, BATCH times as many in each later round.
+    """
+    while True:
+        of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+        few = labels.count() <= BROADCAST_IDS
+        sent = F.broadcast if few else (lambda df: df)
+        apart = pairs.join(sent(of("id")), "id", "left").join(sent(of("lead")), "lead", "left")
+        apart = apart.withColumn("id_label", F.coalesce("id_label", "id")).withColumn("lead_label", F.coalesce("lead_label", "lead")).filter("id_label <> lead_label")
+        ranked = Window.partitionBy(*by).orderBy(F.desc("near"), "lead")
+        apart = apart.withColumn("r", F.row_number().over(ranked)).select("lead", "id", "near", "r").checkpoint()
+        if apart.isEmpty():
+            return links, labels
+        more = _verify(apart.filter(F.col("r") <= limit).select("lead", "id"), kmers, wanted).checkpoint()
         if not more.isEmpty():
             links = links.unionByName(more).checkpoint()
             labels = components(links)
-        pairs, limit = apart.filter(F.col("r") > limit).select("lead", "id"), limit * BATCH
-    return links, labels
+        pairs, limit = apart.filter(F.col("r") > limit).select("lead", "id", "near"), limit * BATCH
+
+
+def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFrame, DataFrame]:
+    """(lead, id) of verified links between the contents (id, doc, h, sketch), and (id, label) of their components."""
+    spark = docs.sparkSession
+    led = _lead_pairs(contents.select("id", band_keys(F.col("sketch"), ROWS, BANDS).alias("keys"))).checkpoint()
+    ids = led.select("id").unionByName(led.select(F.col("lead").alias("id"))).distinct()
+    kmers = _kmer_table(docs, contents.select("id", "doc", "h").join(ids, "id").checkpoint())
+    links, labels = spark.createDataFrame([], "lead long, id long"), spark.createDataFrame([], "id long, label long")
+    links, labels = _settle(led, kmers, links, labels, wanted, ["id"], 1)
+    # what can be alike and is in different classes yet
+    return _settle(_candidates(kmers, labels, wanted).checkpoint(), kmers, links, labels, wanted, ["id", "lead_label"], BATCH)
 
 
 def _common(kmers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +288,7 @@ def prefix(kmers: np.ndarray, common: tuple[np.ndarray, np.ndarray], wanted: flo
 
 
 def _candidates(kmers: DataFrame, labels: DataFrame, wanted: float) -> DataFrame:
-    """(lead, id), each pair once: texts in different classes that can be alike, by prefix, size and place."""
+    """lead, id, near (prefix k-mers they share), each pair once: texts in different classes that can be alike, by prefix, size and place."""
     common = _common(kmers)
 
     def run(batches):
@@ -277,14 +305,15 @@ def _candidates(kmers: DataFrame, labels: DataFrame, wanted: float) -> DataFrame
     few = labels.count() <= BROADCAST_IDS
     rows = kmers.mapInArrow(run, "id long, key long, n int, place int").join(F.broadcast(of) if few else of, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rows = rows.join(mixed, "key", "left_semi").checkpoint()
+    mixed = mixed.checkpoint()
+    rows = rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key", "left_semi").checkpoint()
     # members of a key's largest class are only compared with members of its others
     largest = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
     rows = rows.join(largest, "key")
     one = rows.filter("label <> largest").select("key", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
     enough = F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) >= wanted / (1 + wanted) * (F.col("a_n") + F.col("n")) - 1e-6
     near = one.join(rows, "key").filter((F.col("label") != F.col("a_label")) & ((F.col("label") == F.col("largest")) | (F.col("a") < F.col("id"))) & enough)
-    return near.select(F.least("a", "id").alias("lead"), F.greatest("a", "id").alias("id")).distinct()
+    return near.select(F.least("a", "id").alias("lead"), F.greatest("a", "id").alias("id")).groupBy("lead", "id").agg(F.count("*").alias("near"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,33 +340,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, wanted: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id of equal words), n_links (verified links to different texts; not all that are alike are compared once they share a class)."""
+def _classified(docs: DataFrame, wanted: float) -> DataFrame:
+    """doc, h of every row, copy (first row of equal words) and keeper (first row of the class) as structs (doc, h), and n_links."""
     ensure_checkpoint_dir(docs.sparkSession)
     sketches = sketched(docs).checkpoint()
-    contents = sketches.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("n"))
-    contents = contents.checkpoint()
-    links, labels = _links(docs, contents.filter(F.size("sketch") > 0).select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"]), wanted)
+    row = F.struct("doc", "h")
+    contents = sketches.groupBy("c1", "c2").agg(F.min(row).alias("copy"), F.first("sketch").alias("sketch"), F.count("*").alias("n")).checkpoint()
+    links, labels = _links(docs, contents.filter(F.size("sketch") > 0).select(F.col("c1").alias("id"), "copy.doc", "copy.h", "sketch"), wanted)
     counted = links.select("id").unionByName(links.select(F.col("lead").alias("id"))).groupBy("id").count()
-    of_rep = labels.join(counted, "id").select(F.col("id").alias("rep"), "label", "count").checkpoint()
-    copies = contents.filter("n > 1").select("c1", "c2", "rep")
-    found = sketches.select("doc_id", "c1", "c2").join(copies, ["c1", "c2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    found = found.join(of_rep, "rep", "left")
-    return found.select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links"))
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """classes() for every row of docs; rows without doc_id have no class."""
-    none = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return classes(docs).unionByName(none)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows, all columns, of one document of each class (the smallest doc_id); rows without doc_id stay."""
-    drop = classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct().checkpoint()
-    packed = pack(docs, id=F.col("doc_id").cast("long"), text=F.col("text"))
-    kept = packed.join(drop, "id", "left_anti")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        first = Window.partitionBy("id").orderBy(F.desc("text"))
-        kept = kept.withColumn("n", F.row_number().over(first)).filter("n = 1 or id is null")
+    linked = contents.select("c1", "c2", "copy").join(labels.join(counted, "id").withColumnRenamed("id", "c1"), "c1").checkpoint()
+    keepers = linked.groupBy("label").agg(F.min("copy").alias("keeper"))
+    of_linked = linked.join(keepers, "label").select("c1", "c2", "keeper", "count")
+    known = contents.filter("n > 1").select("c1", "c2", "copy").join(of_linked, ["c1", "c2"], "full_outer")
+    found = sketches.select("doc", "h", "c1", "c2").join(known, ["c1", "c2"], "left").withColumn("copy", F.coalesce("copy", row))
+    return found.select("doc", "h", "copy", F.coalesce("keeper", "copy").alias("keeper"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame, wanted: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id of equal words), n_links (verified links to different texts; not all that are alike are compared once they share a class)."""
+    name = lambda c: F.nullif(F.col(c), F.lit(_LAST))
+    return _classified(docs, wanted).select(name("doc").alias("doc_id"), name("keeper.doc").alias("class_id"), name("copy.doc").alias("copy_of"), "n_links")
+
+
+def keep_one(docs: DataFrame, wanted: float = SIMILARITY) -> DataFrame:
+    """One row of each class, all columns: the one that keeps the class; of equal such rows one."""
+    row = F.struct("doc", "h")
+    drop = _classified(docs, wanted).filter(row != F.col("keeper")).select("doc", "h").distinct().checkpoint()
+    packed = pack(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), h=F.xxhash64("text"))
+    kept = packed.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, ["doc", "h"], "left_anti")
+    rows = kept.select("doc", "h")
+    if not rows.groupBy("doc", "h").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc", "h"])
     return unpack(kept)

@@ -47,7 +47,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearduplicates.report(read(spark, sf_dir, "documents"))
+    return nearduplicates.classes(read(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -631,15 +631,26 @@ def test_near_duplicates_chain_in_one_group(spark, monkeypatch):
     assert len(got) == 12 and all(r.class_id == 0 for r in got)
 
 
-def test_near_duplicates_odd(odd, empty):
-    rows = nearduplicates.report(odd).collect()
+def test_near_duplicates_odd(spark, odd, empty):
+    rows = nearduplicates.classes(odd).collect()
     assert len(rows) == len(ODD)
     got = {r.doc_id: r.class_id for r in rows}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, None: None}
     kept = nearduplicates.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "6", "None"]
-    assert nearduplicates.report(empty).count() == 0 and nearduplicates.keep_one(empty).count() == 0
+    assert nearduplicates.classes(empty).count() == 0 and nearduplicates.keep_one(empty).count() == 0
+
+
+def test_near_duplicates_of_equal_or_null_ids(spark):
+    """Different texts under one id stay apart; copies go, with an id or without."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (None, text("c")), (None, text("d")), (None, text("d") + " end"), (3, text("c") + " end"), (4, text("e")), (4, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in nearduplicates.classes(df).collect())
+    assert got == [(0, 0), (0, 0), (0, 3), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4)]
+    kept = sorted((r.doc_id or 0, r.text[0]) for r in nearduplicates.keep_one(df).collect())
+    assert kept == [(0, "d"), (1, "a"), (1, "b"), (3, "c"), (4, "e")]
 
 
 def test_components(spark):
