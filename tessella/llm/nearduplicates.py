@@ -56,12 +56,12 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES, ROWS = 24, 2
 BANDS = SKETCHES // ROWS
-#: So many k-mers at most are sent to all tasks as common ones (16 bytes each), each in more than COMMON texts.
-COMMON_KMERS, COMMON = 250_000, 8
+#: So many k-mers at most are sent to all tasks as common ones (16 bytes each), each in more than COMMON of the COUNTED texts (one in so many).
+COMMON_KMERS, COMMON, COUNTED = 250_000, 2, 8
 #: Pairs verified for each text and other class in the first round of the exact search; BATCH times as many in each later round.
 BATCH = 8
 #: So many ids (8 bytes each) at most are sent to all tasks; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 _LAST = 2**63 - 1
 LINKS_PER_PARTITION = 100_000
 
@@ -260,14 +260,18 @@ def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFra
 
 
 def _common(kmers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common k-mers, COMMON_KMERS at most, and in how many texts they are."""
+    """The most common k-mers, COMMON_KMERS at most, and in how many of the counted texts they are.
+
+    They only set the order of the prefix filter, which is exact in any order, so
+    a sample of the texts does.
+    """
 
     def count(batches):
         for batch in batches:
             k, n = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["kmer", "n"])
 
-    found = kmers.select("kmers").mapInArrow(count, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON).checkpoint()
+    found = kmers.filter(F.pmod("id", F.lit(COUNTED)) == 0).select("kmers").mapInArrow(count, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON).checkpoint()
     least = COMMON
     while (kept := found.filter(F.col("n") > least)).count() > COMMON_KMERS:
         least *= 2
@@ -305,8 +309,7 @@ def _candidates(kmers: DataFrame, labels: DataFrame, wanted: float) -> DataFrame
     few = labels.count() <= BROADCAST_IDS
     rows = kmers.mapInArrow(run, "id long, key long, n int, place int").join(F.broadcast(of) if few else of, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    mixed = mixed.checkpoint()
-    rows = rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key", "left_semi").checkpoint()
+    rows = rows.join(mixed, "key", "left_semi").checkpoint()
     # members of a key's largest class are only compared with members of its others
     largest = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
     rows = rows.join(largest, "key")

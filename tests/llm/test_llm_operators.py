@@ -618,6 +618,7 @@ def test_near_duplicates_chain_in_one_group(spark, monkeypatch):
     """Each text is like the next one only; all share all keys, led by the first."""
     one_group(monkeypatch)
     monkeypatch.setattr(nearduplicates, "COMMON", 1)
+    monkeypatch.setattr(nearduplicates, "COUNTED", 1)
     monkeypatch.setattr(nearduplicates, "BATCH", 2)
     w, rows = [f"b{i}" for i in range(200)], []
     for i in range(12):
