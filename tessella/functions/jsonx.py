@@ -71,6 +71,7 @@ def reply_json(c: Column) -> Column:
 
 
 def unwrap_list(c: Column, keys: tuple[str, ...] = ("concepts", "suggestions", "results", "items", "terms")) -> Column:
-    """JSON array text: the value itself if it is one, else that of the first key that holds one."""
+    """JSON array text: the value itself if it is one, else that of the first key that holds one, else the first list of the object."""
     is_list = lambda x: F.when(F.trim(x).startswith("["), x)
-    return F.coalesce(is_list(c), *(is_list(F.get_json_object(c, f"$.{k}")) for k in keys))
+    rest = F.filter(F.map_values(F.from_json(c, "map<string,string>")), lambda v: F.trim(v).startswith("["))
+    return F.coalesce(is_list(c), *(is_list(F.get_json_object(c, f"$.{k}")) for k in keys), F.get(rest, F.lit(0)))

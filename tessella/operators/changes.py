@@ -61,8 +61,11 @@ def merge(current: DataFrame, incoming: DataFrame, keys: list[str], overwrite: l
     """Upsert: all rows of both with `action` INSERT, UPDATE or KEEP.
 
     Columns in overwrite take the incoming value where it is not null; columns in
-    keep stay as they are on update and are taken on insert.
+    keep stay as they are on update and are taken on insert. Of several incoming
+    rows of one key the largest (compared column by column) counts.
     """
+    columns = [*overwrite, *keep]
+    incoming = incoming.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("__row")).select(*keys, "__row.*")
     cur = current.select(*keys, *(F.col(c).alias(f"__c_{c}") for c in [*overwrite, *keep]), F.lit(True).alias("__c"))
     inc = incoming.select(*keys, *(F.col(c).alias(f"__i_{c}") for c in [*overwrite, *keep]), F.lit(True).alias("__i"))
     both = cur.join(inc, keys, "full_outer")
@@ -101,3 +104,8 @@ def changed_content(rows: DataFrame, key: str, content: str, manifest: DataFrame
 def earlier_duplicate(rows: DataFrame, by: str, order: str) -> DataFrame:
     """rows with `first_id`: the smallest order of equal values."""
     return rows.withColumn("first_id", F.min(order).over(Window.partitionBy(by)))
+
+
+def content_duplicates(rows: DataFrame, id: str, content: str) -> DataFrame:
+    """md5, n, first_id of contents that occur more than once; only digests are shuffled."""
+    return rows.groupBy(F.md5(content).alias("md5")).agg(F.count("*").alias("n"), F.min(id).alias("first_id")).filter("n > 1")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.colors import distance, rgb_to_lab
+
 EDGE = 80.0
 METRICS = "struct<readable:boolean,color_ratio:double,intensity_std:double,edge_count:int,black_ratio:double>"
 
@@ -95,6 +97,56 @@ def components(pixels: DataFrame) -> DataFrame:
     return pixels.select("image", "y", "x", "region").groupBy("image").applyInPandas(label, "image long, y int, x int, region int, part long")
 
 
+def neighbourhood(pixels: DataFrame, value: str, name: str, how: str) -> DataFrame:
+    """pixels with `name`: the smallest or largest (`min`, `max`) value of the 3 x 3 pixels around each, those outside the image left out.
+
+    A pixel's value is sent to its nine places and combined there before the shuffle.
+    """
+    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    sent = pixels.select("image", "y", "x", F.col(value).alias("__v"), F.explode(steps).alias("s")).select("image", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "__v")
+    return pixels.join(sent.groupBy("image", "y", "x").agg(getattr(F, how)("__v").alias(name)), ["image", "y", "x"])
+
+
+def interior(pixels: DataFrame) -> DataFrame:
+    """(image, y, x, region) with `interior`: whether all of the 3 x 3 pixels around, as far as in the image, are of the same region."""
+    low = neighbourhood(pixels, "region", "__low", "min")
+    return neighbourhood(low, "region", "__high", "max").withColumn("interior", F.col("__low") == F.col("__high")).drop("__low", "__high")
+
+
+def line_mask(pixels: DataFrame, lightness: str, dark: float = 25.0) -> DataFrame:
+    """(image, y, x, ...) with `line`: dark pixels after a 3 x 3 closing (largest, then smallest of the neighbourhood)."""
+    marked = pixels.withColumn("__dark", (F.col(lightness) < dark).cast("int"))
+    grown = neighbourhood(marked, "__dark", "__grown", "max")
+    return neighbourhood(grown, "__grown", "__closed", "min").withColumn("line", F.col("__closed") == 1).drop("__dark", "__grown", "__closed")
+
+
+def ink_regions(pixels: DataFrame, line: str, least: float = 0.50) -> DataFrame:
+    """image, region, overlap, ink: regions of which at least that share are line pixels."""
+    share = pixels.groupBy("image", "region").agg(F.avg(F.col(line).cast("int")).alias("overlap"))
+    return share.withColumn("ink", F.col("overlap") >= least)
+
+
+# Fixed value: the green of the key colour (red, green, blue).
+KEY_COLOR = (0, 177, 64)
+
+
+def key_mask(r: Column, g: Column, b: Column, limit: float) -> Column:
+    """Whether a pixel's Lab colour is nearer to the key colour than limit."""
+    lab = lambda c: F.array(c["L"], c["a"], c["b"])
+    return distance(lab(rgb_to_lab(r, g, b)), lab(rgb_to_lab(*(F.lit(v) for v in KEY_COLOR)))) < limit
+
+
+def crayons(pixels: DataFrame, color: str, ink: str) -> DataFrame:
+    """image, crayons map<hex, pixels> without the pixels of ink regions; the colours of one image are few."""
+    counts = pixels.filter(~F.col(ink)).groupBy("image", color).agg(F.count("*").alias("n"))
+    return counts.groupBy("image").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(color, "n")))).alias("crayons"))
+
+
+def median_difference(regions: DataFrame, delta: str, left_out: Column) -> DataFrame:
+    """image, median colour difference of the regions that are not left out; 0 if none is."""
+    return regions.groupBy("image").agg(F.coalesce(F.median(F.when(~left_out, F.col(delta))), F.lit(0.0)).alias("median_delta"))
+
+
 # The 8 x 8 ordered dithering matrix, built by its doubling rule.
 def bayer(n: int = 8) -> list[list[int]]:
     m = np.zeros((1, 1), int)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.values import RETRY_SECONDS, half_even, retry_delay
+from tessella.functions.values import half_even, retry_delay
 
 TERMINAL = ("completed", "failed", "cancelled", "applied", "rejected")
 FINISHED = ("completed", "awaiting_validation", "applied")
@@ -90,5 +90,3 @@ def set_status(jobs: DataFrame, ids: DataFrame, id: str, status: str, allowed: t
     hit = F.coalesce("named", F.lit(False)) & F.col(status).isin(*allowed)
     return named.withColumn("changed", hit).withColumn(status, F.when(F.col("changed"), new).otherwise(F.col(status))).drop("named")
 
-
-__all__ = ["RETRY_SECONDS"]

@@ -2,43 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.values import half_even, index_median, index_quantile, rank_quantile
+from tessella.functions.values import half_even
 
 #: Fixed value: largest defect rate of a passed gate.
 GATE = 0.30
 
 
+def order_statistics(rows: DataFrame, by: str, value: str, **ranks: Column) -> DataFrame:
+    """Per group n and the values at ranks (from 0, columns of n) in ascending order, exact; null where a rank is out of range.
+
+    Equal values are counted before the shuffle and running counts are streamed,
+    so a large group is sorted by Spark, not gathered into an array.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__c"))
+    group = Window.partitionBy(by)
+    upto = F.sum("__c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = counts.groupBy(by).agg(F.sum("__c").alias("n"))
+    placed = counts.withColumn("__upto", upto).join(totals, by)
+    return placed.groupBy(by, "n").agg(*(F.min(F.when((rank >= 0) & (F.col("__upto") > rank), F.col(value))).alias(name) for name, rank in ranks.items()))
+
+
 def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Per group: n, smallest, upper median, element at int(0.9 n), largest. The order statistics are exact."""
-    sums = rows.filter(F.col(value).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return sums.select(by, F.size("v").cast("long").alias("n"), F.get("v", F.lit(0)).alias("min"), index_median(F.col("v")).alias("median"), index_quantile(F.col("v"), 0.9).alias("p90"), F.element_at("v", -1).alias("max"))
+    n = F.col("n")
+    return order_statistics(rows, by, value, min=F.lit(0), median=F.floor(n / 2), p90=F.floor(n * F.lit(0.9)), max=n - 1).select(by, "n", "min", "median", "p90", "max")
 
 
 def latency(rows: DataFrame, by: str, value: str, ok: Column, budget: float) -> DataFrame:
     """Statistics over successful rows, rates over all of them."""
-    sums = rows.withColumn("__ok", ok).groupBy(by).agg(
+    judged = rows.withColumn("__ok", ok)
+    sums = judged.groupBy(by).agg(
         F.count("*").alias("n"),
         F.count_if("__ok").alias("n_ok"),
-        F.array_sort(F.collect_list(F.when(F.col("__ok"), F.col(value)))).alias("v"),
         half_even(F.avg(F.when(F.col("__ok"), F.col(value))), 4).alias("mean"),
         half_even(F.count_if(F.col("__ok") & (F.col(value) <= budget)) / F.count("*"), 4).alias("within_budget"),
+        half_even(F.count_if(F.col("__ok") & (F.col(value) > budget)) / F.count("*"), 4).alias("over_budget"),
     )
-    half = F.floor(F.size("v") / 2).cast("int")
-    median = F.when(F.size("v") % 2 == 1, F.get("v", half)).otherwise((F.get("v", half - 1) + F.get("v", half)) / 2)
-    return sums.select(by, "n", "n_ok", half_even(median, 4).alias("median"), F.when(F.size("v") > 0, rank_quantile(F.col("v"), 0.95)).alias("p95"), "mean", "within_budget")
+    n = F.col("n")
+    ranks = order_statistics(judged.filter("__ok"), by, value, low=F.floor((n - 1) / 2), high=F.floor(n / 2), p95=F.bround(F.lit(0.95) * (n - 1), 0)).drop("n")
+    return sums.join(ranks, by, "left").select(by, "n", "n_ok", half_even((F.col("low") + F.col("high")) / 2, 4).alias("median"), "p95", "mean", "within_budget", "over_budget")
 
 
-def defect_rates(rows: DataFrame, by: str, scored: Column, a: Column, b: Column) -> DataFrame:
-    """Over scored rows: n, the two defect counts and (a + b) / 2n; null where n is 0. With the gate's verdict."""
+def defect_rates(rows: DataFrame, by: str, scored: Column, a: Column, b: Column, least: int = 1) -> DataFrame:
+    """Over scored rows: n, the two defect counts and (a + b) / 2n; null where n is 0. With the gate's verdict: waiting without rows, info under `least` rows, else go or no_go."""
     sums = rows.groupBy(by).agg(F.count_if(scored).alias("n"), F.count_if(scored & a).alias("n_a"), F.count_if(scored & b).alias("n_b"))
     rate = F.when(F.col("n") > 0, half_even((F.col("n_a") + F.col("n_b")) / (2 * F.col("n")), 4))
-    return sums.withColumn("rate", rate).withColumn("verdict", F.when(F.col("n") == 0, "waiting").when(F.col("rate") <= GATE, "go").otherwise("no_go"))
+    return sums.withColumn("rate", rate).withColumn("verdict", F.when(F.col("n") == 0, "waiting").when(F.col("n") < least, "info").when(F.col("rate") <= GATE, "go").otherwise("no_go"))
 
 
 def tag_frequency(rows: DataFrame, tags: Column) -> DataFrame:
+    """tag, n; order by n descending, then tag, where a list is shown."""
     return rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -62,3 +78,9 @@ def weighted_score(anchor: Column, json: Column, seconds: Column, bounds: Column
 def baseline_verdict(share: Column, n: Column, least: int, baseline: float = 28 / 52, keep: float = 0.7) -> Column:
     """Promotion from 70 % of the baseline on, withdrawal below, waiting while there are too few."""
     return F.when(n < least, "waiting").when(share >= keep * baseline, "promotion").otherwise("withdrawal")
+
+
+def compliance(rows: DataFrame, by: str, value: str, limit: float) -> DataFrame:
+    """Per group: rows, those within a limit, those beyond it, mean (six digits) and largest value."""
+    v = F.col(value)
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(v <= limit).alias("ok"), F.count_if(v > limit).alias("violators"), half_even(F.avg(v), 6).alias("avg"), F.max(v).alias("max"))

@@ -47,23 +47,11 @@ def longest_prefix(rows: DataFrame, name: str, known: DataFrame, key: str, separ
     Every prefix is a join key, so it stays an equi-join; the names' tokens bound
     the rows it makes.
     """
-    numbered = rows.withColumn("tokens", F.split(name, separator))
     prefixes = F.transform(F.sequence(F.size("tokens"), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice("tokens", F.lit(1), n), separator))
     keys = known.select(F.col(key).alias("prefix")).distinct()
-    names = numbered.select(name).distinct().withColumn("tokens", F.split(name, separator)).withColumn("prefix", F.explode(prefixes))
+    names = rows.select(name).distinct().withColumn("tokens", F.split(name, separator)).withColumn("prefix", F.explode(prefixes))
     found = names.join(keys, "prefix").groupBy(name).agg(F.max_by("prefix", F.length("prefix")).alias("match"))
-    return rows.join(found, name, "left")
-
-
-def first_contained(rows: DataFrame, text: str, names: DataFrame, name: str, rank: str) -> DataFrame:
-    """rows with `match`: the first name (by rank) whose words stand in the text, by an equi-join on words.
-
-    A name matches where it is one of the text's words, which is the exact form
-    of a containment search for one-word names and needs no nested loop.
-    """
-    words = rows.select(text).distinct().select(text, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("word"))
-    found = words.join(names.select(F.lower(name).alias("word"), F.col(name).alias("name"), rank), "word").groupBy(text).agg(F.min_by("name", rank).alias("match"))
-    return rows.join(found, text, "left")
+    return rows.drop("match").join(found, name, "left")
 
 
 def best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -1,30 +1,55 @@
 """Trees as adjacency rows (id, parent): levels, paths, subtrees, leaves, checks.
 
-Walks go level by level from the roots; each level is one join, so the number of
-joins is the depth of the tree, not the number of nodes.
+Walks go level by level from the roots until a level is empty; each level is one
+join with a checkpoint, so the number of joins is the depth of the tree, not the
+number of nodes, and no level is computed twice.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import use_shared_checkpoints
 
-def walk(nodes: DataFrame, start: DataFrame | None = None, depth: int = 16) -> DataFrame:
-    """id, parent, level (from 1), root, path array<id>, from the roots or from the given start ids."""
+
+def walk(nodes: DataFrame, start: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """id, parent, level (from 1), root, path array<id>, from the roots or from the given start ids; down to `depth` levels or to the end.
+
+    A node that would be below itself is not entered again.
+    """
+    use_shared_checkpoints(nodes.sparkSession)
     n = nodes.select("id", "parent")
     first = n.filter("parent is null") if start is None else n.join(start.select("id"), "id", "left_semi")
-    level = first.select("id", "parent", F.lit(1).alias("level"), F.col("id").alias("root"), F.array("id").alias("path"))
+    level = first.select("id", "parent", F.lit(1).alias("level"), F.col("id").alias("root"), F.array("id").alias("path")).checkpoint()
     levels = [level]
-    for _ in range(depth - 1):
+    while depth is None or len(levels) < depth:
         above = level.select(F.col("id").alias("up"), "level", "root", "path")
-        level = n.join(above, n["parent"] == above["up"]).select("id", "parent", (F.col("level") + 1).alias("level"), "root", F.array_append("path", F.col("id")).alias("path"))
+        below = n.join(above, n["parent"] == above["up"]).filter(~F.array_contains("path", F.col("id")))
+        level = below.select("id", "parent", (F.col("level") + 1).alias("level"), "root", F.array_append("path", F.col("id")).alias("path")).checkpoint()
+        if level.isEmpty():
+            break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
+def pre_order(nodes: DataFrame, start: DataFrame, weight: Column) -> DataFrame:
+    """id, level, place (from 1) of the start ids and all below them, each before its children, siblings by weight (null: 0), then id."""
+    use_shared_checkpoints(nodes.sparkSession)
+    key = nodes.select("id", F.struct(F.coalesce(weight, F.lit(0)).cast("double").alias("w"), F.col("id").alias("i")).alias("k"))
+    steps = walk(nodes, start).select("id", "root", "level", F.posexplode("path").alias("p", "step"))
+    keyed = steps.join(key.withColumnRenamed("id", "step"), "step").groupBy("id", "root", "level").agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("ks"))
+    # array order is pre-order: a prefix comes before what it begins
+    return keyed.select("id", "root", "level", F.row_number().over(Window.partitionBy("root").orderBy(F.col("ks.k"))).alias("place"))
+
+
+def with_children(nodes: DataFrame, ids: list[str]) -> DataFrame:
+    """The named nodes and their direct children."""
+    return nodes.filter(F.col("id").isin(*ids) | F.col("parent").isin(*ids))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's parent."""
     parents = nodes.filter("parent is not null").select(F.col("parent").alias("id")).distinct()

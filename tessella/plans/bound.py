@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import colors, jsonx, text, values
-from tessella.operators import arrays, changes, images, jobs, rules, summaries, tables, trees
+from tessella.operators import arrays, changes, images, jobs, lookups, rules, summaries, tables, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,10 +119,10 @@ def retention_purge(spark, sf_dir):
     return left.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@bound("""SELECT DISTINCT user_id FROM events a WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'error')""")
+@bound("""SELECT DISTINCT o_custkey FROM orders a WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P' AND b.o_orderkey % 3 = 0)""")
 def followup_enqueue(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return jobs.followups(e.filter("event_type = 'purchase'").select("user_id").distinct(), e.filter("event_type = 'error'"), ["user_id"])
+    o = read(spark, sf_dir, "orders")
+    return jobs.followups(o.filter("o_orderstatus = 'F'").select("o_custkey").distinct(), o.filter("o_orderstatus = 'P' and o_orderkey % 3 = 0"), ["o_custkey"])
 
 
 @bound("""SELECT user_id, arg_max(value, (ts, event_id)) AS progress, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY user_id""")
@@ -220,13 +220,14 @@ def first_per_category(spark, sf_dir):
     return p.select("p_type").distinct().join(first, "p_type", "left")
 
 
-@bound("""WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS r2 FROM part),
-r AS (SELECT *, row_number() OVER (PARTITION BY r2 ORDER BY p_partkey) AS k FROM s)
-SELECT p_partkey, r2, CASE WHEN k = 1 THEN 'kept' ELSE 'r2_taken' END AS outcome FROM r""")
+@bound("""WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || p_size % 7 AS r2, 's' || (p_partkey * 7 % 31) AS slug FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY r2 ORDER BY p_partkey) AS k FROM s), a AS (SELECT p_partkey, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS j FROM r WHERE k = 1)
+SELECT p_partkey, r2, CASE WHEN k > 1 THEN 'r2_taken' WHEN j > 1 THEN 'slug_taken' ELSE 'kept' END AS outcome FROM r LEFT JOIN a USING (p_partkey)""")
 def greedy_unique_slugs(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", text.kebab(F.col("p_name")).alias("r2"))
-    slugs = p.withColumn("posts", F.array(F.struct(F.lit("en").alias("locale"), F.col("r2").alias("slug"))))
-    return tables.unique_slugs(slugs, "p_partkey", "r2", "posts").select("p_partkey", "r2", "outcome")
+    r2 = F.concat(text.kebab(F.col("p_name")), F.lit("-"), (F.col("p_size") % 7).cast("string"))
+    slug = F.concat(F.lit("s"), (F.col("p_partkey") * 7 % 31).cast("string"))
+    p = read(spark, sf_dir, "part").select("p_partkey", r2.alias("r2"), F.array(F.struct(F.lit("en").alias("locale"), slug.alias("slug"))).alias("posts"))
+    return tables.unique_slugs(p, "p_partkey", "r2", "posts").select("p_partkey", "r2", "outcome")
 
 
 @bound("""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_size AS name FROM part), k AS (SELECT DISTINCT replace(p_name, ' ', '_') AS key FROM part WHERE p_partkey % 3 = 0)
@@ -238,18 +239,17 @@ def prefix_join(spark, sf_dir):
     return tables.longest_prefix(names, "name", known, "key").select("p_partkey", "match")
 
 
-@bound("""WITH n(name, rank) AS (VALUES ('the', 2), ('und', 1), ('de', 3)), w AS (SELECT item_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS word FROM benchmark)
-SELECT b.item_id, arg_min(name, rank) AS match FROM benchmark b LEFT JOIN (SELECT * FROM w JOIN n ON word = name) m ON m.item_id = b.item_id GROUP BY b.item_id""")
+@bound("""WITH n(name, rank) AS (VALUES ('the', 2), ('und', 1), ('de', 3)) SELECT b.item_id, arg_min(name, rank) AS match FROM benchmark b LEFT JOIN n ON contains(lower(b.text), name) GROUP BY b.item_id""")
 def substring_join(spark, sf_dir):
     names = spark.sql("SELECT * FROM VALUES ('the', 2), ('und', 1), ('de', 3) AS t(name, rank)")
-    return tables.first_contained(read(spark, sf_dir, "benchmark"), "text", names, "name", "rank").select("item_id", "match")
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("low"))
+    return lookups.first_contained(b, "low", names, "name", "rank").select("item_id", "match")
 
 
 @bound("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 'even,third' WHEN p_size % 2 = 0 THEN 'even' WHEN p_size % 3 = 0 THEN 'third' ELSE '' END AS themes FROM part""")
 def theme_membership(spark, sf_dir):
     themes = spark.sql("SELECT 'even' AS theme, transform(sequence(0, 25), x -> x * 2) AS leaves UNION ALL SELECT 'third', transform(sequence(0, 17), x -> x * 3)")
-    member = themes.select("theme", F.explode("leaves").alias("p_size")).groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_set("theme")), ",").alias("themes"))
-    return read(spark, sf_dir, "part").join(member, "p_size", "left").select("p_partkey", F.coalesce("themes", F.lit("")).alias("themes"))
+    return lookups.memberships(read(spark, sf_dir, "part"), "p_size", themes, "theme", "leaves").select("p_partkey", F.array_join("theme", ",").alias("themes"))
 
 
 # trees: region -> nation -> customer
@@ -308,19 +308,25 @@ def coverage_by_vocab(spark, sf_dir):
     return trees.coverage(tree_rows(spark, sf_dir).withColumn("kind", F.substring("id", 1, 1)), "kind", F.col("balance") > 0)
 
 
-@bound("""WITH a(name, expected, actual) AS (SELECT 'level_1', 5, (SELECT count(*) FROM region) UNION ALL SELECT 'level_2', 25, (SELECT count(*) FROM nation)
-UNION ALL SELECT 'level_3', 0, (SELECT count(*) FROM customer) UNION ALL SELECT 'orphans', 0, 0 UNION ALL SELECT 'duplicates', 0, 0 UNION ALL SELECT 'blank', 0, 0)
+_BROKEN = f"""WITH t AS ({_TREE}), k AS (SELECT id, parent FROM t WHERE id NOT IN ('n3', 'n7') UNION ALL SELECT id, parent FROM t WHERE id IN ('c1', 'c2') UNION ALL SELECT ' ', 'n1')"""
+
+
+@bound(f"""{_BROKEN}, a(name, expected, actual) AS (SELECT 'level_1', 5, (SELECT count(*) FROM k WHERE parent IS NULL) UNION ALL SELECT 'level_2', 25, (SELECT count(*) FROM k WHERE parent IN (SELECT id FROM k WHERE parent IS NULL))
+UNION ALL SELECT 'level_3', 0, (SELECT count(*) FROM k c JOIN k n ON c.parent = n.id JOIN k r ON n.parent = r.id WHERE r.parent IS NULL) UNION ALL SELECT 'orphans', 0, (SELECT count(*) FROM k WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM k))
+UNION ALL SELECT 'duplicates', 0, (SELECT count(*) FROM (SELECT id FROM k GROUP BY id HAVING count(*) > 1)) UNION ALL SELECT 'blank', 0, (SELECT count(*) FROM k WHERE trim(id) = ''))
 SELECT name, expected::BIGINT AS expected, actual::BIGINT AS actual, expected = actual AS ok FROM a""")
 def integrity_report(spark, sf_dir):
-    return trees.integrity(tree_rows(spark, sf_dir), {"level_1": 5, "level_2": 25})
+    t = tree_rows(spark, sf_dir).select("id", "parent")
+    broken = t.filter("id not in ('n3', 'n7')").unionByName(t.filter("id in ('c1', 'c2')")).unionByName(spark.sql("SELECT ' ' AS id, 'n1' AS parent"))
+    return trees.integrity(broken, {"level_1": 5, "level_2": 25})
 
 
 # text
 
 
-@bound(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(left(text, 60))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+@bound(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
 def slug_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.kebab(text.fold_latin(F.substring("text", 1, 60))).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.kebab(text.fold_latin(F.col("text"))).alias("slug"))
 
 
 @bound(r"""WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)
@@ -352,16 +358,23 @@ def category_rules(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.category(leaf).alias("category"))
 
 
-@bound("""SELECT p_partkey, replace(p_name, ' ', '_') AS concept, CAST(p_size AS INT) AS steps, CAST(p_size AS DOUBLE) / 10 AS cfg, p_partkey AS seed FROM part""")
+@bound("""SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 4 = 2 THEN '_' || p_partkey ELSE '' END AS concept, CASE WHEN p_partkey % 4 < 2 THEN CAST(p_size AS INT) END AS steps,
+CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS DOUBLE) / 10 END AS cfg, CASE WHEN p_partkey % 4 < 3 THEN p_partkey END AS seed FROM part""")
 def filename_parts(spark, sf_dir):
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"), F.lit("s_cfg"), F.col("p_size").cast("string"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    k = F.col("p_partkey") % 4
+    of = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    base, size, key = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size"), F.col("p_partkey")
+    name = F.when(k == 0, of(base, "_", size, "s_cfg", size, "_", key, ".png")).when(k == 1, of(base, "_", size, "s_", key, ".png")).when(k == 2, of(base, "_", key, ".png")).otherwise(of("dir/", base, ".png"))
     return read(spark, sf_dir, "part").select("p_partkey", text.filename_parts(name).alias("f")).select("p_partkey", "f.*")
 
 
-@bound(r"""SELECT p_partkey, 'NEW: ' || p_name || ', clean' AS styled, 'green screen, ' || p_name AS keyed FROM part""")
+@bound(r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'NEW: ' || p_name || ', clean' ELSE p_name || ', clean' END AS styled,
+CASE p_partkey % 3 WHEN 0 THEN 'green screen, ' || p_name WHEN 1 THEN p_name || ' illustration, green screen, x' ELSE 'green screen ' || p_name END AS keyed FROM part""")
 def style_transform(spark, sf_dir):
-    p = F.concat(F.lit("HEAD: "), F.col("p_name"), F.lit(", bold"))
-    return read(spark, sf_dir, "part").select("p_partkey", text.restyle(p, "HEAD:", "NEW:", ["bold"], ", clean").alias("styled"), text.inject_background(F.col("p_name"), "green screen").alias("keyed"))
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    p = F.when(k == 0, F.concat(F.lit("HEAD: "), name, F.lit(", bold"))).when(k == 1, F.concat(name, F.lit(", , bold"))).otherwise(name)
+    q = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit(" illustration, x"))).otherwise(F.concat(F.lit("green screen "), name))
+    return read(spark, sf_dir, "part").select("p_partkey", text.restyle(p, "HEAD:", "NEW:", ["bold"], ", clean").alias("styled"), text.inject_background(q, "green screen").alias("keyed"))
 
 
 @bound("""SELECT n_nationkey, n_name AS en, '' AS ar, '{"en":"' || n_name || '","fr":"' || r_name || '"}' AS names FROM nation JOIN region ON n_regionkey = r_regionkey""")
@@ -397,14 +410,14 @@ def annotation_v2(spark, sf_dir):
 # rules
 
 
-@bound("""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, left(text, 150) AS description FROM documents)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN length(title) NOT BETWEEN 5 AND 100 THEN 'title_en len=' || length(title) || ' [5,100]' END,
-CASE WHEN length(description) NOT BETWEEN 20 AND 200 THEN 'description_en len=' || length(description) || ' [20,200]' END], lambda x: x IS NOT NULL), ';') AS hard,
-array_to_string(list_filter([CASE WHEN length(title) < 40 THEN 'title_en:too_short' WHEN length(title) > 60 THEN 'title_en:too_long' END,
-CASE WHEN length(description) < 80 THEN 'description_en:too_short' WHEN length(description) > 130 THEN 'description_en:too_long' END], lambda x: x IS NOT NULL), ';') AS soft FROM d""")
+@bound("""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2] AS description FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(length(title), 0) NOT BETWEEN 5 AND 100 THEN 'title_en len=' || coalesce(length(title), 0) || ' [5,100]' END,
+CASE WHEN coalesce(length(description), 0) NOT BETWEEN 20 AND 200 THEN 'description_en len=' || coalesce(length(description), 0) || ' [20,200]' END], lambda x: x IS NOT NULL), ';') AS hard,
+array_to_string(list_filter([CASE WHEN coalesce(length(title), 0) < 40 THEN 'title_en:too_short' WHEN length(title) > 60 THEN 'title_en:too_long' END,
+CASE WHEN coalesce(length(description), 0) < 80 THEN 'description_en:too_short' WHEN length(description) > 130 THEN 'description_en:too_long' END], lambda x: x IS NOT NULL), ';') AS soft FROM d""")
 def caps(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    fields = {"title_en": F.get(F.split("text", "\n"), 0), "description_en": F.substring("text", 1, 150)}
+    fields = {"title_en": F.get(F.split("text", "\n"), 0), "description_en": F.get(F.split("text", "\n"), 1)}
     soft = F.transform(rules.soft_violations(fields), lambda v: F.concat(v["field"], F.lit(":"), v["kind"]))
     return d.select("doc_id", F.array_join(rules.hard_violations(fields), ";").alias("hard"), F.array_join(soft, ";").alias("soft"))
 
@@ -449,8 +462,8 @@ def dist_summary(spark, sf_dir):
 
 
 @bound("""WITH o AS (SELECT event_type, value, event_id % 5 <> 0 AS ok FROM events), s AS (SELECT event_type, count(*) AS n, count(*) FILTER (ok) AS n_ok, list_sort(list(value) FILTER (ok)) AS v,
-round_even(avg(value) FILTER (ok), 4) AS mean, round_even(count(*) FILTER (ok AND value <= 50)::DOUBLE / count(*), 4) AS within_budget FROM o GROUP BY event_type)
-SELECT event_type, n, n_ok, round_even(list_median(v), 4) AS median, v[CAST(round_even(0.95::DOUBLE * (len(v) - 1), 0) AS INT) + 1] AS p95, mean, within_budget FROM s""")
+round_even(avg(value) FILTER (ok), 4) AS mean, round_even(count(*) FILTER (ok AND value <= 50)::DOUBLE / count(*), 4) AS within_budget, round_even(count(*) FILTER (ok AND value > 50)::DOUBLE / count(*), 4) AS over_budget FROM o GROUP BY event_type)
+SELECT event_type, n, n_ok, round_even(list_median(v), 4) AS median, v[CAST(round_even(0.95::DOUBLE * (len(v) - 1), 0) AS INT) + 1] AS p95, mean, within_budget, over_budget FROM s""")
 def latency_summary(spark, sf_dir):
     return summaries.latency(read(spark, sf_dir, "events"), "event_type", "value", F.col("event_id") % 5 != 0, 50)
 
@@ -474,8 +487,7 @@ def length_stats(spark, sf_dir):
 
 @bound("""SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_discount <= 0.05) AS ok, round_even(avg(l_discount), 6) AS avg_discount, max(l_discount) AS max_discount FROM lineitem GROUP BY l_returnflag""")
 def class_stats(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_discount")
-    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") <= 0.05).alias("ok"), values.half_even(F.avg("l_discount"), 6).alias("avg_discount"), F.max("l_discount").alias("max_discount"))
+    return summaries.compliance(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_discount", 0.05).withColumnsRenamed({"avg": "avg_discount", "max": "max_discount"}).drop("violators")
 
 
 # changes: incoming operations on orders
@@ -549,7 +561,7 @@ def publish_gate(spark, sf_dir):
 
 @bound("""SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def hash_dups(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return changes.content_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @bound("""SELECT doc_id % 3 AS kind, doc_id % 3 <> 0 AS write, count(*) AS n FROM documents GROUP BY ALL""")
@@ -615,12 +627,14 @@ def small_region_merge(spark, sf_dir):
     return arrays.small_into_majority(grid(spark, sf_dir), 10)
 
 
-@bound("""SELECT p_partkey, p_size::DOUBLE * p_size AS area, p_size::DOUBLE * p_size * 0.875 AS smoothed FROM part""")
+@bound("""WITH q AS (SELECT p_partkey, p_size::DOUBLE AS s, (p_partkey % 17)::DOUBLE AS k, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS turn FROM part),
+c AS (SELECT p_partkey, turn, unnest([1, 2, 3, 4]) AS i, [0.0, s, s + k, 1.0] AS x, [0.0, -k, s, s + 2] AS y FROM q), e AS (SELECT p_partkey, turn, x[i] AS x1, y[i] AS y1, x[i % 4 + 1] AS x2, y[i % 4 + 1] AS y2, x[(i + 2) % 4 + 1] AS x0, y[(i + 2) % 4 + 1] AS y0 FROM c)
+SELECT p_partkey, round(turn * sum(x1 * y2 - x2 * y1) / 2, 6) AS area, round(turn * (sum(x1 * y2 - x2 * y1) / 2 - sum((x1 - x0) * (y2 - y1) - (x2 - x1) * (y1 - y0)) / 32), 6) AS smoothed FROM e GROUP BY p_partkey, turn""")
 def polygon_area(spark, sf_dir):
-    s = F.col("p_size").cast("double")
-    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    square = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(s, F.lit(0.0)), corner(s, s), corner(F.lit(0.0), s))
-    return read(spark, sf_dir, "part").select("p_partkey", colors.polygon_area(square).alias("area"), colors.polygon_area(colors.chaikin(square)).alias("smoothed"))
+    s, k, zero = F.col("p_size").cast("double"), (F.col("p_partkey") % 17).cast("double"), F.lit(0.0)
+    corners = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (s, -k), (s + k, s), (F.lit(1.0), s + 2))))
+    shape = F.when(F.col("p_partkey") % 2 == 0, corners).otherwise(F.reverse(corners))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(colors.polygon_area(shape), 6).alias("area"), F.round(colors.polygon_area(colors.chaikin(shape)), 6).alias("smoothed"))
 
 
 @bound("""SELECT p_partkey, '#' || printf('%02x%02x%02x', p_partkey % 256, (p_partkey * 7) % 256, (p_partkey * 13) % 256) AS hex, ((p_partkey % 256) // 64 * 64)::INT AS red4,
@@ -692,13 +706,13 @@ def dithering(spark, sf_dir):
     return p.groupBy("vec_id").agg(F.count_if(white == 255).alias("white"))
 
 
-@bound(r"""WITH d AS (SELECT doc_id, source, n_chars, string_split(text, chr(10))[1] AS title, left(text, 120) AS description, quality FROM documents JOIN (SELECT doc_id AS i, quality FROM labels) ON i = doc_id),
+@bound(r"""WITH d AS (SELECT doc_id, source, n_chars, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2] AS description, quality FROM documents JOIN (SELECT doc_id AS i, quality FROM labels) ON i = doc_id),
 e AS (SELECT * FROM d WHERE length(title) BETWEEN 5 AND 100 AND length(description) BETWEEN 20 AND 200),
 b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quality DESC NULLS LAST, n_chars DESC, doc_id) AS r FROM e)
 SELECT source, doc_id, v.locale, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') || '-' || v.locale AS slug, left(title, 40) AS title_card FROM b, (VALUES ('fr'), ('en'), ('ar')) v(locale) WHERE r = 1""")
 def export_flow(spark, sf_dir):
     """Eligible documents, the best of each source, unique slugs, one post a locale."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.get(F.split("text", "\n"), 0).alias("title"), F.substring("text", 1, 120).alias("description"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.get(F.split("text", "\n"), 0).alias("title"), F.get(F.split("text", "\n"), 1).alias("description"))
     d = d.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     fit = d.filter(F.size(rules.hard_violations({"title_en": F.col("title"), "description_en": F.col("description")})) == 0)
     best = tables.best(fit, ["source"], F.desc_nulls_last("quality"), F.desc("n_chars"), F.col("doc_id"))

@@ -96,7 +96,7 @@ def test_trees(spark):
 def test_summaries(spark):
     df = spark.createDataFrame([("a", float(i), True) for i in range(1, 5)] + [("a", 100.0, False), ("b", None, False)], "k string, v double, ok boolean")
     assert rows(summaries.distribution(df, "k", "v")) == [("a", 5, 1.0, 3.0, 100.0, 100.0)]
-    assert rows(summaries.latency(df, "k", "v", F.col("ok"), 2.0)) == [("a", 5, 4, 2.5, 4.0, 2.5, 0.4), ("b", 1, 0, None, None, None, 0.0)]
+    assert rows(summaries.latency(df, "k", "v", F.col("ok"), 2.0)) == [("a", 5, 4, 2.5, 4.0, 2.5, 0.4, 0.4), ("b", 1, 0, None, None, None, 0.0, 0.0)]
     d = spark.createDataFrame([("a", 1, 1), ("a", 0, 0), ("b", None, None)], "k string, x int, y int")
     assert rows(summaries.defect_rates(d, "k", F.col("x").isNotNull(), F.col("x") == 1, F.col("y") == 1), "k", "n", "rate", "verdict") == [("a", 2, 0.5, "no_go"), ("b", 0, None, "waiting")]
     one = spark.range(1)
