@@ -1,13 +1,18 @@
 """Operator 5: benchmark decontamination with a distributed positional inverted index.
 
-The index is split by document: each task turns the documents it reads into
-postings (term, position) of the terms that test items use, sorted by term and
-position, and answers all test windows from them. A window is looked up from
-its rarest term: the offset-adjusted positions of that term are the candidate
+The index holds the postings of all training tokens. It is split by document
+into segments of bounded size: each row of the stored table is one segment, with
+its sorted terms and, term by term, the sorted positions of their occurrences.
+Building it reads the texts once and shuffles nothing; postings of hot terms are
+spread over the segments as the documents are. It is written to the shared
+folder, so further blocks of test items and retried tasks read postings, not
+texts.
+
+All test windows are answered from each segment. A window is looked up from its
+rarest term: the offset-adjusted positions of that term are the candidate
 starts, which are then intersected with the lists of its other terms from rare
-to frequent. Rarity is the length of the lists at hand, so it is exact and needs
-no pass of its own. Nothing is shuffled; postings of hot terms are split over
-tasks as the documents are.
+to frequent. Rarity is the length of the segment's own lists, so it is exact
+where it is used.
 
 Exact matches are places where a window's words stand consecutively. Proximity
 matches are candidate starts where every other term occurs within `SLOP` words
@@ -16,16 +21,20 @@ of its place.
 A window is `WINDOW` consecutive item words; an item of fewer words (but not
 none) is one window. The items are read in blocks of at most `BLOCK_WORDS`
 words, so what one lookup ships to the tasks has a fixed bound; further blocks
-are further lookups whose spans are merged.
+are further lookups in the index whose spans are merged. Words are 64-bit hashes.
 
 Cases: null or wordless documents and items match nothing. Items with equal ids
 count as one. Repeated documents are answered row by row. An empty benchmark
-hits nothing. Overlapping occurrences hit a word once.
+hits nothing. Overlapping occurrences hit a word once. Documents of equal or
+null id are told apart by their text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +42,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import pack, struct, unpack
+from .common import ensure_checkpoint_dir, pack, shared_folder, struct, unpack
 
 WINDOW = 10
 SLOP = 2
+#: Free positions between texts: no window, and no word near its place, reaches over them.
+GAP = WINDOW + SLOP + 1
 BLOCK_WORDS = 1_000_000
 #: Candidate starts looked at together.
 CANDIDATES = 2_000_000
+#: So many contaminated documents (16 bytes each) at most are sent to all tasks.
+SENT_IDS = 250_000
 
-_TYPE = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>,near:array<string>>"
+_ANSWER = ["segment", "text", "doc", "h", "n_words", "spans", "items", "near"]
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -67,21 +80,19 @@ class Lookup:
             matrix = np.searchsorted(self.terms, np.array(rows, np.uint64).reshape(-1, size))
             self.groups.append((size, matrix, np.cumsum([0, *map(len, owned)]), np.array([i for o in owned for i in o], np.int64)))
 
-    def postings(self, w: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Sorted keys term * span + position, list lengths, each text's first position, span."""
-        gap = WINDOW + SLOP + 1
-        n = len(w.first) - 1
-        base = w.first[:-1] + gap * (np.arange(n) + 1)
-        at = np.arange(len(w.hash)) + np.repeat(gap * (np.arange(n) + 1), w.counts)
-        span = int(len(w.hash) + gap * (n + 3))
-        term = np.minimum(np.searchsorted(self.terms, w.hash), len(self.terms) - 1)
-        known = self.terms[term] == w.hash
-        term = term[known]
-        return np.sort(term * span + at[known]), np.bincount(term, minlength=len(self.terms)), base, span
-
-    def find(self, w: textnum.Words) -> tuple[np.ndarray, ...]:
+    def postings(self, s: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys term number * span + position of this block's terms, and the lengths of their lists."""
+        at = np.minimum(np.searchsorted(s.terms, self.terms), max(len(s.terms) - 1, 0))
+        lengths = np.where(s.terms[at] == self.terms, s.sizes[at], 0) if len(s.terms) else np.zeros(len(self.terms), np.int64)
+        heads = np.cumsum(s.sizes) - s.sizes
+        of = np.repeat(np.arange(len(self.terms)), lengths)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return of * s.span + s.places[heads[at[of]] + inner] if len(of) else of, lengths
+
+    def find(self, s: Segment) -> tuple[np.ndarray, ...]:
         """(text, first word, size) of exact matches; (text, item) of exact and of proximity matches."""
-        keys, lengths, base, span = self.postings(w)
+        base, span = s.base, s.span
+        keys, lengths = self.postings(s)
         heads = np.searchsorted(keys, np.arange(len(self.terms)) * span)
         places, exact, close = [], [], []
         for size, matrix, owned_at, owned in self.groups:
@@ -121,31 +132,79 @@ class Lookup:
         inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         out.append(np.unique(np.stack([np.repeat(text, n), owned[np.repeat(owned_at[alive[which]], n) + inner]]), axis=1))
 
-    def answer(self, texts: pa.Array) -> pa.Array:
-        parts = [self._answer(textnum.words(texts[a:b])) for a, b in textnum.slices(texts)]
-        return pa.concat_arrays(parts or [self._answer(textnum.words(texts))])
-
-    def _answer(self, w: textnum.Words) -> pa.Array:
-        n = len(w.first) - 1
-        if len(w.hash) and len(self.terms):
-            places, exact, close = self.find(w)
+    def answer(self, s: Segment) -> list[pa.Array]:
+        """n_words, spans, items, near of each text of a segment."""
+        n = len(s.counts)
+        if len(s.places) and len(self.terms):
+            places, exact, close = self.find(s)
         else:
             places, exact, close = np.zeros((3, 0), np.int64), np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
-        change = np.zeros(len(w.hash) + n + 1, np.int64)  # one free place after each text
-        at = w.first[places[0]] + places[0] + places[1]
+        first = np.cumsum(s.counts) - s.counts
+        change = np.zeros(int(s.counts.sum()) + n + 1, np.int64)  # one free place after each text
+        at = first[places[0]] + places[0] + places[1]
         np.add.at(change, at, 1)
         np.add.at(change, at + places[2], -1)
         hit = np.cumsum(change) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit])))
         start, stop = edge[::2], edge[1::2]
-        origin = w.first[:-1] + np.arange(n)
+        origin = first + np.arange(n)
         text = np.searchsorted(origin, start, "right") - 1
         from_text = origin[text] if len(text) else text
         spans = pa.StructArray.from_arrays([pa.array(start - from_text, pa.int64()), pa.array(stop - from_text, pa.int64())], fields=list(_SPAN))
         lists = lambda owner, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
         names = np.array(self.items, object)
         named = lambda pairs: lists(pairs[0], pa.array(names[pairs[1]] if len(names) else [], pa.string()))
-        return pa.StructArray.from_arrays([pa.array(w.counts, pa.int64()), lists(text, spans), named(exact), named(close)], ["n_words", "spans", "items", "near"])
+        return [pa.array(s.counts, pa.int64()), lists(text, spans), named(exact), named(close)]
+
+
+@dataclass
+class Segment:
+    """Postings of some texts: sorted terms, how often each occurs, positions term by term; and the texts' numbers of words.
+
+    Texts lie one behind the other, with a gap between that no window bridges.
+    """
+
+    terms: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def base(self) -> np.ndarray:
+        """Position of each text's first word."""
+        return np.cumsum(self.counts) - self.counts + GAP * (np.arange(len(self.counts)) + 1)
+
+    @property
+    def span(self) -> int:
+        return int(self.counts.sum() + GAP * (len(self.counts) + 3))
+
+
+def segment(texts: pa.Array) -> Segment:
+    w = textnum.words(texts)
+    at = np.arange(len(w.hash)) + np.repeat(GAP * (np.arange(len(w.counts)) + 1), w.counts)
+    order = np.argsort(w.hash, kind="stable")
+    terms, sizes = np.unique(w.hash, return_counts=True)
+    return Segment(terms, sizes, at[order], w.counts)
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs: a row a segment, its texts named by doc (null doc_id: null) and h (hash of the text)."""
+
+    def build(batches):
+        for batch in batches:
+            for a, b in textnum.slices(batch.column(2)):
+                s = segment(batch.column(2)[a:b])
+                one = lambda values, kind: pa.array([values], pa.list_(kind))
+                listed = lambda column: pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), column[a:b])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [listed(batch.column(0)), listed(batch.column(1)), one(s.counts, pa.int32()), one(s.terms.view(np.int64), pa.int64()), one(s.sizes, pa.int32()), one(s.places, pa.int32())],
+                    ["doc", "h", "counts", "terms", "sizes", "places"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
+    path = f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+    rows.mapInArrow(build, "doc array<long>, h array<long>, counts array<int>, terms array<long>, sizes array<int>, places array<int>").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _blocks(items: DataFrame) -> Iterator[Lookup]:
@@ -161,12 +220,20 @@ def _blocks(items: DataFrame) -> Iterator[Lookup]:
         yield Lookup(block)
 
 
-def _found(text: Column, lookup: Lookup) -> Column:
-    @F.arrow_udf(_TYPE)
-    def look_up(texts: pa.Array) -> pa.Array:
-        return lookup.answer(texts)
+def _answers(stored: DataFrame, lookup: Lookup) -> DataFrame:
+    """segment, text, doc, h and what the windows of one block hit, a row for each text."""
 
-    return look_up(text)
+    def look_up(batches):
+        for batch in batches:
+            flat = lambda name, i: np.asarray(batch.column(name)[i].values)  # noqa: E731, B023
+            for i in range(batch.num_rows):
+                s = Segment(flat("terms", i).view(np.uint64), flat("sizes", i).astype(np.int64), flat("places", i).astype(np.int64), flat("counts", i).astype(np.int64))
+                n = len(s.counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("segment")[i].as_py())), pa.array(np.arange(n)), batch.column("doc")[i].values, batch.column("h")[i].values, *lookup.answer(s)], _ANSWER)
+
+    # segments are told apart by what they hold
+    named = stored.select(F.xxhash64("doc", "h", "counts").alias("segment"), "*")
+    return named.mapInArrow(look_up, "segment long, text long, doc long, h long, n_words long, spans array<struct<start:bigint,stop:bigint>>, items array<string>, near array<string>")
 
 
 def _hits(spans: Column) -> Column:
@@ -179,38 +246,37 @@ def _hits(spans: Column) -> Column:
     )
 
 
-def _searched(packed: DataFrame, text: str, items: DataFrame) -> DataFrame:
-    """packed with the column `found` over all blocks of items."""
-    names = []
-    for lookup in _blocks(items):
-        names.append(f"found_{len(names)}")
-        packed = packed.withColumn(names[-1], _found(F.col(text), lookup))
-    join = lambda field: F.flatten(F.array(*(F.col(n)[field] for n in names)))
-    found = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"),
-        F.sort_array(join("spans")).alias("spans"),
-        F.sort_array(F.array_distinct(join("items"))).alias("items"),
-        F.sort_array(F.array_distinct(join("near"))).alias("near"),
-    )
-    return packed.withColumn("found", found).drop(*names)
+def search(stored: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, h, n_words, spans, items and near (sorted) of each indexed text, over all blocks of items."""
+    found = [_answers(stored, lookup) for lookup in _blocks(items)]
+    if len(found) == 1:
+        return found[0].select("doc", "h", "n_words", "spans", F.sort_array("items").alias("items"), F.sort_array("near").alias("near"))
+    # equal segments hold equal rows: their answers are merged and given as often as there are rows
+    merged = lambda name: F.flatten(F.collect_list(name))
+    every = reduce(DataFrame.unionByName, found).groupBy("segment", "text", "doc", "h", "n_words").agg(merged("spans").alias("spans"), merged("items").alias("items"), merged("near").alias("near"), (F.count("*") / len(found)).cast("int").alias("times"))
+    once = every.select("doc", "h", "n_words", F.sort_array("spans").alias("spans"), F.sort_array(F.array_distinct("items")).alias("items"), F.sort_array(F.array_distinct("near")).alias("near"), "times")
+    return once.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: its hit words, the items whose windows occur, and those near by."""
-    searched = _searched(docs.select("doc_id", "text"), "text", benchmark)
-    return searched.select(
-        "doc_id",
-        "found.n_words",
-        _hits(F.col("found.spans")).alias("n_hit"),
-        F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join("found.items", ","), "UTF-8"), 256).alias("items_sha256"),
-        (F.size("found.items") > 0).alias("contaminated"),
-        F.size("found.near").cast("long").alias("n_near_items"),
-        F.to_json("found.spans").alias("spans"),
+    return search(index(docs), benchmark).select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        _hits(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.size("items") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near_items"),
+        F.to_json("spans").alias("spans"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, in which no window of the benchmark occurs."""
-    packed = _searched(pack(docs, text=F.col("text")), "text", benchmark)
-    return unpack(packed.filter(F.size("found.items") == 0))
+    ensure_checkpoint_dir(docs.sparkSession)
+    last = F.lit(2**63 - 1)
+    hit = search(index(docs), benchmark).filter(F.size("items") > 0).select(F.coalesce("doc", last).alias("doc"), "h").distinct().checkpoint()
+    packed = pack(docs, doc=F.coalesce(F.col("doc_id").cast("long"), last), h=F.xxhash64("text"))
+    few = hit.count() <= SENT_IDS  # else the rows meet them in a shuffle
+    return unpack(packed.join(F.broadcast(hit) if few else hit, ["doc", "h"], "left_anti"))

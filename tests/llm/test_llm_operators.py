@@ -416,6 +416,28 @@ def test_contamination_odd(spark, odd, empty, monkeypatch):
     assert decontaminate.clean(odd, items).columns == odd.columns
 
 
+def test_postings_hold_every_word(spark, odd):
+    """The stored index gives back the words of every row, in order."""
+    got = []
+    for r in decontaminate.index(odd).collect():
+        s = decontaminate.Segment(np.array(r.terms, np.int64).view(np.uint64), np.array(r.sizes, int), np.array(r.places, int), np.array(r.counts, int))
+        at = dict(zip(s.places.tolist(), np.repeat(s.terms, s.sizes).tolist(), strict=True))
+        got += [(d, [at[b + i] for i in range(n)]) for d, b, n in zip(r.doc, s.base.tolist(), r.counts, strict=True)]
+    want = [(r[0], textnum.word_hash(r[1] or "").tolist()) for r in ODD]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_contamination_of_equal_ids_and_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(textnum, "SLICE_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    rows = [(1, "a b c d"), (1, "x y z"), (None, "a b c"), (None, "q"), (2, "c a b c x y"), (2, "c a b c x y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c"), (2, "x y"), (3, "nothing of it")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(d, items).collect())
+    assert got == [(0, 1, 0, 0), (0, 3, 3, 1), (1, 3, 2, 1), (1, 4, 3, 1), (2, 6, 5, 2), (2, 6, 5, 2)]
+    assert [(r.doc_id, r.text) for r in decontaminate.clean(d, items).collect()] == [(None, "q")]
+
+
 def test_proximity(spark):
     item = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     texts = [(1, "a b c x d e f g h i j"), (2, "a b c d e f g h i"), (3, "j a b c d e f g h i j")]
