@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import ensure_checkpoint_dir, pack, unpack
+from .common import ensure_checkpoint_dir, pack, unpack, written
 
 K = 5
 SIMILARITY = 0.8
@@ -237,13 +237,15 @@ def _settle(pairs: DataFrame, kmers: DataFrame, links: DataFrame, labels: DataFr
         apart = pairs.join(sent(of("id")), "id", "left").join(sent(of("lead")), "lead", "left")
         apart = apart.withColumn("id_label", F.coalesce("id_label", "id")).withColumn("lead_label", F.coalesce("lead_label", "lead")).filter("id_label <> lead_label")
         ranked = Window.partitionBy(*by).orderBy(F.desc("near"), "lead")
-        apart = apart.withColumn("r", F.row_number().over(ranked)).select("lead", "id", "near", "r").checkpoint()
+        apart = apart.withColumn("r", F.row_number().over(ranked)).select("lead", "id", "near", "r")
+        apart = written(apart)
         if apart.isEmpty():
             return links, labels
-        more = _verify(apart.filter(F.col("r") <= limit).select("lead", "id"), kmers, wanted).checkpoint()
+        more = _verify(apart.filter(F.col("r") <= limit).select("lead", "id"), kmers, wanted)
+        more = written(more)
         if not more.isEmpty():
-            links = links.unionByName(more).checkpoint()
-            labels = components(links)
+            links = written(links.unionByName(more))
+            labels = written(components(links))
         pairs, limit = apart.filter(F.col("r") > limit).select("lead", "id", "near"), limit * BATCH
 
 
@@ -256,7 +258,7 @@ def _links(docs: DataFrame, contents: DataFrame, wanted: float) -> tuple[DataFra
     links, labels = spark.createDataFrame([], "lead long, id long"), spark.createDataFrame([], "id long, label long")
     links, labels = _settle(led, kmers, links, labels, wanted, ["id"], 1)
     # what can be alike and is in different classes yet
-    return _settle(_candidates(kmers, labels, wanted).checkpoint(), kmers, links, labels, wanted, ["id", "lead_label"], BATCH)
+    return _settle(written(_candidates(kmers, labels, wanted)), kmers, links, labels, wanted, ["id", "lead_label"], BATCH)
 
 
 def _common(kmers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
