@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,8 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else (tests, a single machine) a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessella"
+    """The folder all executors share: the session's spark.checkpoint.dir; a local one only where all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "/tmp/checkpoints/tessella"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

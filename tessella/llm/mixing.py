@@ -105,7 +105,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ADDED]
     row = F.struct(*(docs[f"`{c}`"] for c in columns))
-    keyed = docs.select(row.alias("row"), _source(F.col("source")).alias("src"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"))
+    # beside the id the short columns, so that null or repeated ids spread over the groups; the text is not read for it
+    short = [docs[f"`{c}`"] for c, kind in docs.dtypes if c in columns and c != "text" and "map<" not in kind and "variant" not in kind]
+    keyed = docs.select(row.alias("row"), _source(F.col("source")).alias("src"), F.xxhash64(*short).alias("h"), F.col("doc_id").alias("id"))
     # one row a source: as many as the mixture has weights
     sizes = {r.src: r["count"] for r in keyed.groupBy("src").count().collect()}
     wanted = {k: math.sqrt(n) for k, n in sizes.items()} if weights is None else {("null" if k is None else f"={k}"): w for k, w in weights.items() if ("null" if k is None else f"={k}") in sizes}
@@ -132,12 +134,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     numbered = placed.join(first, ["src", "g"]).withColumn("n", F.row_number().over(within) - 1 + F.col("first"))
     b = F.floor(F.col("n") / block).cast("long")
     found = numbered.withColumn("b", b).withColumn("block_key", F.shiftleft("number", NUMBER_BITS) + F.col("b")).join(slot_table, "block_key", "left")
-    out = found.select("row.*", F.coalesce("slot", F.col("offset") + F.col("b")).alias("mix_slot"), F.col("n").alias("__n"))
-    return out.select(
-        *(F.col(f"`{c}`") for c in columns),
-        "mix_slot",
-        (F.col("mix_slot") * block + F.col("__n") % block).alias("mix_index"),
-        (F.col("mix_slot") < horizon).alias("in_target"),
+    slot = F.coalesce("slot", F.col("offset") + F.col("b"))
+    return found.select(
+        *(F.col("row")[c].alias(c) for c in columns),
+        slot.alias("mix_slot"),
+        (slot * block + F.col("n") % block).alias("mix_index"),
+        (slot < horizon).alias("in_target"),
     )
 
 

@@ -297,6 +297,37 @@ def auc(score, y):
     return np.mean(good[:, None] > bad[None, :]) + np.mean(good[:, None] == bad[None, :]) / 2
 
 
+def plain_features(text):
+    """The quality features of one text, one by one."""
+    t = text or ""
+    w, raw = words(t), t.encode()
+    n = max(len(w), 1)
+    share = lambda hit: sum(hit) / max(len(raw), 1)
+    upper, letters = share(65 <= b <= 90 for b in raw), share(65 <= b <= 90 or 97 <= b <= 122 for b in raw)
+    often = lambda chars: np.log1p(200 * share(b in chars.encode() for b in raw))
+    pairs = [w[0]] + list(zip(w, w[1:], strict=False)) if w else []
+    return [
+        np.log1p(len(w)), np.log(n / max(len(set(w)), 1)), np.log(n / max(len(set(pairs)), 1)), sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, upper / letters if letters else 0.0,
+        often("!"), often("#$%&*@^_~<>{}[]\\=+"), often("|"), often("\n"), often("0123456789"), often(".,"), sum(len(x.encode()) for x in w) / n, share(b == 32 for b in raw), float(not w),
+    ]
+
+
+def test_quality_query_against_plain_features(spark, sf_dir, docs, labels):
+    model = quality.fit(docs, labels)
+    found = {r.doc_id: r for r in queries.op4_quality(spark, sf_dir).collect()}
+    rows = docs.collect() + [r for r in docs.limit(0).collect()]
+    for r in rows:
+        s = float(((np.array(plain_features(r.text)) - model.mean) / model.scale) @ model.beta)
+        want = 1 / (1 + np.exp(-np.clip(s - model.threshold + np.log(0.3 / 0.7), -500, 500)))
+        assert found[r.doc_id].score == pytest.approx(want, abs=1e-9) and found[r.doc_id].predicted == int(found[r.doc_id].score >= 0.3)
+    assert len(found) == len(rows)
+
+
+def test_quality_with_contradictory_labels(spark, docs, labels):
+    twice = labels.unionByName(labels.limit(30).withColumn("quality", 1 - F.col("quality")))
+    assert all(0 <= r.score <= 1 for r in quality.classify(docs, twice).collect())
+
+
 def test_quality_held_out(docs, labels, odd, empty, spark):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     rows = [r for r in quality.classify(docs, labels).collect()]
@@ -707,6 +738,21 @@ def test_mixture_keeps_to_the_target_weights():
         assert np.abs(np.searchsorted(s, t, "left") - t * (weights[k] / sum(weights.values()))).max() < 1
 
 
+def test_mixing_query_keeps_to_the_targets(spark, sf_dir, docs):
+    """The whole query: every document once, and each source's blocks within one of its weight times the slots so far."""
+    rows = queries.op10_mixing(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect()) and len({r.mix_index for r in rows}) == len(rows)
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + 1
+    total = sum(n**0.5 for n in sizes.values())
+    of = {r.mix_slot: r.source for r in rows if r.in_target}
+    assert sorted(of) == list(range(len(of))) and of
+    for source, n in sizes.items():
+        had = np.cumsum([of[t] == source for t in range(len(of))])
+        assert np.abs(had - np.arange(1, len(of) + 1) * n**0.5 / total).max() < 1
+
+
 def test_mixing_numbers_every_document(spark, odd, empty):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 7}", 2) for i in range(9000)]
     df = spark.createDataFrame(rows, DOCS)
@@ -719,5 +765,7 @@ def test_mixing_numbers_every_document(spark, odd, empty):
         n = len({r.mix_slot for r in target if r.source == source})
         assert abs(n - slots * weight / sum(share.values())) < 1
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
+    clash = mixing.mix(df.withColumn("__n", F.lit("mine")).withColumn("n", F.lit(1)).withColumn("slot", F.lit(2)))
+    assert clash.select("__n", "n", "slot").distinct().count() == 1
     again = mixing.mix(df, {"hot": 2, "s0": 1, "s3": 1, "s6": 1}, block=4).orderBy("mix_index").collect()
     assert [r.doc_id for r in again] == [r.doc_id for r in got]
