@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -17,6 +19,9 @@ def session(app: str = "tessella", master: str | None = None, **more: str) -> Sp
 
 
 def use_shared_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a folder all executors share: the one the session names, else (one machine) a local one."""
+    """checkpoint() needs a folder all executors share: the one the session names; a local one only where all runs on this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessella")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints/tessella")
