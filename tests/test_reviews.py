@@ -48,7 +48,8 @@ def sql(sf_dir):
 @pytest.mark.parametrize("name", sorted(bound.SQL))
 def test_query_agrees_with_its_sql(spark, sf_dir, sql, name):
     got, want = plain(bound.QUERIES[name](spark, sf_dir).toPandas()), plain(sql.execute(bound.SQL[name]).df())
-    assert got == want and want[1]
+    assert got == want
+    assert want[1] or name == "variants_missing"  # all of its pairs exist in the smallest tables
 
 
 def test_entry_lists_all_queries():
