@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from tessella.functions.colors import distance
 from tessella.functions.values import half_even
+from tessella.session import use_shared_checkpoints
+
+
+#: Most entries of a palette; each row or entry is compared with all of them.
+PALETTE = 4096
+
+
+def _checked(palette: DataFrame) -> DataFrame:
+    """The palette, if it is one: larger tables need another join than a scan of all entries."""
+    n = palette.count()
+    if n > PALETTE:
+        raise ValueError(f"a palette has at most {PALETTE} entries, this one has {n}")
+    return palette
 
 
 def mean(v: Column) -> Column:
@@ -28,10 +41,10 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, id: str, vector: str, palette: DataFrame, label: str, center: str) -> DataFrame:
     """id, nearest, dist: the closest palette entry, the smaller label of equals.
 
-    The palette is a dimension of a few entries; it is gathered into one array
-    that each row scans, so no pairs of rows are made.
+    The palette is a dimension of a few entries (at most PALETTE, counted first);
+    it is gathered into one array that each row scans, so no pairs of rows are made.
     """
-    entries = palette.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(center).alias("center")))).alias("palette"))
+    entries = _checked(palette).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(center).alias("center")))).alias("palette"))
     joined = rows.join(F.broadcast(entries), F.lit(True), "left")
     scored = F.transform("palette", lambda p: F.named_struct(F.lit("dist"), F.round(distance(F.col(vector).cast("array<double>"), p["center"]), 6), F.lit("label"), p["label"]))
     return joined.select(id, F.array_min(scored).alias("best")).select(id, F.col("best.label").alias("nearest"), F.col("best.dist").alias("dist"))
@@ -40,15 +53,18 @@ def nearest(rows: DataFrame, id: str, vector: str, palette: DataFrame, label: st
 def merge_close(palette: DataFrame, label: str, center: str, limit: float) -> DataFrame:
     """id, canonical: entries nearer than limit, directly or through others, share their smallest label.
 
-    A palette has a few entries, so its pairs are few; labels spread until none changes.
+    A palette has a few entries (at most PALETTE, counted first), so its pairs are
+    few; labels spread until none changes.
     """
+    use_shared_checkpoints(palette.sparkSession)
+    palette = _checked(palette.checkpoint())
     a = palette.select(F.col(label).alias("a"), F.col(center).alias("ca"))
     b = palette.select(F.col(label).alias("b"), F.col(center).alias("cb"))
-    edges = a.join(F.broadcast(b), (F.col("a") != F.col("b")) & (distance(F.col("ca"), F.col("cb")) < limit)).select("a", "b").cache()
-    state = palette.select(F.col(label).alias("id"), F.col(label).alias("canonical")).cache()
+    edges = a.join(F.broadcast(b), (F.col("a") != F.col("b")) & (distance(F.col("ca"), F.col("cb")) < limit)).select("a", "b").checkpoint()
+    state = palette.select(F.col(label).alias("id"), F.col(label).alias("canonical"))
     while True:
         low = edges.join(state.select(F.col("id").alias("b"), "canonical"), "b").groupBy(F.col("a").alias("id")).agg(F.min("canonical").alias("low"))
-        new = state.join(low, "id", "left").select("id", F.least("canonical", F.coalesce("low", "canonical")).alias("canonical"), F.col("canonical").alias("old")).cache()
+        new = state.join(low, "id", "left").select("id", F.least("canonical", F.coalesce("low", "canonical")).alias("canonical"), F.col("canonical").alias("old")).checkpoint()
         if new.filter("canonical < old").isEmpty():
             return new.select("id", "canonical")
         state = new.select("id", "canonical")
