@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, licenses, mixing, nearduplicates, quality, substrings, toxicity
+from . import chat, decontaminate, fingerprints, infill, language, licenses, mixing, nearduplicates, packing, quality, substrings, toxicity, trie
 from .common import read
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -54,8 +54,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(read(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.plan(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_licenses, op4_quality, op5_decontaminate, op6_substrings, op7_toxicity, op8_chat, op9_nearduplicates, op10_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_licenses, op4_quality, op5_decontaminate, op6_substrings, op7_toxicity, op8_chat, op9_nearduplicates, op10_mixing, op11_prefixtrie, op12_packing, op13_infill)}
 
 
 _OP8 = f"""
@@ -77,5 +91,22 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+_OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), s AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+         WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), c AS (
+  SELECT *, substr(t, 1, least(a, b)) AS pre, substr(t, least(a, b) + 1, abs(a - b)) AS mid, substr(t, greatest(a, b) + 1) AS suf FROM s
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": _OP8}
+    return {"op8_chat": _OP8, "op13_infill": _OP13}
