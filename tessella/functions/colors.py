@@ -59,13 +59,13 @@ def distance(a: Column, b: Column) -> Column:
 
 def polygon_area(points: Column) -> Column:
     """Signed area (shoelace) of array<struct<x, y>>."""
-    turned = F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1))
+    turned = F.concat(F.slice(points, F.lit(2), F.size(points)), F.slice(points, 1, 1))
     return F.aggregate(F.zip_with(points, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda acc, v: acc + v) / 2
 
 
 def chaikin(points: Column) -> Column:
     """One corner-cutting step of a closed polygon: each edge gives its points at a quarter and at three quarters."""
-    turned = F.concat(F.slice(points, 2, 1_000_000), F.slice(points, 1, 1))
+    turned = F.concat(F.slice(points, F.lit(2), F.size(points)), F.slice(points, 1, 1))
     at = lambda p, q, t: F.named_struct(F.lit("x"), (1 - t) * p["x"] + t * q["x"], F.lit("y"), (1 - t) * p["y"] + t * q["y"])
     return F.flatten(F.zip_with(points, turned, lambda p, q: F.array(at(p, q, 0.25), at(p, q, 0.75))))
 

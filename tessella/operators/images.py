@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.colors import distance, rgb_to_lab
@@ -51,7 +51,7 @@ def qc_metrics(h: Column, w: Column, rgb: Column) -> Column:
     @F.arrow_udf(METRICS)
     def measured(hs: pa.Array, ws: pa.Array, images: pa.Array) -> pa.Array:
         kind = pa.struct([("readable", pa.bool_()), ("color_ratio", pa.float64()), ("intensity_std", pa.float64()), ("edge_count", pa.int32()), ("black_ratio", pa.float64())])
-        return pa.array([_metrics(a.as_py(), b.as_py(), x.as_py()) for a, b, x in zip(hs, ws, images, strict=True)], kind)
+        return pa.array([_metrics(a.as_py(), b.as_py(), x.values.to_numpy(zero_copy_only=False) if x.is_valid else None) for a, b, x in zip(hs, ws, images, strict=True)], kind)
 
     return measured(h, w, rgb)
 
@@ -81,7 +81,7 @@ def openness(white: np.ndarray) -> float:
 def openness_ratio(h: Column, w: Column, gray: Column, white_from: int = 250) -> Column:
     @F.arrow_udf("double")
     def measured(hs: pa.Array, ws: pa.Array, images: pa.Array) -> pa.Array:
-        return pa.array([openness(np.asarray(x.as_py()).reshape(a.as_py(), b.as_py()) >= white_from) for a, b, x in zip(hs, ws, images, strict=True)])
+        return pa.array([openness(x.values.to_numpy().reshape(a.as_py(), b.as_py()) >= white_from) for a, b, x in zip(hs, ws, images, strict=True)])
 
     return measured(h, w, gray)
 
@@ -97,27 +97,30 @@ def components(pixels: DataFrame) -> DataFrame:
     return pixels.select("image", "y", "x", "region").groupBy("image").applyInPandas(label, "image long, y int, x int, region int, part long")
 
 
-def neighbourhood(pixels: DataFrame, value: str, name: str, how: str) -> DataFrame:
-    """pixels with `name`: the smallest or largest (`min`, `max`) value of the 3 x 3 pixels around each, those outside the image left out.
-
-    A pixel's value is sent to its nine places and combined there before the shuffle.
-    """
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    sent = pixels.select("image", "y", "x", F.col(value).alias("__v"), F.explode(steps).alias("s")).select("image", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "__v")
-    return pixels.join(sent.groupBy("image", "y", "x").agg(getattr(F, how)("__v").alias(name)), ["image", "y", "x"])
+def around(pixels: DataFrame, axis: str, **extremes: tuple[str, str]) -> DataFrame:
+    """pixels with the smallest or largest value of each pixel and its two neighbours along an axis (`x` or `y`), as far as they are in the image: name=(`min` or `max`, column)."""
+    across = "y" if axis == "x" else "x"
+    near = Window.partitionBy("image", across).orderBy(axis).rangeBetween(-1, 1)
+    return pixels.select("*", *(getattr(F, how)(value).over(near).alias(name) for name, (how, value) in extremes.items()))
 
 
 def interior(pixels: DataFrame) -> DataFrame:
-    """(image, y, x, region) with `interior`: whether all of the 3 x 3 pixels around, as far as in the image, are of the same region."""
-    low = neighbourhood(pixels, "region", "__low", "min")
-    return neighbourhood(low, "region", "__high", "max").withColumn("interior", F.col("__low") == F.col("__high")).drop("__low", "__high")
+    """(image, y, x, region) with `interior`: whether all of the 3 x 3 pixels around, as far as in the image, are of the same region. Rows, then columns: two windows."""
+    rows = around(pixels, "x", __low=("min", "region"), __high=("max", "region"))
+    both = around(rows, "y", __least=("min", "__low"), __most=("max", "__high"))
+    return both.withColumn("interior", F.col("__least") == F.col("__most")).drop("__low", "__high", "__least", "__most")
 
 
 def line_mask(pixels: DataFrame, lightness: str, dark: float = 25.0) -> DataFrame:
     """(image, y, x, ...) with `line`: dark pixels after a 3 x 3 closing (largest, then smallest of the neighbourhood)."""
-    marked = pixels.withColumn("__dark", (F.col(lightness) < dark).cast("int"))
-    grown = neighbourhood(marked, "__dark", "__grown", "max")
-    return neighbourhood(grown, "__grown", "__closed", "min").withColumn("line", F.col("__closed") == 1).drop("__dark", "__grown", "__closed")
+    return closed(pixels.withColumn("__dark", (F.col(lightness) < dark).cast("int")), "__dark", "line").drop("__dark")
+
+
+def closed(pixels: DataFrame, mask: str, name: str) -> DataFrame:
+    """pixels with `name`: a 0/1 mask after a 3 x 3 closing; neighbouring steps share their axis, so three shuffles make four steps."""
+    grown = around(around(pixels, "x", __1=("max", mask)), "y", __2=("max", "__1"))
+    shrunk = around(around(grown, "y", __3=("min", "__2")), "x", __4=("min", "__3"))
+    return shrunk.withColumn(name, F.col("__4") == 1).drop("__1", "__2", "__3", "__4")
 
 
 def ink_regions(pixels: DataFrame, line: str, least: float = 0.50) -> DataFrame:
@@ -195,6 +198,79 @@ def merge_regions(regions: DataFrame, edges: DataFrame, limit: float, passes: in
     return regions.groupBy("image").cogroup(other.groupBy("of")).applyInPandas(merge, "image long, region int, target int")
 
 
+# Shares of an error that go right, below left, below and below right.
+DIFFUSED = ((0, 1, 7 / 16), (1, -1, 3 / 16), (1, 0, 5 / 16), (1, 1, 1 / 16))
+
+
+def diffused(gray: np.ndarray) -> np.ndarray:
+    """0/255 by error diffusion from left to right and top to bottom. Pixels of equal x + 2y do not depend on each other and go together."""
+    h, w = gray.shape
+    a = np.zeros((h + 1, w + 2))  # margins take what leaves the image
+    a[:h, 1 : w + 1] = gray
+    for t in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, (t - w + 2) // 2), min(h - 1, t // 2) + 1)
+        x = t - 2 * y + 1
+        new = np.where(a[y, x] >= 128, 255.0, 0.0)
+        error = a[y, x] - new
+        a[y, x] = new
+        for dy, dx, share in DIFFUSED:
+            a[y + dy, x + dx] += error * share  # one target a source within a wave
+    return a[:h, 1 : w + 1].astype(np.uint8)
+
+
+def stippled(gray: np.ndarray, least: float, seed: int) -> np.ndarray:
+    """Pixels (y, x) chosen in a seeded order, darker ones likelier to be first, none nearer than `least` to another. A grid of cells with at most one point each finds those near."""
+    rng = np.random.default_rng(seed)
+    ys, xs = np.nonzero(gray < 255)
+    order = np.argsort(-np.log(rng.random(len(ys))) / (255.0 - gray[ys, xs]), kind="stable")
+    cell = least / np.sqrt(2)
+    reach, taken, points = int(np.ceil(least / cell)), {}, []
+    for y, x in zip(ys[order].tolist(), xs[order].tolist()):
+        cy, cx = int(y / cell), int(x / cell)
+        near = (taken.get((j, i)) for j in range(cy - reach, cy + reach + 1) for i in range(cx - reach, cx + reach + 1))
+        if all(p is None or (p[0] - y) ** 2 + (p[1] - x) ** 2 >= least * least for p in near):
+            taken[cy, cx] = (y, x)
+            points.append((y, x))
+    return np.array(sorted(points), np.int32).reshape(-1, 2)
+
+
+def _grids(hs: pa.Array, ws: pa.Array, images: pa.Array):
+    for h, w, x in zip(hs, ws, images, strict=True):
+        yield x.values.to_numpy(zero_copy_only=False).reshape(h.as_py(), w.as_py())
+
+
+def diffuse(h: Column, w: Column, gray: Column) -> Column:
+    """array<int>: the image in black (0) and white (255) by error diffusion."""
+
+    @F.arrow_udf("array<int>")
+    def done(hs: pa.Array, ws: pa.Array, images: pa.Array) -> pa.Array:
+        return pa.array([diffused(g).ravel().astype(np.int32) for g in _grids(hs, ws, images)], pa.list_(pa.int32()))
+
+    return done(h, w, gray)
+
+
+def stipple(h: Column, w: Column, gray: Column, least: float, seed: Column) -> Column:
+    """array<struct<y, x>>: points for the image's darkness, at least `least` apart; equal seeds give equal points."""
+
+    @F.arrow_udf("array<struct<y:int,x:int>>")
+    def done(hs: pa.Array, ws: pa.Array, images: pa.Array, seeds: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32())]))
+        return pa.array([[{"y": y, "x": x} for y, x in stippled(g, least, s.as_py()).tolist()] for g, s in zip(_grids(hs, ws, images), seeds, strict=True)], kind)
+
+    return done(h, w, gray, seed)
+
+
+def halftone(pixels: DataFrame, gray: str, cell: int, low: float = 0.0, high: float = 255.0) -> DataFrame:
+    """pixels with `dot` (0 or 255): in each cell a black disk about its centre, with a radius in proportion to the darkness of its mean between high and low (0.95 of half a cell at most, none under half a pixel)."""
+    cy, cx = F.floor(F.col("y") / cell), F.floor(F.col("x") / cell)
+    cells = pixels.groupBy("image", cy.alias("__cy"), cx.alias("__cx")).agg(F.avg(gray).alias("__mean"), F.min("y").alias("__y0"), F.max("y").alias("__y1"), F.min("x").alias("__x0"), F.max("x").alias("__x1"))
+    radius = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (high - F.col("__mean")) / (high - low))) * (cell / 2 * 0.95)
+    y, x = F.col("y") - (F.col("__y0") + F.col("__y1") + 1) / 2, F.col("x") - (F.col("__x0") + F.col("__x1") + 1) / 2
+    black = (radius >= 0.5) & (y * y + x * x <= radius * radius)
+    joined = pixels.withColumn("__cy", cy).withColumn("__cx", cx).join(cells, ["image", "__cy", "__cx"])
+    return joined.select(*pixels.columns, F.when(black, 0).otherwise(255).alias("dot"))
+
+
 def palette(pixels: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """cluster, L, a, b: k-means colours of Lab pixels (columns L, a, b), fitted by Spark."""
     from pyspark.ml.clustering import KMeans

@@ -2,25 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Names are found through their first so many characters (all of shorter names).
+#: So many names, and characters in them, go to every task as one search automaton; more are met in a join.
+AUTOMATON_NAMES, AUTOMATON_CHARS = 200_000, 4_000_000
+#: Beyond that names are found through their first so many characters (all of shorter names).
 GRAM = 4
 
 
+def _search(text: str, ranked: list[str], spark: SparkSession) -> Column:
+    """The first of the ranked names that a text contains; one pass over the text."""
+    sent = spark.sparkContext.broadcast({"names": ranked})
+
+    @F.arrow_udf("string")
+    def found(texts: pa.Array) -> pa.Array:
+        automaton = sent.value.get("automaton")  # a worker process keeps it from task to task
+        if automaton is None:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for k, name in enumerate(sent.value["names"]):
+                automaton.add_word(name, k)
+            automaton.make_automaton()
+            sent.value["automaton"] = automaton
+        names, out = sent.value["names"], []
+        for t in texts:
+            best = min((k for _, k in automaton.iter(t.as_py())), default=None) if t.is_valid else None
+            out.append(None if best is None else names[best])
+        return pa.array(out, pa.string())
+
+    return found(F.col(text))
+
+
+def _joined(rows: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """The same by an equi-join on the names' first characters. A place of a text carries as many characters as the longest name has, never the text; matches return to their row by the text's digest."""
+    digest = F.sha2(F.encode(F.col(text), "UTF-8"), 256)
+    longest = known.agg(F.max(F.length("__name"))).first()[0]
+    places = rows.select(F.col(text).alias("__text")).filter(F.length("__text") > 0).select(F.sha2(F.encode("__text", "UTF-8"), 256).alias("__digest"), "__text").select(
+        "__digest", F.explode(F.transform(F.sequence(F.lit(1), F.length("__text")), lambda i: F.substring(F.col("__text"), i, F.lit(longest)))).alias("__rest")
+    ).distinct()
+    grams = places.select("__digest", "__rest", F.explode(F.array_distinct(F.array(*(F.substring("__rest", 1, n) for n in range(1, GRAM + 1))))).alias("__gram"))
+    named = known.withColumn("__gram", F.substring("__name", 1, GRAM))
+    found = grams.join(named, "__gram").filter(F.startswith(F.col("__rest"), F.col("__name"))).groupBy("__digest").agg(F.min_by("__name", F.struct("__rank", "__name")).alias("match"))
+    return rows.withColumn("__digest", digest).join(found, "__digest", "left").drop("__digest")
+
+
 def first_contained(rows: DataFrame, text: str, names: DataFrame, name: str, rank: str) -> DataFrame:
-    """rows with `match`: of the non-empty names contained in a text the one of smallest rank, null if none.
+    """rows with `match`: of the non-empty names contained in a text the one of smallest rank (of equals the smaller name), null if none.
 
-    Any substring counts, across words too. Names meet the texts by an equi-join
-    on their first characters, which the texts give at every place, and are then
-    compared in full; no nested loop over all pairs.
+    Any substring counts, across words too. The names are counted first: up to
+    AUTOMATON_NAMES of together AUTOMATON_CHARS go to the tasks as one automaton, so
+    the rows are scanned in place without a shuffle, in time linear in the text.
+    More names meet the texts in a join.
     """
-    known = names.filter(F.length(name) > 0).select(F.col(name).alias("__name"), F.col(rank).alias("__rank"), F.substring(name, 1, GRAM).alias("__gram"))
-    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = rows.select(text).distinct().filter(F.length(text) > 0).select(text, F.explode(F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, GRAM + 1)))))).alias("__gram"))
-    found = grams.join(known, "__gram").filter(F.contains(F.col(text), F.col("__name"))).groupBy(text).agg(F.min_by("__name", "__rank").alias("match"))
-    return rows.drop("match").join(found, text, "left")
+    known = names.filter((F.length(name) > 0) & F.col(rank).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(rank).alias("__rank"))
+    n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("__name")), F.lit(0))).first()
+    rows = rows.drop("match")
+    if n == 0:
+        return rows.withColumn("match", F.lit(None).cast("string"))
+    if n > AUTOMATON_NAMES or chars > AUTOMATON_CHARS:
+        return _joined(rows, text, known)
+    ranked = [r[0] for r in known.orderBy("__rank", "__name").select("__name").collect()]
+    return rows.withColumn("match", _search(text, ranked, rows.sparkSession))
 
 
 def exact_or_contained(rows: DataFrame, text: str, names: DataFrame, exact: str, name: str, rank: str) -> DataFrame:

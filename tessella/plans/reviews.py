@@ -184,6 +184,13 @@ def contained_names(spark, sf_dir):
     return lookups.first_contained(read(spark, sf_dir, "benchmark"), "text", names, "name", "rank").select("item_id", "match")
 
 
+@bound("""WITH n AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS name, min(item_id) AS rank FROM benchmark GROUP BY 1) SELECT d.doc_id, arg_min(name, rank) AS match FROM documents d LEFT JOIN n ON contains(d.text, name) GROUP BY d.doc_id""")
+def contained_in_documents(spark, sf_dir):
+    """The first item whose two first words a whole document contains."""
+    names = read(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"), F.col("item_id").alias("rank"))
+    return lookups.first_contained(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", names, "name", "rank").select("doc_id", "match")
+
+
 @bound("""WITH n AS (SELECT p_partkey AS rank, p_name AS file, split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 9 = 0), x AS (SELECT p_partkey, p_name, (SELECT arg_min(name, rank) FROM n WHERE file = p_name) AS exact, (SELECT arg_min(name, rank) FROM n WHERE contains(p_name, name)) AS held FROM part)
 SELECT p_partkey, coalesce(exact, held) AS match, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN held IS NOT NULL THEN 'contained' ELSE 'none' END AS how FROM x""")
 def exact_or_contained(spark, sf_dir):
