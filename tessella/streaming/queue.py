@@ -24,22 +24,21 @@ def depth(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes"
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A job's newest event counts. Its status is kept until the watermark has passed it, after which no older event is let in; so an event that comes late never revives a job."""
     if state.hasTimedOut:
         status, ts = state.get
         state.remove()
-        yield pd.DataFrame([(key[0], "pending", ts, True)], columns=["job_id", "status", "ts", "stale"])
+        if status == "running":
+            yield pd.DataFrame([(key[0], "pending", ts, True)], columns=["job_id", "status", "ts", "stale"])
         return
     status, ts = state.get if state.exists else (None, None)
     for batch in batches:
         newest = batch.sort_values("ts").iloc[-1]
         if ts is None or newest.ts >= ts:
             status, ts = newest.status, newest.ts
-    if status == "running":
-        state.update((status, ts))
-        due = int(ts.timestamp() * 1000) + STALE_MINUTES * 60_000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
+    state.update((status, ts))
+    due = int(ts.timestamp() * 1000) + (STALE_MINUTES * 60_000 if status == "running" else 0)
+    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame([(key[0], status, ts, False)], columns=["job_id", "status", "ts", "stale"])
 
 
