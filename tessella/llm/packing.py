@@ -27,10 +27,12 @@ Extra columns are not looked at.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -47,54 +49,77 @@ END_ID = 0
 OPEN = 4096
 RUN = 2048
 PIECES = 16_384
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Marks at a chunk's end that are a word of their own to a word tokenizer.
+STOPS = ".,;:!?"
 #: Bits of a sequence's number within its task.
 NUMBER_BITS = 33
 
 
 class Encoder:
-    """Ids of texts by a tokenizer's definition."""
+    """Ids of texts by a tokenizer's definition.
+
+    Texts are split at blanks and each distinct chunk once more into letters and
+    the stops after them, which a word tokenizer reads as words of their own. The
+    letters, lower-cased where they are ASCII, are looked up; new ones go to the
+    tokenizer together, and their ids are told apart by the mark that ends a word.
+    Other chunks, and words without that mark, go to it one by one.
+    """
 
     def __init__(self, definition: str, blanks: bool):
         self.definition, self.blanks = definition, blanks
         self.tokenizer = None
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = {"": 0}
+        self.chunk: dict[str, int] = {}
+        self.pairs = np.zeros((0, 2), np.int64)  # the numbers of each chunk's two parts
         self.ids = np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int64)  # of each chunk in ids, and the end
+        self.first = np.zeros(2, np.int64)  # of each part in ids, and the end
 
     def start(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(self.definition)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = next(iter(self.specials), None)
-        self.cut_id = self.tokenizer.token_to_id(self.cut) if self.cut else None
+        suffix = json.loads(self.definition)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self.forget()
 
     def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks: all together with a control string between them, or by themselves where they hold one."""
-        plain = [c for c in chunks if not any(s in c for s in self.specials)] if self.cut else []
-        odd = chunks if not self.cut else [c for c in chunks if any(s in c for s in self.specials)]
-        found, sizes = [self.ids], []
-        if plain:
-            ids = self.encoded(self.cut.join(plain))
-            cut = ids == self.cut_id
-            sizes += (np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1).tolist()
-            found.append(ids[~cut])
-        for c in odd:
-            found.append(self.encoded(c))
-            sizes.append(len(found[-1]))
-        for c in (*plain, *odd):
-            self.number[c] = len(self.number)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def learn(self, words: list[str], others: list[str]) -> None:
+        """Encodes new parts: words of letters together, others by themselves."""
+        ids = self.encoded(" ".join(words))
+        ends = np.flatnonzero(self.ends[ids]) + 1 if words else np.zeros(0, np.int64)
+        if len(ends) == len(words) and (not words or ends[-1] == len(ids)):
+            found, sizes = [self.ids, ids], np.diff(ends, prepend=0).tolist()
+        else:
+            found, sizes, others, words = [self.ids], [], [*words, *others], []
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        found += [np.fromiter(chain.from_iterable(each), np.int32)]
+        sizes += map(len, each)
+        for text in (*words, *others):
+            self.number[text] = len(self.number)
         self.ids = np.concatenate(found)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
 
+    def parts(self, chunks: list[str]) -> list[tuple[str, str]]:
+        out = []
+        for c in chunks:
+            stem = c.rstrip(STOPS)
+            if not stem.isalpha():
+                out.append((c, ""))
+            elif stem.isascii():
+                out.append((stem.lower(), c[len(stem) :]))
+            else:
+                out.append((stem, c[len(stem) :]) if stem.lower().isalpha() else (c, ""))
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after one another, and where each text's ids begin and end."""
         if self.tokenizer is None:
@@ -104,17 +129,23 @@ class Encoder:
         else:
             split = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1), pa.int32()), texts)
         chunks = split.flatten().dictionary_encode()
-        words = chunks.dictionary.to_pylist()
-        if len(self.number) + len(words) > REMEMBERED:
+        texts = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.chunk) + len(texts) > REMEMBERED:
             self.forget()
-        if new := [w for w in words if w not in self.number]:
-            self.learn(new)
-        number = np.fromiter((self.number[w] for w in words), np.int64, len(words))[chunks.indices.to_numpy(zero_copy_only=False)]
-        count = self.first[number + 1] - self.first[number]
+        if unseen := [c for c in texts if c not in self.chunk]:
+            parts = self.parts(unseen) if self.blanks else [(c, "") for c in unseen]
+            if new := {x for pair in parts for x in pair if x not in self.number}:
+                words = {x for x in new if self.blanks and x.isalpha() and (x.isascii() or x.lower().isalpha())}
+                self.learn(list(words), list(new - words))
+            self.chunk.update(zip(unseen, range(len(self.chunk), len(self.chunk) + len(unseen))))
+            self.pairs = np.concatenate([self.pairs, [(self.number[a], self.number[b]) for a, b in parts]])
+        found = np.fromiter(map(self.chunk.__getitem__, texts), np.int64, len(texts))
+        pair = self.pairs[found[chunks.indices.to_numpy(zero_copy_only=False)]].ravel()
+        count = self.first[pair + 1] - self.first[pair]
         ends = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(self.first[number] - ends[:-1], count) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.first[pair] - ends[:-1], count) + np.arange(ends[-1])]
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return ids, ends[offsets]
+        return ids, ends[2 * offsets]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, blanks: bool = True) -> DataFrame:

@@ -100,7 +100,7 @@ def test_trie_query_and_texts_of_nodes(spark, sf_dir):
     assert all("".join(f"{x % 2**64:016X}" for x in k) == v for k, v in keys.items())
 
 
-ODD_TEXTS = [None, "", " ", "\n\n", "one  two\nthree's don't", "end<|endoftext|>of <|startoftext|> text <|", "É é  x y\x1cz\x85w", "ΑΣ ΑΣΑ ǅ İ", "123 4,5..!! ?", "日本語 テスト 😀😀", "word " * 5000, "x" * 9000, "a\tb\r\nc"]
+ODD_TEXTS = [None, "", " ", "\n\n", "one  two\nthree's don't", "end<|endoftext|>of <|startoftext|> text <|", "É é  x y\x1cz\x85w", "ΑΣ ΑΣΑ ǅ İ", "123 4,5..!! ?", "日本語 テスト 😀😀", "word " * 5000, "x" * 9000, "a\tb\r\nc", "İstanbul. İ! J\u030c, j\u030c ﬁn Straße; 한국. \u1112\u1161\u11ab ª º. A. b.. c?! .. \u0301a e\u0301. ʰa Ω. \u10d0\u1c90"]
 
 
 def tokenizer():
@@ -109,7 +109,7 @@ def tokenizer():
     return Tokenizer.from_file(TOKENIZER)
 
 
-@pytest.mark.parametrize("remembered", [400_000, 40])
+@pytest.mark.parametrize("remembered", [1_000_000, 40])
 def test_pieces_are_the_tokenizers_ids(spark, monkeypatch, sf_dir, remembered):
     monkeypatch.setattr(packing, "REMEMBERED", remembered)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ODD_TEXTS
