@@ -48,6 +48,11 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % parts
 
 
+def held_out(doc_id: Column, parts: int, which: int) -> Column:
+    """Whether an id is in that fold; a null id is in none."""
+    return F.coalesce(fold(doc_id, parts) == which, F.lit(False))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -12,11 +12,13 @@ that a language with more learned text gains nothing from it. The language of
 the smallest entropy wins, the first by name of equals.
 
 Many texts are parsed side by side with array operations, all languages at
-once. Long texts are parsed in pieces of `PIECE` bytes, cut between code points,
-which adds at most one phrase a piece for every language alike.
+once, each text as a whole. Those of over `PIECE` bytes wait for each other and
+are parsed together at the end of a batch, as a step costs nearly the same for one
+text as for many.
 
 Sample: at most `SAMPLE_DOCS` training documents a language, whole, those of
-smallest id hash; of rows with equal id the smallest text. Learned from text and
+smallest id hash, however often an id is repeated; of rows with equal id the
+smallest text. Learned from text and
 lang only; a prediction uses the text only. Texts are read in place; nothing is
 shuffled but the counts of languages and the sample.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import fold, per_slice
+from .common import fold, held_out, per_slice
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS = 24
@@ -147,37 +149,37 @@ class Parser:
         out[:, order] = count
         return out
 
-    def entropies(self, w: textnum.Words) -> np.ndarray:
-        """[text, language]: bits a byte of each text; 0 without words."""
+    def rates(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """[text, language]: bits a byte of each stretch of data; 0 for an empty one."""
+        return self.phrases(data, begin, size).T * self.bits / np.maximum(size, 1)[:, None]
+
+    def entropies(self, w: textnum.Words, wait: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
+        """[text, language]: bits a byte of each text; 0 without words. Long texts are put off to `wait` (their number and bytes) if it is given."""
         data, begin = stream(w)
         size = np.where(w.counts > 0, np.diff(begin), 0)
-        pieces = -(-size // PIECE)
-        of = np.repeat(np.arange(len(size)), pieces)
-        inner = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        cut = begin[of] + inner * PIECE
-        for _ in range(3):  # back to the first byte of a code point
-            cut = np.where(data[cut] & 0xC0 == 0x80, cut - 1, cut) if len(cut) else cut
-        end = np.append(cut[1:], 0)
-        last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
-        end = np.where(last, begin[of + 1], end[: len(of)])
-        found = self.phrases(data, cut, end - cut)
-        total = np.stack([np.bincount(of, found[k], minlength=len(size)) for k in range(len(self.languages))], axis=1)
-        return total * self.bits / np.maximum(size, 1)[:, None]
+        now = np.flatnonzero((size <= PIECE) | (wait is None))
+        out = np.zeros((len(size), len(self.languages)))
+        out[now] = self.rates(data, begin[now], size[now])
+        if wait is not None:
+            wait += [(i, data[begin[i] : begin[i] + size[i]]) for i in np.flatnonzero(size > PIECE).tolist()]
+        return out
 
     def predict(self, texts: pa.Array) -> pa.Array:
         low = pc.utf8_lower(texts)
-        names, scores = [], []
-        for a, b, w in per_slice(low):
-            lettered = self._lettered(low[a:b], w)
-            if self.languages:
-                bits = self.entropies(w)
-                best, ordered = bits.argmin(axis=1), np.sort(bits, axis=1)
-                score = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1e-300) if bits.shape[1] > 1 else np.zeros(b - a)
-            else:
-                best, score, lettered = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
-            names += [self.languages[i] if ok else NONE for i, ok in zip(best, lettered, strict=True)]
-            scores += np.where(lettered, score, 0.0).tolist()
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        lettered, bits = np.zeros(len(texts), bool), np.zeros((len(texts), max(1, len(self.languages))))
+        long: list[tuple[int, np.ndarray]] = []
+        for a, b, w in per_slice(low) if self.languages else ():
+            lettered[a:b] = self._lettered(low[a:b], w)
+            wait: list[tuple[int, np.ndarray]] = []
+            bits[a:b] = self.entropies(w, wait)
+            long += [(a + i, data) for i, data in wait]
+        if long:
+            size = np.array([len(data) for _, data in long])
+            bits[[i for i, _ in long]] = self.rates(np.concatenate([data for _, data in long]), np.cumsum(size) - size, size)
+        best, ordered = bits.argmin(axis=1), np.sort(bits, axis=1)
+        score = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1e-300) if bits.shape[1] > 1 else np.zeros(len(texts))
+        names = [self.languages[i] if ok else NONE for i, ok in zip(best, lettered, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0))], ["lang_pred", "score"])
 
     @staticmethod
     def _lettered(texts: pa.Array, w: textnum.Words) -> np.ndarray:
@@ -192,12 +194,12 @@ class Parser:
 def samples(docs: DataFrame) -> dict[str, bytes]:
     """Lower-cased words of the training sample of each language, one blank apart."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not counts:
         return {}
-    # a cut on the id hash leaves about twice the wanted ids of each language, however many it has
+    # a cut on the id hash leaves about four times the wanted ids of each language, however many ids it has and however often they are repeated
     span = 2**52
-    cut = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(span, int(2 * SAMPLE_DOCS * span / n) + 1)))))
+    cut = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(span, int(4 * SAMPLE_DOCS * span / max(n, 1)) + 1)))))
     drawn = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(span))).filter(F.col("h") < cut[F.col("lang")])
     found: dict[str, list[tuple]] = {}
     for r in drawn.groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text")).collect():
@@ -219,4 +221,4 @@ def identify(docs: DataFrame) -> DataFrame:
         return parser.predict(texts)
 
     found = docs.select("doc_id", predicted("text").alias("p"))
-    return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "p.lang_pred", "p.score")
+    return found.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "p.lang_pred", "p.score")

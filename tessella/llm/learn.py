@@ -14,8 +14,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
     Only ids outside the held-out fold are taken; of those the ones with the
     smallest hash of the id, so the sample is the same on every run. An id counts
-    once; an id whose labels contradict each other has none. The ids are bounded
-    by 2 * per_class, so broadcasting them is safe.
+    once, with the smallest of its texts; an id whose labels contradict each other
+    has none. So ids and rows are bounded by 2 * per_class, and broadcasting the
+    ids is safe.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), parts) != held_out))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("doc_id", "label")
@@ -24,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:

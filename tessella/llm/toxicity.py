@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import ensure_checkpoint_dir, fold, owners, per_slice
+from .common import ensure_checkpoint_dir, held_out, owners, per_slice
 from .learn import labelled_sample, logistic, sigmoid
 
 FOLDS, HELD_OUT = 3, 1
@@ -270,4 +270,4 @@ def score(text: Column, model: Model) -> Column:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the significant passages (word ranges `first-end`)."""
     scored = docs.select("doc_id", score(F.col("text"), fit(docs, labels)).alias("s"))
-    return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "s.score", (F.col("s.score") >= CUT).cast("int").alias("predicted"), "s.segments")
+    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "s.score", (F.col("s.score") >= CUT).cast("int").alias("predicted"), "s.segments")

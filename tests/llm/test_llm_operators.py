@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessella.llm")
-from tessella.llm import chat, decontaminate, fingerprints, language, licenses, mixing, nearduplicates, quality, queries, substrings, textnum, toxicity  # noqa: E402
+from tessella.llm import chat, common, decontaminate, fingerprints, language, learn, licenses, mixing, nearduplicates, quality, queries, substrings, textnum, toxicity  # noqa: E402
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -176,16 +176,6 @@ def longest_matches(data, sample):
     return n
 
 
-def pieces(data, size):
-    """data cut every `size` bytes, back to the begin of a code point."""
-    at = [0]
-    for k in range(size, len(data), size):
-        while data[k] & 0xC0 == 0x80:
-            k -= 1
-        at.append(k)
-    return [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
-
-
 @pytest.mark.parametrize("dense", [True, False])
 @pytest.mark.parametrize("piece", [7, 4096])
 def test_phrases_against_greedy_parse(monkeypatch, dense, piece):
@@ -197,10 +187,15 @@ def test_phrases_against_greedy_parse(monkeypatch, dense, piece):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdé zq  .") for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", "abd cabd, zq ddd abcabc"]
     got = parser.entropies(textnum.words(pa.array(texts)))
-    for t, bits in zip(texts, got, strict=True):
+    predicted = parser.predict(pa.array(texts)).to_pylist()
+    for t, bits, p in zip(texts, got, predicted, strict=True):
+        if words(t) and any(c.isalpha() for c in t):
+            assert p["lang_pred"] == "xy"[int(bits.argmin())] and abs(p["score"] - (1 - bits.min() / bits.max())) < 1e-12
+        else:
+            assert p == {"lang_pred": "und", "score": 0.0}
         w = words(t)
         data = (" " + " ".join(w) + " ").encode() if w else b""
-        want = [sum(longest_matches(p, sample) for p in pieces(data, piece)) * np.log2(len(sample)) / max(len(data), 1) for sample in samples.values()]
+        want = [longest_matches(data, sample) * np.log2(len(sample)) / max(len(data), 1) for sample in samples.values()]
         assert np.allclose(bits, want)
 
 
@@ -215,7 +210,7 @@ def test_language_query_against_brute_force(spark, docs):
             assert found[r.doc_id].lang_pred == "und"
             continue
         data = (" " + " ".join(w) + " ").encode()
-        bits = {k: sum(longest_matches(p, v) for p in pieces(data, language.PIECE)) * np.log2(len(v)) for k, v in sorted(learned.items())} if len(data) < 3000 else None
+        bits = {k: longest_matches(data, v) * np.log2(len(v)) for k, v in sorted(learned.items())} if len(data) < 3000 else None
         if bits:
             best = min(bits, key=lambda k: (round(bits[k], 6), k))
             assert found[r.doc_id].lang_pred == best
@@ -229,6 +224,31 @@ def test_language_sample_is_whole_and_bounded(spark):
     assert got["y"] == b" other y words "
 
 
+@pytest.mark.parametrize("times", [1, 60, 1000])
+def test_language_sample_with_repeated_rows(spark, times):
+    """However often the rows of a language are repeated, the same of its ids are learned."""
+    rows = [(k, f"le chat numéro {k} dort", "fr") for k in range(12)] + [(100 + k, f"der hund nummer {k} wacht", "de") for k in range(300)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = few.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("lang") == "fr", times).otherwise(1)))).drop("n")
+    assert language.samples(many) == language.samples(few)
+    assert language.samples(few)["fr"].count(b" chat ") == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(12))
+
+
+def test_null_ids_are_not_held_out(spark, docs, labels):
+    more = docs.unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    for found in (language.identify(more), quality.classify(more, labels), toxicity.classify(more, labels)):
+        assert found.filter("held_out is null").isEmpty() and found.filter("doc_id is null and not held_out").count() == 20
+
+
+def test_labelled_sample_is_bounded_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(k % 10, f"text {k}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, quality int")
+    sample, counts = learn.labelled_sample(docs, labels, "quality", 5, 0, 100)
+    kept = [k for k in range(10) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(map(tuple, sample.collect())) == [(k, min(f"text {j}" for j in range(k, 3000, 10)), k % 2) for k in kept]
+    assert sum(counts.values()) == len(kept)
+
+
 def test_language_held_out(spark, docs, odd, empty):
     truth = {r.doc_id: r.lang for r in docs.collect()}
     rows = language.identify(docs).collect()
@@ -375,7 +395,7 @@ def test_toxicity_at_every_sample_size(insults, size):
     d, lab = insults
     model = toxicity.fit(d, lab, size)
     assert 2 <= (model.odds > 0).sum() < 60 and model.lam > 0.1
-    scored = d.select("doc_id", "text", toxicity.score(F.col("text"), model).alias("s")).filter(toxicity.fold(F.col("doc_id"), 3) == 1).collect()
+    scored = d.select("doc_id", "text", toxicity.score(F.col("text"), model).alias("s")).filter(common.fold(F.col("doc_id"), 3) == 1).collect()
     toxic, marked = np.array([r.doc_id % 3 == 0 for r in scored]), np.array([r.s.score >= toxicity.CUT for r in scored])
     assert marked[toxic].mean() > 0.97 and marked[~toxic].mean() < 0.01
     # passages, not whole texts
