@@ -73,3 +73,48 @@ def chaikin(points: Column) -> Column:
 def hue_palette(n: Column) -> Column:
     """array<int>: n hues (0..179), equally far apart."""
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.floor(i * 180 / n), F.lit(180)).cast("int"))
+
+
+def _once(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def lab_to_rgb(lab: Column) -> Column:
+    """struct<r, g, b> (0..255, rounded and clamped) of struct<L, a, b>: the inverse of rgb_to_lab."""
+    named = lambda **c: F.named_struct(*(x for k, v in c.items() for x in (F.lit(k), v)))
+    unfold = lambda f, white: F.when(f * f * f > 0.008856, f * f * f).otherwise((f - 16.0 / 116.0) / 7.787) * white
+
+    def channel(v: Column) -> Column:
+        encoded = F.when(v > 0.0031308, 1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * v)
+        return F.greatest(F.lit(0), F.least(F.lit(255), F.round(encoded * 255))).cast("int")
+
+    def mixed(xyz: Column) -> Column:
+        return named(**{n: _once(sum(k * xyz[c] for k, c in zip(row, "xyz", strict=True)), channel) for n, row in zip("rgb", inverse(_XYZ), strict=True)})
+
+    folded = lambda c: named(x=(c["L"] + 16) / 116 + c["a"] / 500, y=(c["L"] + 16) / 116, z=(c["L"] + 16) / 116 - c["b"] / 200)
+    return _once(_once(_once(lab, folded), lambda f: named(**{c: unfold(f[c], w) for c, w in zip("xyz", _WHITE, strict=True)})), mixed)
+
+
+def inverse(m: tuple) -> list[list[float]]:
+    """The inverse of a 3 x 3 matrix by its cofactors."""
+    minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = sum(m[0][j] * minor(0, j) for j in range(3))
+    return [[minor(j, i) / det for j in range(3)] for i in range(3)]
+
+
+# Saturation and value (0..255) of the palette schemes; others are as rainbow.
+SCHEMES = {"rainbow": (200, 230), "pastel": (80, 240), "vibrant": (220, 200), "soft": (120, 220)}
+
+
+def hue_to_rgb(hue: Column, saturation: int, value: int) -> Column:
+    """array<int> red, green, blue of a hue (0..179, two degrees each) with saturation and value of 0..255, rounded."""
+    channel = lambda n: F.pmod(n + hue / 30.0, F.lit(6.0))
+    level = lambda k: value - value * saturation / 255.0 * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+    return F.array(*(F.round(level(channel(F.lit(float(n))))).cast("int") for n in (5, 3, 1)))
+
+
+def auto_palette(n: Column, scheme: str = "rainbow") -> Column:
+    """array<array<int>>: n colours whose hues are equally far apart; none if n is not positive."""
+    s, v = SCHEMES.get(scheme, SCHEMES["rainbow"])
+    return F.when(n > 0, F.transform(hue_palette(n), lambda h: hue_to_rgb(h, s, v))).otherwise(F.array().cast("array<array<int>>"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .values import first_nonblank
@@ -220,6 +220,35 @@ def restyle(prompt: Column, header: str, new_header: str, remove: list[str], suf
     return F.concat(F.trim(F.trim(out), F.lit(", ")), F.lit(suffix))
 
 
+def styled(positive: Column, negative: Column, style: Column, styles: dict[str, dict]) -> Column:
+    """struct<positive, negative> in the style of each row; of an unknown style unchanged.
+
+    styles: name to `header`, `positive` and `negative` (what is added), `remove_positive`
+    and `remove_negative` (patterns, any case).
+    """
+    def changed(text: Column, patterns: list[str], added: str) -> Column:
+        for pattern in patterns:
+            text = F.regexp_replace(text, f"(?i){pattern}", "")
+        text = F.regexp_replace(F.regexp_replace(text, r",\s*,", ","), r"\s+", " ")
+        return F.concat(F.rtrim(F.regexp_replace(F.trim(text), ",+$", "")), F.lit(f", {added}"))
+
+    out = F.struct(positive.alias("positive"), negative.alias("negative"))
+    for name, s in styles.items():
+        head = F.regexp_replace(positive, HEADER, s["header"].replace("\\", "\\\\").replace("$", "\\$") + ", ")
+        out = F.when(style == name, F.struct(changed(head, s.get("remove_positive", []), s["positive"]).alias("positive"), changed(negative, s.get("remove_negative", []), s["negative"]).alias("negative"))).otherwise(out)
+    return out
+
+
+#: Fixed value: the header of prompts that a style replaces.
+HEADER = r"(?i)^coloring book page for kids,?\s*"
+
+
+def vocabulary_sizes(spark: SparkSession) -> DataFrame:
+    """name, words: how many words each filter knows."""
+    sizes = {"color_nouns": COLORS, "color_anchors": ANCHORS, "glossy_terms": GLOSSY, "solid_terms": SOLID}
+    return spark.createDataFrame([(k, len(v)) for k, v in sizes.items()], "name string, words int")
+
+
 def inject_background(prompt: Column, phrase: str, after: str = " illustration,") -> Column:
     """phrase, unless there already: behind the first `after`, else in front."""
     at = F.instr(prompt, after)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.colors import distance
@@ -95,3 +95,9 @@ def small_into_majority(pixels: DataFrame, least: int) -> DataFrame:
     small = pixels.groupBy("image", "region").agg(F.count("*").alias("area")).filter(F.col("area") < least)
     sides = neighbours(pixels).groupBy("image", "region", "other").agg(F.count("*").alias("n"))
     return small.join(sides, ["image", "region"]).groupBy("image", "region").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("into_region"))
+
+
+def largest(shapes: DataFrame, area: str, id: str, n: int) -> DataFrame:
+    """The n largest shapes with their place (from 1), of equals the smaller id first."""
+    top = shapes.orderBy(F.desc(area), id).limit(n)
+    return top.select("*", F.row_number().over(Window.orderBy(F.desc(area), id)).cast("long").alias("place"))  # n rows

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import ranges
+
 #: So many names, and characters in them, go to every task as one search automaton; more are met in a join.
 AUTOMATON_NAMES, AUTOMATON_CHARS = 200_000, 4_000_000
 #: Beyond that names are found through their first so many characters (all of shorter names).
@@ -132,8 +134,21 @@ def best_of_batch(rows: DataFrame, by: str, id: str, *rank: Column) -> DataFrame
 
 
 def seeded_sample(rows: DataFrame, id: str, n: int, seed: int) -> DataFrame:
-    """n rows chosen by a hash of id and seed (all if there are fewer), sorted by id."""
-    return rows.orderBy(F.xxhash64(F.col(id), F.lit(seed)), id).limit(n).orderBy(id)
+    """n rows chosen by a digest of seed and id (all if there are fewer), sorted by id: the same on every run and machine."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string"))), id).limit(n).orderBy(id)
+
+
+def first_row(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The first row of each group in the given order, whole; of the whole table without groups."""
+    least = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")
+    return (rows.groupBy(*by).agg(least) if by else rows.agg(least).filter("r is not null")).select("r.*")
+
+
+def cut_then_match(rows: DataFrame, before: Column, exact: Column, order: list[Column], limit: int, offset: int = 0, cut_first: bool = True) -> DataFrame:
+    """A page of rows that a cheap test lets through and the exact one keeps. With cut_first the page is cut after the cheap test, so it may come out short; else after the exact one."""
+    if cut_first:
+        return rows.filter(before).orderBy(*order).offset(offset).limit(limit).filter(exact)
+    return rows.filter(before & exact).orderBy(*order).offset(offset).limit(limit)
 
 
 def top(rows: DataFrame, score: Column, id: str, n: int = 10) -> DataFrame:
@@ -149,7 +164,7 @@ def suggestions(rows: DataFrame, name: str, query: str, n: int) -> tuple[DataFra
 
 def chunks(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """rows with `chunk`: requests of at most so many rows of a group, in order (from 0)."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
+    return ranges.row_numbers(rows, [by], [order], "chunk").withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("long"))
 
 
 def inserted_by_root(rows: DataFrame, root: str, id: str, n: int = 10) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.values import half_even
+from tessella.operators import ranges
 
 #: Fixed value: largest defect rate of a passed gate.
 GATE = 0.30
@@ -14,15 +17,20 @@ GATE = 0.30
 def order_statistics(rows: DataFrame, by: str, value: str, **ranks: Column) -> DataFrame:
     """Per group n and the values at ranks (from 0, columns of n) in ascending order, exact; null where a rank is out of range.
 
-    Equal values are counted before the shuffle and running counts are streamed,
-    so a large group is sorted by Spark, not gathered into an array.
+    Equal values are counted before the shuffle. The counts are split into ranges
+    of values, many for a large group; only the ranges in which a rank falls are
+    counted through, so no group passes through one task.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__c"))
-    group = Window.partitionBy(by)
-    upto = F.sum("__c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = counts.groupBy(by).agg(F.sum("__c").alias("n"))
-    placed = counts.withColumn("__upto", upto).join(totals, by)
-    return placed.groupBy(by, "n").agg(*(F.min(F.when((rank >= 0) & (F.col("__upto") > rank), F.col(value))).alias(name) for name, rank in ranks.items()))
+    ranged = ranges.in_ranges(counts, [by], [value])
+    parts = ranges.before(ranged, [by], F.col("__c")).join(totals, by)
+    inside = lambda rank: (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__inside"))
+    wanted = parts.filter(reduce(lambda a, b: a | b, map(inside, ranks.values())))
+    upto = F.sum("__c").over(Window.partitionBy(by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.join(wanted, [by, "__range"]).withColumn("__upto", F.col("__before") + upto)
+    found = placed.groupBy(by).agg(*(F.min(F.when((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__inside")) & (F.col("__upto") > rank), F.col(value))).alias(name) for name, rank in ranks.items()))
+    return totals.join(found, by, "left")
 
 
 def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:

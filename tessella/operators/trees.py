@@ -36,13 +36,22 @@ def walk(nodes: DataFrame, start: DataFrame | None = None, depth: int | None = N
 
 
 def pre_order(nodes: DataFrame, start: DataFrame, weight: Column) -> DataFrame:
-    """id, level, place (from 1) of the start ids and all below them, each before its children, siblings by weight (null: 0), then id."""
-    use_shared_checkpoints(nodes.sparkSession)
-    key = nodes.select("id", F.struct(F.coalesce(weight, F.lit(0)).cast("double").alias("w"), F.col("id").alias("i")).alias("k"))
-    steps = walk(nodes, start).select("id", "root", "level", F.posexplode("path").alias("p", "step"))
-    keyed = steps.join(key.withColumnRenamed("id", "step"), "step").groupBy("id", "root", "level").agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("ks"))
-    # array order is pre-order: a prefix comes before what it begins
-    return keyed.select("id", "root", "level", F.row_number().over(Window.partitionBy("root").orderBy(F.col("ks.k"))).alias("place"))
+    """id, level, place (from 1) of the start ids and all below them, each before its children, siblings by weight (null: 0), then id.
+
+    A node's place is the sum, over itself and the nodes above it, of 1 and of the
+    sizes of the earlier siblings' subtrees; siblings are the largest group.
+    """
+    key = nodes.select("id", F.coalesce(weight, F.lit(0)).cast("double").alias("w"))
+    found = walk(nodes, start).join(key, "id")
+    steps = found.select("root", "id", F.explode("path").alias("step"))
+    sizes = steps.groupBy("root", "step").agg(F.count("*").alias("size")).withColumnRenamed("step", "id")
+    earlier = Window.partitionBy("root", "parent").orderBy("w", "id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = found.join(sizes, ["root", "id"])
+    # a start node stands alone, whatever its parent has besides
+    ahead = sized.filter("level > 1").withColumn("ahead", 1 + F.coalesce(F.sum("size").over(earlier), F.lit(0))).select("root", F.col("id").alias("step"), "ahead")
+    ahead = ahead.unionByName(sized.filter("level = 1").select("root", F.col("id").alias("step"), F.lit(1).cast("long").alias("ahead")))
+    places = steps.join(ahead, ["root", "step"]).groupBy("root", "id").agg(F.sum("ahead").cast("int").alias("place"))
+    return found.join(places, ["root", "id"]).select("id", "root", "level", "place")
 
 
 def with_children(nodes: DataFrame, ids: list[str]) -> DataFrame:

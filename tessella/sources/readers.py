@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +18,27 @@ def json_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> D
     return files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc")).filter("doc is not null")
 
 
+def listed_documents(spark: SparkSession, path: str, patterns: tuple[str, ...], left_out: tuple[str, ...] = ()) -> DataFrame:
+    """path, name, doc of the readable JSON files below path whose name fits one of the patterns (`*`, `?`) and none of those left out, by name, then path."""
+    found = json_documents(spark, path, "{" + ",".join(patterns) + "}" if len(patterns) > 1 else patterns[0]).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+    for pattern in left_out:
+        found = found.filter(~F.col("name").rlike("^" + re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".") + "$"))
+    return found.select("path", "name", "doc").orderBy("name", "path")
+
+
+def first_source(*sources: Callable[[], DataFrame]) -> DataFrame:
+    """The first source that can be read: a table, else a file. If none can, the last error is raised."""
+    for k, source in enumerate(sources):
+        try:
+            found = source()
+            found.schema  # noqa: B018 (a missing table or path shows here)
+            return found
+        except AnalysisException:
+            if k == len(sources) - 1:
+                raise
+    raise ValueError("no source given")
+
+
 def index_entries(documents: DataFrame) -> DataFrame:
     """path, filename, entry of index documents in any of their schemas.
 
