@@ -32,9 +32,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+#: Tables of this driver's operators in the shared folder that are not released yet.
+_STORED: list[str] = []
+
+
+def stored(path: str) -> str:
+    """path, noted as a table that `release` removes."""
+    _STORED.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Removes what operators have stored between their steps (of all, those after the first `since`), once their results are written; returns how many tables. A result of theirs that is not written yet can't be made after that."""
+    paths, _STORED[since:] = _STORED[since:], []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
+def n_stored() -> int:
+    return len(_STORED)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table of its own in the shared folder. Like checkpoint(), but what the planner knows of the old plan (its constraints, which grow with every round of a loop) stays behind."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df as a table of its own in the shared folder, until `release`. Like checkpoint(), but what the planner knows of the old plan (its constraints, which grow with every round of a loop) stays behind."""
+    path = stored(f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import ensure_checkpoint_dir, pack, shared_folder, struct, unpack
+from .common import ensure_checkpoint_dir, pack, shared_folder, stored, struct, unpack
 
 WINDOW = 10
 SLOP = 2
@@ -202,7 +202,7 @@ def index(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
-    path = f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+    path = stored(f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}")
     rows.mapInArrow(build, "doc array<long>, h array<long>, counts array<int>, terms array<long>, sizes array<int>, places array<int>").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 

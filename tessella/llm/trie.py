@@ -251,7 +251,7 @@ def hashed_ends(nodes: DataFrame) -> DataFrame:
 
 def build(conversations: DataFrame) -> DataFrame:
     """All nodes: key and parent_key (32 hex digits), conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    rows = numbered(conversations)
+    rows = written(numbered(conversations))  # some 40 bytes a turn; texts are read once
     bases = rows.filter((F.col("conv_id") % FAMILY == 0) & (F.col("pos") < BORROWED)).select("conv_id", "pos", "digest", "chars")
     families = family_nodes(rows.filter(F.col("n_turns") <= LONG), bases)
     found = written(families.unionByName(chain_nodes(rows.filter(F.col("n_turns") > LONG), bases)))

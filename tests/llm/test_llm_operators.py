@@ -758,6 +758,52 @@ def test_mixture_keeps_to_the_target_weights():
         assert np.abs(np.searchsorted(s, t, "left") - t * (weights[k] / sum(weights.values()))).max() < 1
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_stretches_are_the_schedule(spark, monkeypatch, seed):
+    """However the schedule is cut into stretches, the tasks make the slots of the schedule in one piece, which is EDF over the windows of the exact weights."""
+    from fractions import Fraction
+
+    rng = random.Random(seed)
+    weights = {f"s{k}": rng.choice((1, 2, 0.1, rng.random(), 10 * rng.random())) for k in range(rng.randint(1, 9))}
+    blocks = {k: rng.randint(1, 60) for k in weights}
+    plain, horizon = {k: [] for k in weights}, None
+    start, active = 0, sorted(weights)
+    while active:
+        total, t, own = sum(Fraction(weights[k]) for k in active), 0, {k: len(plain[k]) for k in active}
+        while True:
+            due = {k: (-(-(len(plain[k]) - own[k] + 1) * total // Fraction(weights[k])), k) for k in active if (len(plain[k]) - own[k]) * total // Fraction(weights[k]) <= t}
+            k = min(due, key=due.get)
+            if len(plain[k]) == blocks[k]:
+                break
+            plain[k].append(start + t)
+            t += 1
+        start += t
+        horizon = start if horizon is None else horizon
+        active = [k for k in active if len(plain[k]) < blocks[k]]
+    for every in (1, 7, 1000):
+        monkeypatch.setattr(mixing, "STRETCH", every)
+        assert mixing.mixture(weights, blocks) == (plain, horizon)
+    names, whole = mixing.whole_weights(weights)
+    found, _ = mixing.stretches(whole, [blocks[k] for k in names], 7)
+    assert all(s.steps <= 7 for s in found)
+    number_of = {k: 3 * i + 1 for i, k in enumerate(names)}
+    made = {(r.block_key >> mixing.NUMBER_BITS, r.block_key & (1 << mixing.NUMBER_BITS) - 1): r.slot for r in mixing.slot_table(spark, names, whole, found, number_of).collect()}
+    assert made == {(number_of[k], i): slot for k in names for i, slot in enumerate(plain[k])}
+
+
+def test_release_removes_stored_tables(spark):
+    from pathlib import Path
+
+    from tessella.llm import common
+
+    first = common.written(spark.range(3))
+    mark = common.n_stored()
+    second = common.written(spark.range(4))
+    paths = [Path(df.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent for df in (first, second)]
+    assert common.release(spark, mark) == 1 and not paths[1].exists() and first.count() == 3
+    assert common.n_stored() == mark
+
+
 def test_mixing_query_keeps_to_the_targets(spark, sf_dir, docs):
     """The whole query: every document once, and each source's blocks within one of its weight times the slots so far."""
     rows = queries.op10_mixing(spark, sf_dir).collect()
