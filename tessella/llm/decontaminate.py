@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import ensure_checkpoint_dir, pack, shared_folder, stored, struct, unpack
+from .common import ensure_checkpoint_dir, pack, shared_folder, stored, struct, unpack, written
 
 WINDOW = 10
 SLOP = 2
@@ -208,19 +208,20 @@ def index(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(items: DataFrame) -> Iterator[Lookup]:
-    block, held = [], 0
+    """The items in blocks of about BLOCK_WORDS words; one empty block without items."""
+    block, held, made = [], 0, 0
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null").orderBy("item", "text")
     for r in rows.toLocalIterator():
         block.append((r.item, r.text))
-        held += r.text.count(" ") + 1
+        held += len(textnum.words(pa.array([r.text])).hash) + 1
         if held >= BLOCK_WORDS:
             yield Lookup(block)
-            block, held = [], 0
-    if block or held == 0:
+            block, held, made = [], 0, made + 1
+    if block or not made:
         yield Lookup(block)
 
 
-def _answers(stored: DataFrame, lookup: Lookup) -> DataFrame:
+def _answers(index: DataFrame, lookup: Lookup) -> DataFrame:
     """segment, text, doc, h and what the windows of one block hit, a row for each text."""
 
     def look_up(batches):
@@ -232,7 +233,7 @@ def _answers(stored: DataFrame, lookup: Lookup) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("segment")[i].as_py())), pa.array(np.arange(n)), batch.column("doc")[i].values, batch.column("h")[i].values, *lookup.answer(s)], _ANSWER)
 
     # segments are told apart by what they hold
-    named = stored.select(F.xxhash64("doc", "h", "counts").alias("segment"), "*")
+    named = index.select(F.xxhash64("doc", "h", "counts").alias("segment"), "*")
     return named.mapInArrow(look_up, "segment long, text long, doc long, h long, n_words long, spans array<struct<start:bigint,stop:bigint>>, items array<string>, near array<string>")
 
 
@@ -246,14 +247,27 @@ def _hits(spans: Column) -> Column:
     )
 
 
-def search(stored: DataFrame, items: DataFrame) -> DataFrame:
-    """doc, h, n_words, spans, items and near (sorted) of each indexed text, over all blocks of items."""
-    found = [_answers(stored, lookup) for lookup in _blocks(items)]
-    if len(found) == 1:
-        return found[0].select("doc", "h", "n_words", "spans", F.sort_array("items").alias("items"), F.sort_array("near").alias("near"))
+def search(index: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, h, n_words, spans, items and near (sorted) of each indexed text, over all blocks of items.
+
+    One block is answered where the index is read. Of several, the driver holds one
+    or two at a time: the answers of each are stored before the next is read, of
+    all but the first the hits alone.
+    """
+    blocks = _blocks(items)
+    first, second = next(blocks), next(blocks, None)
+    answers = _answers(index, first)
+    if second is None:
+        return answers.select("doc", "h", "n_words", "spans", F.sort_array("items").alias("items"), F.sort_array("near").alias("near"))
+    found = [written(answers.withColumn("first", F.lit(True)))]
+    del first, answers
+    hit = (F.size("spans") > 0) | (F.size("items") > 0) | (F.size("near") > 0)
+    while second is not None:
+        found.append(written(_answers(index, second).filter(hit).withColumn("first", F.lit(False))))
+        second = next(blocks, None)
     # equal segments hold equal rows: their answers are merged and given as often as there are rows
     merged = lambda name: F.flatten(F.collect_list(name))
-    every = reduce(DataFrame.unionByName, found).groupBy("segment", "text", "doc", "h", "n_words").agg(merged("spans").alias("spans"), merged("items").alias("items"), merged("near").alias("near"), (F.count("*") / len(found)).cast("int").alias("times"))
+    every = reduce(DataFrame.unionByName, found).groupBy("segment", "text", "doc", "h", "n_words").agg(merged("spans").alias("spans"), merged("items").alias("items"), merged("near").alias("near"), F.count_if("first").cast("int").alias("times"))
     once = every.select("doc", "h", "n_words", F.sort_array("spans").alias("spans"), F.sort_array(F.array_distinct("items")).alias("items"), F.sort_array(F.array_distinct("near")).alias("near"), "times")
     return once.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
 

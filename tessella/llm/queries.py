@@ -108,5 +108,37 @@ FROM c
 """
 
 
+_OP11 = """
+WITH ids AS (
+  SELECT DISTINCT conv_id AS c, conv_id - conv_id % 100 AS base,
+    xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda b: CAST(ord(b) AS BIGINT)),
+      lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, zero: xor(x // 2, 3988292384 * (x % 2)))), 4294967295) % 6 AS h
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY k, pos) AS d, length(text) AS n, md5(length(role) || ':' || role || text) AS t FROM (
+    SELECT ids.c, 0 AS k, pos, role, text FROM ids JOIN own ON own.c = base AND pos <= h UNION ALL SELECT own.c, 1, pos, role, text FROM own JOIN ids ON ids.c = own.c WHERE pos > h)
+), members AS (
+  SELECT c, d, n, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS path FROM turns UNION ALL SELECT c, 0, 0, '' FROM ids
+), ends AS (
+  SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM members JOIN (SELECT c, max(d) AS d FROM members GROUP BY c) USING (c, d) GROUP BY path
+), nodes AS (
+  SELECT path, any_value(d) AS depth, any_value(n) AS n, min(c) AS conv_id, count(*) AS n_convs FROM members GROUP BY path
+), below AS (
+  SELECT DISTINCT a.path AS top, u.path FROM members a JOIN members u ON a.c = u.c AND u.d >= a.d
+), children AS (
+  SELECT top AS path, count(*) AS n_children FROM below JOIN nodes a ON a.path = top JOIN nodes u ON u.path = below.path WHERE u.depth = a.depth + 1 GROUP BY top
+), parents AS (
+  SELECT u.path, a.conv_id AS parent_conv_id FROM below JOIN nodes a ON a.path = top JOIN nodes u ON u.path = below.path WHERE u.depth = a.depth + 1
+), sums AS (
+  SELECT top AS path, count(*) FILTER (children.path IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * n) AS BIGINT) AS saved_tokens FROM below JOIN nodes ON nodes.path = below.path LEFT JOIN children ON children.path = below.path GROUP BY top
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes JOIN sums USING (path) LEFT JOIN children USING (path) LEFT JOIN parents USING (path) LEFT JOIN ends USING (path)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": _OP8, "op13_infill": _OP13}
+    return {"op8_chat": _OP8, "op11_prefixtrie": _OP11, "op13_infill": _OP13}

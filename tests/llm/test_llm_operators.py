@@ -489,6 +489,14 @@ def test_contamination_of_equal_ids_and_several_blocks(spark, monkeypatch):
     assert [(r.doc_id, r.text) for r in decontaminate.clean(d, items).collect()] == [(None, "q")]
 
 
+def test_blocks_are_counted_in_words(spark, monkeypatch):
+    """Also where words are not parted by blanks."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    items = spark.createDataFrame([(k, sep.join("abcde")) for k, sep in enumerate(("\n", ".", " ", "\t", "--", "\n"))] + [(9, None)], "item_id long, text string")
+    assert len(list(decontaminate._blocks(items))) == 3
+    assert len(list(decontaminate._blocks(items.limit(0)))) == 1
+
+
 def test_proximity(spark):
     item = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     texts = [(1, "a b c x d e f g h i j"), (2, "a b c d e f g h i"), (3, "j a b c d e f g h i j")]
