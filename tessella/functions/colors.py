@@ -80,14 +80,14 @@ def _once(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lab_to_rgb(lab: Column) -> Column:
-    """struct<r, g, b> (0..255, rounded and clamped) of struct<L, a, b>: the inverse of rgb_to_lab."""
+def lab_to_rgb(lab: Column, cut: bool = False) -> Column:
+    """struct<r, g, b> (0..255, clamped, rounded or cut down) of struct<L, a, b>: the inverse of rgb_to_lab."""
     named = lambda **c: F.named_struct(*(x for k, v in c.items() for x in (F.lit(k), v)))
     unfold = lambda f, white: F.when(f * f * f > 0.008856, f * f * f).otherwise((f - 16.0 / 116.0) / 7.787) * white
 
     def channel(v: Column) -> Column:
         encoded = F.when(v > 0.0031308, 1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * v)
-        return F.greatest(F.lit(0), F.least(F.lit(255), F.round(encoded * 255))).cast("int")
+        return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(encoded * 255) if cut else F.round(encoded * 255))).cast("int")
 
     def mixed(xyz: Column) -> Column:
         return named(**{n: _once(sum(k * xyz[c] for k, c in zip(row, "xyz", strict=True)), channel) for n, row in zip("rgb", inverse(_XYZ), strict=True)})
@@ -96,6 +96,11 @@ def lab_to_rgb(lab: Column) -> Column:
     return _once(_once(_once(lab, folded), lambda f: named(**{c: unfold(f[c], w) for c, w in zip("xyz", _WHITE, strict=True)})), mixed)
 
 
+def lab_hex(lab: Column) -> Column:
+    """#RRGGBB of a Lab colour, channels cut down to whole numbers."""
+    return _once(lab_to_rgb(lab, cut=True), lambda c: F.upper(rgb_to_hex(c["r"], c["g"], c["b"])))
+
+
 def inverse(m: tuple) -> list[list[float]]:
     """The inverse of a 3 x 3 matrix by its cofactors."""
     minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]

@@ -116,6 +116,27 @@ def leading_name(leaf: Column, names: tuple[str, ...]) -> Column:
     return F.when(~collective, found)
 
 
+# First tokens of leaves that name a number of subjects; parts of leaves that tend to show several subjects, and what their negative prompt gets.
+NUMBERS = ("three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+SEVERAL = ("_with_friend", "_with_chicks", "_and_", "_in_anemone", "_with_school", "_with_cub", "_with_pup")
+ISOLATION = ", two animals, pair of animals, multiple animals together"
+
+
+def numbered(leaf: Column) -> Column:
+    """Whether a leaf id begins with a number word, in any case; null has none."""
+    return F.coalesce(F.lower(leaf).rlike(f"^({'|'.join(NUMBERS)})_"), F.lit(False))
+
+
+def several(leaf: Column) -> Column:
+    """Whether a leaf id has a part that tends to show several subjects."""
+    return F.coalesce(F.exists(F.array(*(F.lit(p) for p in SEVERAL)), lambda p: F.contains(leaf, p)), F.lit(False))
+
+
+def isolated(negative: Column, leaf: Column) -> Column:
+    """The negative prompt, with a call for one subject where a leaf tends to show several."""
+    return F.when(several(leaf), F.concat(negative, F.lit(ISOLATION))).otherwise(negative)
+
+
 def align(words: Column, parts: Column) -> Column:
     """array<struct<word, part>>: words beside the parts of their transliteration; a word with the article `ال` takes `al` and the next part. Null where they do not come out even."""
     step = lambda acc, w: F.named_struct(

@@ -287,6 +287,45 @@ def region_colors(pixels: DataFrame, channels: list[str], share: float) -> DataF
     return stats.join(whole, "image")
 
 
+def _into_neighbours(grid: np.ndarray, least: int, passes: int) -> np.ndarray:
+    """Labels of one image; a part takes its new label before the next one is looked at."""
+    out, (h, w) = grid.copy(), grid.shape
+    for _ in range(passes):
+        moved = False
+        for label in np.unique(out[out >= 0]).tolist():
+            parts = np.where(out == label, images.connected((out == label).astype(np.int8)), -1).ravel()
+            order = np.argsort(parts, kind="stable")
+            order = order[parts[order] >= 0]
+            for part in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+                if len(part) >= least:
+                    continue
+                y, x = np.divmod(part, w)
+                ring = np.concatenate([np.column_stack([y + dy, x + dx]) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+                ring = ring[(ring[:, 0] >= 0) & (ring[:, 0] < h) & (ring[:, 1] >= 0) & (ring[:, 1] < w)]
+                ring = np.setdiff1d(ring[:, 0] * w + ring[:, 1], part)
+                beside = out.ravel()[ring]
+                values, counts = np.unique(beside[(beside >= 0) & (beside != label)], return_counts=True)
+                if len(values):
+                    out[y, x] = values[counts.argmax()]
+                    moved = True
+        if not moved:
+            break
+    return out
+
+
+def small_parts_merged(pixels: DataFrame, label: str, least: int, passes: int = 3) -> DataFrame:
+    """(image, y, x, label) in which connected parts under `least` pixels have the label that most pixels around them have (8 neighbours; ink, below 0, left out; of equals the smaller), label by label in ascending order, for some passes or until nothing moves. What a part becomes depends on the parts before it, so an image's labels are one group."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf.y - pdf.y.min(), pdf.x - pdf.x.min()
+        grid = np.full((y.max() + 1, x.max() + 1), -1, np.int64)
+        grid[y, x] = pdf[label]
+        return pdf.assign(**{label: _into_neighbours(grid, least, passes)[y, x]})
+
+    rows = pixels.select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(label).cast("int").alias(label))
+    return rows.groupBy("image").applyInPandas(merge, f"image long, y int, x int, {label} int")
+
+
 # borders
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import shapes
+from tessella.functions import colors, shapes
 from tessella.operators import arrays, grids, images
-from tessella.plans.bound import _GRID, _REGION, bound, gray_images, grid, read
+from tessella.plans.bound import _GRID, _REGION, SQL, bound, gray_images, grid, read
 
 #: The grids with labels 0 to 2, ink (-1) where the value is low.
 _INK = f"WITH g AS (SELECT image, y, x, v, CASE WHEN v > 0.1 THEN 2 WHEN v > 0 THEN 1 WHEN v < -0.1 THEN -1 ELSE 0 END AS label FROM ({_GRID}))"
@@ -76,6 +76,15 @@ def border_arcs(spark, sf_dir):
     return found.join(ink, ["image", "arc"]).select("image", "arc", "a", "b", "closed", (F.size("points") - 1).alias("sides"), F.round("overlap", 6).alias("overlap"), "ink")
 
 
+@bound("""SELECT p_partkey, '#' || upper(printf('%02x%02x%02x', p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256)) AS hex FROM part""")
+def lab_hexes(spark, sf_dir):
+    """Colours to Lab and back as text; a half is added, as channels are cut down."""
+    k = F.col("p_partkey")
+    lab = colors.rgb_to_lab(k % 256, (k * 7) % 256, (k * 13) % 256)
+    lighter = F.transform(F.array(lab), lambda c: F.named_struct(F.lit("L"), c["L"] + 0.02, F.lit("a"), c["a"], F.lit("b"), c["b"]))[0]
+    return read(spark, sf_dir, "part").select("p_partkey", colors.lab_hex(lighter).alias("hex"))
+
+
 @bound()
 def absorbed_regions(spark, sf_dir):
     """Connected parts of the grids as regions; the small ones and slivers go into their neighbours."""
@@ -93,6 +102,19 @@ def image_palettes(spark, sf_dir):
     return grids.assigned(cells, found, ["image"], ["L"]).groupBy("image", "cluster").agg(F.count("*").alias("n"), F.round(F.avg("L"), 4).alias("mean"))
 
 
+@bound()
+def small_parts_merged(spark, sf_dir):
+    cells = ink_grid(spark, sf_dir)
+    return grids.small_parts_merged(cells, "label", 4).groupBy("image", "label").agg(F.count("*").alias("n"))
+
+
+#: SQL of queries whose parts a recursion finds.
+SQL["image_components"] = f"{_REGION.replace('WITH', 'WITH RECURSIVE')}, {_PARTS.format(label='region')} SELECT image, count(DISTINCT part) AS parts FROM p GROUP BY image"
+SQL["image_openness"] = f"""WITH RECURSIVE g AS (SELECT image, y, x, CAST(greatest(0, least(255, CAST(trunc(128 + v * 600) AS INT))) >= 128 AS INT) AS white FROM ({_GRID})), {_PARTS.format(label="white")},
+o AS (SELECT image, part, max(CAST(y IN (0, 7) OR x IN (0, 7) AS INT)) AS open FROM p GROUP BY ALL)
+SELECT image AS vec_id, CASE WHEN sum(label) = 0 THEN 0.0::DOUBLE ELSE round(CAST(sum(label * open) AS DOUBLE) / sum(label), 6) END AS openness FROM p JOIN o USING (image, part) GROUP BY image"""
+
+
 @bound()
 def silhouettes(spark, sf_dir):
     cells = grid(spark, sf_dir).withColumn("x", F.col("x").cast("int"))

@@ -349,6 +349,42 @@ def test_first_contained_in_long_documents(spark, monkeypatch):
     assert lookups.first_contained(rows, "text", table.limit(0), "name", "rank").filter("match is not null").isEmpty()
 
 
+def plain_small_parts(cells, least, passes=3):
+    cells = dict(cells)
+    for _ in range(passes):
+        moved = False
+        for label in sorted({v for v in cells.values() if v >= 0}):
+            for part in sorted(flood(cells, [p for p, v in cells.items() if v == label]), key=min):
+                if len(part) >= least:
+                    continue
+                ring = {(y + dy, x + dx) for y, x in part for dy in (-1, 0, 1) for dx in (-1, 0, 1)} - part
+                beside = [cells[p] for p in ring if p in cells and cells[p] >= 0 and cells[p] != label]
+                if beside:
+                    new = min(set(beside), key=lambda v: (-beside.count(v), v))
+                    cells |= dict.fromkeys(part, new)
+                    moved = True
+        if not moved:
+            break
+    return cells
+
+
+@pytest.mark.parametrize("least", [1, 4, 100])
+def test_small_parts_against_plain_version(spark, least):
+    g = {s: random_grid(s, 8, 9, (-1, 0, 1, 2, 3)) for s in range(6)}
+    found = {(r.image, r.y, r.x): r.label for r in grids.small_parts_merged(table(spark, g), "label", least).collect()}
+    for i, cells in g.items():
+        assert {p: found[i, *p] for p in cells} == plain_small_parts(cells, least)
+
+
+def test_marks_of_leaves(spark):
+    from tessella.functions import templates
+
+    rows = spark.createDataFrame([("Three_bears", "n"), ("threesome", "n"), ("cat_and_dog", "n"), ("duck_with_chicks", None), (None, "n")], "leaf string, neg string")
+    got = [tuple(r) for r in rows.select(templates.numbered(F.col("leaf")), templates.several(F.col("leaf")), templates.isolated(F.col("neg"), F.col("leaf"))).collect()]
+    assert got == [(True, False, "n"), (False, False, "n"), (False, True, "n" + templates.ISOLATION), (False, True, None), (False, False, "n")]
+    assert spark.range(1).select(colors.lab_hex(colors.rgb_to_lab(F.lit(255), F.lit(255), F.lit(255)))).first()[0] in ("#FFFFFF", "#FEFEFE")
+
+
 def test_queries_without_sql(spark, sf_dir):
     arcs = queries.border_arcs(spark, sf_dir).collect()
     assert sum(r.sides for r in arcs) == queries.border_sides(spark, sf_dir).count()
