@@ -279,6 +279,59 @@ def absorb_small(regions: DataFrame, edges: DataFrame, least: str, contrast: flo
     return regions.groupBy("image").cogroup(other.groupBy("of")).applyInPandas(merge, "image long, region int, target int, forced boolean, kept boolean")
 
 
+def _alike(area: dict, color: dict, near: dict, limit: float, passes: int, kept: set) -> dict:
+    """Where each region went: the pairs of a pass are those below the limit at its begin, closest first."""
+    target: dict[int, int] = {}
+
+    def last(r: int) -> int:
+        while r in target:
+            r = target[r]
+        return r
+
+    for _ in range(passes):
+        pairs = sorted((float(np.linalg.norm(color[a] - color[b])), a, b) for a in near for b in near[a] if a < b and not {a, b} & kept)
+        pairs = [p for p in pairs if p[0] < limit]
+        if not pairs:
+            break
+        for _, a, b in pairs:
+            a, b = last(a), last(b)
+            if a == b:
+                continue
+            small, large = sorted((a, b), key=lambda r: (area[r], -r))
+            color[large] = (color[large] * area[large] + color[small] * area[small]) / (area[large] + area[small])
+            area[large] += area.pop(small)
+            for o in near.pop(small):
+                near[o].discard(small)
+                if o != large:
+                    near[o].add(large)
+                    near[large].add(o)
+            target[small] = large
+    return {r: last(r) for r in color}
+
+
+def merge_alike(regions: DataFrame, edges: DataFrame, limit: float, passes: int = 8) -> DataFrame:
+    """image, region, target: neighbouring regions whose colours differ by less than the limit merge, closest first, the smaller into the larger (of equals the larger id into the smaller).
+
+    regions (image, region, area, L, a, b, and `kept` boolean if some are to stay as
+    they are), edges (image, a, b). The pairs of a pass are found at its begin; each
+    is merged even if colours have moved by then. An image's region graph is one
+    group.
+    """
+    known = regions if "kept" in regions.columns else regions.withColumn("kept", F.lit(False))
+
+    def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set] = {int(r): set() for r in left.region}
+        for a, b in zip(right.a, right.b):
+            near[int(a)].add(int(b))
+            near[int(b)].add(int(a))
+        rows = list(left.itertuples())
+        went = _alike({int(r.region): int(r.area) for r in rows}, {int(r.region): np.array([r.L, r.a, r.b], float) for r in rows}, near, limit, passes, {int(r.region) for r in rows if r.kept})
+        return pd.DataFrame({"image": left.image, "region": left.region, "target": [went[int(r)] for r in left.region]})
+
+    other = edges.select(F.col("image").alias("of"), "a", "b")
+    return known.groupBy("image").cogroup(other.groupBy("of")).applyInPandas(merge, "image long, region int, target int")
+
+
 def region_colors(pixels: DataFrame, channels: list[str], share: float) -> DataFrame:
     """image, region, area, mean of each channel, interior (pixels whose whole surrounding is of the region), least (that share of the image, at least one pixel)."""
     inner = images.interior(pixels)

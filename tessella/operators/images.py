@@ -260,15 +260,60 @@ def stipple(h: Column, w: Column, gray: Column, least: float, seed: Column) -> C
     return done(h, w, gray, seed)
 
 
+# Lightness below which a pixel is black, and above which it is white; grey lies between.
+BLACK, WHITE = 80, 200
+
+
+def _cells(pixels: DataFrame, gray: str, cell: int, used: Column) -> DataFrame:
+    """pixels with __mean (of the used pixels of their square cell), and the cell's centre as __my, __mx."""
+    cy, cx = F.floor(F.col("y") / cell), F.floor(F.col("x") / cell)
+    cells = pixels.groupBy("image", cy.alias("__cy"), cx.alias("__cx")).agg(
+        F.avg(F.when(used, F.col(gray))).alias("__mean"), ((F.min("y") + F.max("y") + 1) / 2).alias("__my"), ((F.min("x") + F.max("x") + 1) / 2).alias("__mx")
+    )
+    return pixels.withColumn("__cy", cy).withColumn("__cx", cx).join(cells, ["image", "__cy", "__cx"])
+
+
+def _darkness(mean: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (high - mean) / (high - low)))
+
+
+def _in_dot(cell: int, low: float, high: float) -> Column:
+    radius = _darkness(F.col("__mean"), low, high) * (cell / 2 * 0.95)
+    y, x = F.col("y") - F.col("__my"), F.col("x") - F.col("__mx")
+    return F.coalesce((radius >= 0.5) & (y * y + x * x <= radius * radius), F.lit(False))
+
+
 def halftone(pixels: DataFrame, gray: str, cell: int, low: float = 0.0, high: float = 255.0) -> DataFrame:
     """pixels with `dot` (0 or 255): in each cell a black disk about its centre, with a radius in proportion to the darkness of its mean between high and low (0.95 of half a cell at most, none under half a pixel)."""
-    cy, cx = F.floor(F.col("y") / cell), F.floor(F.col("x") / cell)
-    cells = pixels.groupBy("image", cy.alias("__cy"), cx.alias("__cx")).agg(F.avg(gray).alias("__mean"), F.min("y").alias("__y0"), F.max("y").alias("__y1"), F.min("x").alias("__x0"), F.max("x").alias("__x1"))
-    radius = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (high - F.col("__mean")) / (high - low))) * (cell / 2 * 0.95)
-    y, x = F.col("y") - (F.col("__y0") + F.col("__y1") + 1) / 2, F.col("x") - (F.col("__x0") + F.col("__x1") + 1) / 2
-    black = (radius >= 0.5) & (y * y + x * x <= radius * radius)
-    joined = pixels.withColumn("__cy", cy).withColumn("__cx", cx).join(cells, ["image", "__cy", "__cx"])
-    return joined.select(*pixels.columns, F.when(black, 0).otherwise(255).alias("dot"))
+    joined = _cells(pixels, gray, cell, F.lit(True))
+    return joined.select(*pixels.columns, F.when(_in_dot(cell, low, high), 0).otherwise(255).alias("dot"))
+
+
+def gray_replaced(pixels: DataFrame, lightness: str, how: str, cell: int = 8, seed: int = 42) -> DataFrame:
+    """pixels with `out` (0 or 255): black stays black, white white, and grey becomes
+
+    `white`; `dots` (a disk a cell, by the mean of its grey pixels); `hatching` (lines
+    of equal x + y, 2 to 8 pixels apart by the cell's mean); or `stippling` (points
+    drawn by a digest of seed, image and place, likelier where it is dark).
+    """
+    light = F.col(lightness)
+    grey = light.between(BLACK, WHITE)
+    base = F.when(light < BLACK, 0).otherwise(255)
+    if how == "white":
+        return pixels.withColumn("out", base)
+    if how == "stippling":
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("image", "y", "x"))))
+        drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2**32
+        return pixels.withColumn("out", F.when(grey & (drawn < _darkness(light, BLACK, WHITE)), 0).otherwise(base))
+    joined = _cells(pixels, lightness, cell, grey)
+    if how == "dots":
+        black = _in_dot(cell, BLACK, WHITE)
+    elif how == "hatching":
+        apart = F.greatest(F.lit(2), F.bround(8 - 6 * _darkness(F.col("__mean"), BLACK, WHITE), 0).cast("int"))
+        black = grey & ((F.col("x") + F.col("y")) % apart == 0)
+    else:
+        raise ValueError(f"no way to replace grey: {how}")
+    return joined.select(*pixels.columns, F.when(black, 0).otherwise(base).alias("out"))
 
 
 def palette(pixels: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -379,7 +379,7 @@ def style_transform(spark, sf_dir):
 
 @bound("""SELECT n_nationkey, n_name AS en, '' AS ar, '{"en":"' || n_name || '","fr":"' || r_name || '"}' AS names FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def i18n_fields(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     named = n.select("n_nationkey", jsonx.to_i18n(en=F.col("n_name"), fr=F.col("r_name"), ar=F.lit("")).alias("names"))
     return named.select("n_nationkey", jsonx.i18n(F.col("names"), "en").alias("en"), jsonx.i18n(F.col("names"), "ar").alias("ar"), "names")
 

@@ -149,3 +149,28 @@ def halftones(spark, sf_dir):
     g = gray_images(spark, sf_dir).select(F.col("vec_id").alias("image"), F.posexplode("gray").alias("p", "gray"))
     cells = g.select("image", F.floor(F.col("p") / 8).alias("y"), (F.col("p") % 8).alias("x"), "gray")
     return images.halftone(cells, "gray", 4).groupBy("image").agg(F.count_if(F.col("dot") == 0).alias("black"))
+
+
+_GRAY = f"""WITH g AS (SELECT image, y, x, greatest(0, least(255, CAST(trunc(128 + v * 600) AS INT))) AS gray FROM ({_GRID})),
+b AS (SELECT *, gray BETWEEN 80 AND 200 AS grey, CASE WHEN gray < 80 THEN 0 ELSE 255 END AS base, y // 4 AS cy, x // 4 AS cx FROM g), c AS (SELECT image, cy, cx, avg(gray) FILTER (grey) AS m FROM b GROUP BY ALL),
+d AS (SELECT b.*, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (200 - m) / 120)) AS dark, (y - cy * 4 - 2) ** 2 + (x - cx * 4 - 2) ** 2 AS r2 FROM b JOIN c USING (image, cy, cx))"""
+
+
+@bound(f"""{_GRAY}, e AS (SELECT image, CASE WHEN grey AND (x + y) % greatest(2, CAST(round_even(8 - 6 * dark, 0) AS INT)) = 0 THEN 0 ELSE base END AS hatching, CASE WHEN dark * 1.9 >= 0.5 AND r2 <= (dark * 1.9) ** 2 THEN 0 ELSE base END AS dots,
+CASE WHEN grey AND CAST('0x' || md5('42:' || image || ':' || y || ':' || x)[1:8] AS BIGINT) / 4294967296.0::DOUBLE < (200 - gray) / 120.0::DOUBLE THEN 0 ELSE base END AS stippling FROM d)
+SELECT image, count(*) FILTER (hatching = 0) AS hatching, count(*) FILTER (dots = 0) AS dots, count(*) FILTER (stippling = 0) AS stippling FROM e GROUP BY image""")
+def grays_replaced(spark, sf_dir):
+    """Black pixels of each image after each way of replacing grey."""
+    g = gray_images(spark, sf_dir).select(F.col("vec_id").alias("image"), F.posexplode("gray").alias("p", "gray"))
+    cells = g.select("image", F.floor(F.col("p") / 8).alias("y"), (F.col("p") % 8).alias("x"), "gray")
+    for how in ("hatching", "dots", "stippling"):
+        cells = images.gray_replaced(cells, "gray", how, cell=4).withColumnRenamed("out", how)
+    return cells.groupBy("image").agg(*(F.count_if(F.col(how) == 0).alias(how) for how in ("hatching", "dots", "stippling")))
+
+
+@bound()
+def alike_regions(spark, sf_dir):
+    """Connected parts of the grids; neighbours of like grey merge."""
+    parts = images.components(grid(spark, sf_dir)).select("image", "y", "x", F.col("part").cast("int").alias("region"))
+    cells = parts.join(grid(spark, sf_dir).select("image", "y", F.col("x").cast("int").alias("x"), (F.col("v") * 100).alias("L"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), ["image", "y", "x"])
+    return grids.merge_alike(grids.region_colors(cells, ["L", "a", "b"], 0.05), arrays.adjacency(cells), 6.0)

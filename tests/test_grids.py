@@ -349,6 +349,60 @@ def test_first_contained_in_long_documents(spark, monkeypatch):
     assert lookups.first_contained(rows, "text", table.limit(0), "name", "rank").filter("match is not null").isEmpty()
 
 
+def plain_alike(cells, color, limit, kept=(), passes=8):
+    """The same rule, with areas and colours found anew from the pixels."""
+    cells = dict(cells)
+    for _ in range(passes):
+        area = lambda r: sum(v == r for v in cells.values())
+        mean = {r: np.mean([color[p] for p, v in cells.items() if v == r], axis=0) for r in set(cells.values())}
+        beside = {tuple(sorted((v, cells[q]))) for (y, x), v in cells.items() for q in ((y + 1, x), (y, x + 1)) if q in cells and cells[q] != v}
+        pairs = sorted((float(np.linalg.norm(mean[a] - mean[b])), a, b) for a, b in beside if a not in kept and b not in kept)
+        pairs = [p for p in pairs if p[0] < limit]
+        went = {r: r for r in mean}
+        for _, a, b in pairs:
+            a, b = went[a], went[b]
+            if a != b:
+                small, large = sorted((a, b), key=lambda r: (area(r), -r))
+                cells = {p: large if v == small else v for p, v in cells.items()}
+                went = {r: large if t == small else t for r, t in went.items()}
+        if not pairs:
+            break
+    return cells
+
+
+@pytest.mark.parametrize("limit", [3.0, 12.0])
+def test_alike_regions_against_plain_version(spark, limit):
+    rng = random.Random(8)
+    rows, plain, kept = [], {}, {}
+    for i in range(6):
+        cells = random_grid(200 + i, 7, 8, (1, 2, 3))
+        parts = {p: min(q[0] * 8 + q[1] for q in part) for part in flood(cells, cells) for p in part}
+        color = {p: (10.0 * cells[p] + rng.randint(0, 6), float(rng.randint(0, 3)), 0.0) for p in cells}
+        kept[i] = set(rng.sample(sorted(set(parts.values())), 3))
+        rows += [(i, *p, parts[p], *color[p]) for p in cells]
+        plain[i] = parts, plain_alike(parts, color, limit, kept[i])
+    df = spark.createDataFrame(rows, "image long, y int, x int, region int, L double, a double, b double")
+    marked = spark.createDataFrame([(i, r, True) for i, rs in kept.items() for r in rs], "image long, region int, kept boolean")
+    regions = grids.region_colors(df, ["L", "a", "b"], 0.1).join(marked, ["image", "region"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    found = grids.merge_alike(regions, arrays.adjacency(df), limit).collect()
+    for i, (parts, cells) in plain.items():
+        target = {r.region: r.target for r in found if r.image == i}
+        assert {p: target[v] for p, v in parts.items()} == cells
+
+
+def test_gray_replacement(spark):
+    cells = {(y, x): (10 if x == 0 else 250 if x == 1 else 80 if x < 8 else 190) for y, x in product(range(16), range(16))}
+    df = table(spark, {1: cells})
+    got = {how: {(r.y, r.x): r.out for r in images.gray_replaced(df, "label", how).collect()} for how in ("white", "dots", "hatching", "stippling")}
+    for out in got.values():
+        assert all(out[y, 0] == 0 for y in range(16)) or out is got["dots"]
+    assert all(v == 255 for (y, x), v in got["white"].items() if x) and all(got[how][y, 1] == 255 for how in ("hatching", "stippling") for y in range(16))
+    dark, pale = (lambda how: sum(got[how][y, x] == 0 for y in range(16) for x in range(2, 8))), (lambda how: sum(got[how][y, x] == 0 for y in range(16) for x in range(8, 16)))
+    assert all(dark(how) > pale(how) for how in ("dots", "hatching", "stippling")) and dark("stippling") == 96
+    with pytest.raises(ValueError, match="no way"):
+        images.gray_replaced(df, "label", "waves")
+
+
 def plain_small_parts(cells, least, passes=3):
     cells = dict(cells)
     for _ in range(passes):
