@@ -411,6 +411,101 @@ def test_toxicity_at_every_sample_size(insults, size):
     assert np.mean(inside) > 0.95
 
 
+def plain_segments(s):
+    """(first, end) of the best segment, and of the best ones left and right of it."""
+    def split(a, b):
+        best = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), key=lambda x: (round(x[0], 9), -(x[2] - x[1]), -x[1]), default=None)
+        return [] if not best or best[0] <= 1e-12 else [*split(a, best[1]), best, *split(best[2], b)]
+
+    return split(0, len(s))
+
+
+def test_toxicity_query_against_plain_version(spark, insults):
+    """The whole operator once more with strings, dictionaries and plain loops."""
+    few = insults[0].filter("doc_id < 420").collect()
+    rows = [tuple(r) for r in few] + [(1000, None), (1001, ""), (1002, few[0].text), (1002, "zz " + few[0].text), (None, few[1].text)]
+    marks = [(r.doc_id, 1, int(r.doc_id % 3 == 0)) for r in few] + [(5, 1, 1), (6, 1, 0), (1002, 1, None), (1003, 0, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+    side = {}
+    for i, _, t in marks:
+        if t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            side.setdefault(i, set()).add(t)
+    side = {i: t.pop() for i, t in side.items() if len(t) == 1}
+    text_of = {}
+    for i, t in rows:
+        if i in side:
+            text_of[i] = min(text_of.get(i, t or ""), t or "")
+    sample = sorted({(t, side[i]) for i, t in text_of.items()})
+
+    def tokens(word):
+        b = word.encode()
+        return [b, *(b[:k] for k in toxicity.PREFIXES if len(b) > k)]
+
+    places = {(p, w, n, label) for t, label in sample for p, w, n in zip([None, *words(t)], words(t), [*words(t)[1:], None])}
+    size = [sum(x[3] == label for x in places) for label in (0, 1)]
+    count = {}
+    for _, w, _, label in places:
+        for token in tokens(w):
+            count.setdefault(token, [0, 0])[label] += 1
+    scored = {}
+    for token, c in count.items():
+        if max(c) >= toxicity.LEAST_PLACES:
+            a = [c[k] + sum(c) * toxicity.PRIOR / sum(size) * size[k] for k in (0, 1)]
+            odds = [np.log(a[k] / (size[k] * (1 + toxicity.PRIOR) - a[k])) for k in (0, 1)]
+            scored[token] = odds[1] - odds[0], (odds[1] - odds[0]) / np.sqrt(1 / a[0] + 1 / a[1])
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(1 - toxicity.FAMILY / 2 / len(scored))
+    odds = {k: o for k, (o, v) in scored.items() if (v >= z and o >= toxicity.LEAST_ODDS) or v <= -z}
+    assert any(o > 0 for o in odds.values())
+
+    def telling(word):
+        best = 0.0
+        for token in tokens(word):
+            if abs(odds.get(token, 0.0)) > abs(best):
+                best = odds[token]
+        return best
+
+    clean = [round(telling(w), 2) + 0.0 for t, label in sample if label == 0 for w in words(t)]
+    least = min(o for o in odds.values() if o > 0)
+    seen = np.array([*clean, least])
+    drift = max(toxicity.DRIFT, 2 * seen.mean())
+    low, high = 1e-9, 1.0
+    while np.exp(high * (seen - drift)).mean() < 1:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.exp(mid * (seen - drift)).mean() < 1 else (low, mid)
+    lam = (low + high) / 2
+    found = {t: plain_segments([telling(w) - drift for w in words(t)]) for t in {t for t, _ in sample} | {t or "" for _, t in rows}}
+    k = max(1, sum(len(found[t]) for t, label in sample if label == 0)) / (len(seen) * np.exp(-lam * max(least - drift, 0.0)))
+
+    def log_e(t):
+        return [np.log(k) + np.log(len(words(t))) - lam * x[0] for x in found[t]]
+
+    def stats(t):
+        e = log_e(t)
+        return [1.0, min(max(0.0, -min(e)), toxicity.MOST), np.log1p(sum(x <= np.log(toxicity.SIGNIFICANT) for x in e))] if e else [1.0, 0.0, 0.0]
+
+    x, y = np.array([stats(t) for t, _ in sample]), np.array([label for _, label in sample])
+    known = [sum(v == label for v in side.values()) for label in (0, 1)]
+    weight = np.array([known[v] / (y == v).sum() for v in y])
+    weight = weight / weight.mean()
+    beta = np.zeros(3)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (weight * (y - p)) - 0.1 * beta)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        score = 1 / (1 + np.exp(-np.array(stats(t)) @ beta))
+        spans = ",".join(f"{a}-{b}" for e, (_, a, b) in zip(log_e(t), found[t]) if e <= np.log(toxicity.SIGNIFICANT))
+        want.append((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, round(float(score), 5), int(score >= 0.7), spans))
+    got = [(r.doc_id, r.held_out, round(r.score, 5), r.predicted, r.segments) for r in toxicity.classify(docs, labels).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_maximal_segments_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
