@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import artifacts, colors
-from tessella.operators import arrays, changes, grids, lookups, nested
+from tessella.functions import artifacts, colors, jsonx
+from tessella.operators import arrays, changes, grids, lookups, nested, rules
 from tessella.plans.bound import _GRID, _TREE, _WALK, bound, grid, read, tree_rows
 from tessella.sources import exports
 
@@ -143,3 +143,24 @@ def largest_polygons(spark, sf_dir):
     corners = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (s, -k), (s + k, s), (F.lit(1.0), s + 2))))
     areas = read(spark, sf_dir, "part").select("p_partkey", F.abs(colors.polygon_area(corners)).alias("area"))
     return arrays.largest(areas, "area", "p_partkey", 20)
+
+
+# review artifacts of JSON that the tables hold
+
+
+@bound("""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT event_id, '{"k":' || k || '}' AS proposal, event_type AS entity_type, CAST(event_id AS VARCHAR) AS entity_id, greatest(0, least(100, 2 * k - 30)) AS score FROM e""")
+def enveloped_props(spark, sf_dir):
+    """Each event's properties as the proposal of a review artifact, read back from it, with a score clamped to 0..100."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    made = e.select("event_id", artifacts.envelope(F.lit("event_patch"), F.col("event_type"), F.col("event_id").cast("string"), F.col("props"), "merge").alias("a"))
+    proposal = artifacts.proposal(F.col("a"))
+    score = rules.clamped_score((F.get_json_object(proposal, "$.k").cast("int") * 2 - 30).cast("string")).cast("int")
+    return made.select("event_id", proposal.alias("proposal"), F.get_json_object("a", "$.entity_type").alias("entity_type"), F.get_json_object("a", "$.entity_id").alias("entity_id"), score.alias("score"))
+
+
+@bound("""SELECT l_orderkey AS k, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1""")
+def unwrapped_lines(spark, sf_dir):
+    """The list of lines found in each order's document, and its quantities."""
+    docs = order_documents(spark, sf_dir)[0].select("k", F.from_json(jsonx.unwrap_list(F.to_json("doc")), "array<struct<n:int,q:bigint,f:string>>").alias("l"))
+    return docs.select("k", F.size("l").cast("long").alias("lines"), F.aggregate("l.q", F.lit(0).cast("long"), lambda acc, q: acc + q).alias("quantity"))
