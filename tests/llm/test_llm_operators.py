@@ -675,6 +675,13 @@ def test_chat_keeps_rows_of_equal_turn(spark):
 
 
 
+def test_chat_ignores_other_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, None, None, "x")], "conv_id long, turn long, role string, text string")
+    clashing = rows.selectExpr("*", "'a' AS seq", "'b' AS kind", "1 AS cut", "2 AS log", "3 AS turns", "4 AS loss", "5 AS formatted", "6 AS said")
+    form = lambda r: sorted(map(tuple, chat.digests(chat.format_events(chat.conversation_events(r))).collect()))
+    assert form(clashing) == form(rows) and [r[:2] for r in form(rows)] == [(1, 2), (2, 1)]
+
+
 def test_chat_folds_events(spark):
     events = spark.createDataFrame(
         [
