@@ -164,3 +164,10 @@ def unwrapped_lines(spark, sf_dir):
     """The list of lines found in each order's document, and its quantities."""
     docs = order_documents(spark, sf_dir)[0].select("k", F.from_json(jsonx.unwrap_list(F.to_json("doc")), "array<struct<n:int,q:bigint,f:string>>").alias("l"))
     return docs.select("k", F.size("l").cast("long").alias("lines"), F.aggregate("l.q", F.lit(0).cast("long"), lambda acc, q: acc + q).alias("quantity"))
+
+
+@bound("""SELECT p_partkey, v.variant FROM part, (VALUES ('A'), ('N'), ('R')) v(variant) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = v.variant AND l_quantity > 45)""")
+def variants_unsold(spark, sf_dir):
+    """Parts and flags of which no large line exists."""
+    there = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("variant"))
+    return rules.missing_variants(read(spark, sf_dir, "part"), "p_partkey", ["A", "N", "R"], there)
