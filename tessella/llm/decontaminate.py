@@ -2,7 +2,8 @@
 
 The index holds the postings of all training tokens. It is split by document
 into segments of bounded size: each row of the stored table is one segment, with
-its sorted terms and, term by term, the sorted positions of their occurrences.
+its sorted terms and, term by term, the sorted positions of their occurrences;
+a file holds `FILE_SEGMENTS` of them, about 12 MB, so reading is bounded too.
 Building it reads the texts once and shuffles nothing; postings of hot terms are
 spread over the segments as the documents are. It is written to the shared
 folder, so further blocks of test items and retried tasks read postings, not
@@ -51,6 +52,8 @@ GAP = WINDOW + SLOP + 1
 BLOCK_WORDS = 1_000_000
 #: Candidate starts looked at together.
 CANDIDATES = 2_000_000
+#: Segments a file of the stored index: readers take a file's rows at once, whatever size a task's share of files has.
+FILE_SEGMENTS = 4
 #: So many contaminated documents (16 bytes each) at most are sent to all tasks.
 SENT_IDS = 250_000
 
@@ -203,7 +206,7 @@ def index(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
     path = stored(f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}")
-    rows.mapInArrow(build, "doc array<long>, h array<long>, counts array<int>, terms array<long>, sizes array<int>, places array<int>").write.parquet(path)
+    rows.mapInArrow(build, "doc array<long>, h array<long>, counts array<int>, terms array<long>, sizes array<int>, places array<int>").write.option("maxRecordsPerFile", FILE_SEGMENTS).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
