@@ -103,8 +103,8 @@ def fill_columns(rows: DataFrame, id: str, title: str, prompt: str, used_prompt:
 
 
 def replace_sets(rows: DataFrame, key: str, new: DataFrame, replaced: DataFrame) -> DataFrame:
-    """rows without those of the replaced keys, and the new rows of these keys, each once; a key without new rows ends up empty."""
-    keys = replaced.select(key).distinct()
+    """rows without those of the replaced keys, and the new rows of these keys, each once; a key without new rows ends up empty. The keys, each once, are hashed and the rows stream past them unsorted."""
+    keys = replaced.select(key).distinct().hint("shuffle_hash")
     return rows.join(keys, key, "left_anti").unionByName(new.join(keys, key, "left_semi").select(*rows.columns).distinct())
 
 
