@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import edits
+import numpy as np
+import pyarrow as pa
+import pytest
+from __spark_entry__ import queries
+from tessella.operators import edits, images
 
 
 def plan(df):
@@ -22,3 +26,29 @@ def test_replaced_sets_are_not_sorted(spark):
         assert sorted(map(tuple, found.collect()), key=str) == sorted([(2, 6), (None, 7), (1, 9), (5, 5)], key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("records", [1, 3, 7, 1000])
+def test_groups_across_batches(spark, records):
+    """Groups that begin, end and go on at any place of an Arrow batch arrive whole and once, null keys too."""
+    rows = [(k, n) for k, size in [(None, 5), (1, 1), (2, 9), (3, 3), (4, 1), (5, 30)] for n in range(size)]
+
+    def sizes(table, at):
+        heads = table["k"].take(at[:-1]).combine_chunks()
+        whole = [table["n"][a:b].to_pylist() == list(range(b - a)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.RecordBatch.from_arrays([heads, pa.array(np.diff(at)), pa.array(whole)], ["k", "size", "whole"])
+
+    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    try:
+        found = images.in_groups(spark.createDataFrame(rows, "k long, n long"), ["k"], ["n"], sizes, "k long, size long, whole boolean").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+    assert sorted(map(tuple, found), key=str) == sorted([(None, 5, True), (1, 1, True), (2, 9, True), (3, 3, True), (4, 1, True), (5, 30, True)], key=str)
+
+
+@pytest.mark.parametrize("name", ["alike_regions", "border_arcs", "absorbed_regions", "silhouettes", "small_parts_merged", "image_palettes", "image_components"])
+def test_images_share_batches(spark, sf_dir, name):
+    """No pandas frame an image: small images go through Python many at a time."""
+    found = plan(queries()[name](spark, sf_dir))
+    assert "InPandas" not in found and "MapInArrow" in found
