@@ -52,3 +52,9 @@ def test_images_share_batches(spark, sf_dir, name):
     """No pandas frame an image: small images go through Python many at a time."""
     found = plan(queries()[name](spark, sf_dir))
     assert "InPandas" not in found and "MapInArrow" in found
+
+
+def test_silhouettes_compute_pixels_once(spark, sf_dir):
+    """One join, of pixels with their image's colours; backgrounds and parts need none."""
+    found = plan(queries()["silhouettes"](spark, sf_dir))
+    assert found.count("HashJoin") + found.count("SortMergeJoin") <= 1 and found.count("MapInArrow") == 3
