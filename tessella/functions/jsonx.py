@@ -73,5 +73,12 @@ def reply_json(c: Column) -> Column:
 def unwrap_list(c: Column, keys: tuple[str, ...] = ("concepts", "suggestions", "results", "items", "terms")) -> Column:
     """JSON array text: the value itself if it is one, else that of the first key that holds one, else the first list of the object."""
     is_list = lambda x: F.when(F.trim(x).startswith("["), x)
-    rest = F.filter(F.map_values(F.from_json(c, "map<string,string>")), lambda v: F.trim(v).startswith("["))
-    return F.coalesce(is_list(c), *(is_list(F.get_json_object(c, f"$.{k}")) for k in keys), F.get(rest, F.lit(0)))
+
+    def held(fields: Column) -> Column:
+        """An object is taken apart once; text that can't be is searched key by key."""
+        named = [is_list(F.when(fields.isNotNull(), F.get(F.map_values(F.map_filter(fields, lambda name, _: name == k)), F.lit(0))).otherwise(F.get_json_object(c, f"$.{k}"))) for k in keys]
+        return F.coalesce(*named, F.get(F.filter(F.map_values(fields), is_list_text), F.lit(0)))
+
+    is_list_text = lambda v: F.trim(v).startswith("[")
+    apart = F.transform(F.array(F.from_json(c, "map<string,string>")), held)
+    return F.coalesce(is_list(c), F.get(apart, F.lit(0)))

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from __spark_entry__ import queries
+from pyspark.sql import functions as F
+from tessella.functions import jsonx
 from tessella.operators import edits, images
 
 
@@ -58,3 +60,12 @@ def test_silhouettes_compute_pixels_once(spark, sf_dir):
     """One join, of pixels with their image's colours; backgrounds and parts need none."""
     found = plan(queries()["silhouettes"](spark, sf_dir))
     assert found.count("HashJoin") + found.count("SortMergeJoin") <= 1 and found.count("MapInArrow") == 3
+
+
+def test_wrapped_lists_take_an_object_apart_once(spark):
+    """Arrays, named and other keys, strings that look like lists, bad text; objects are not parsed anew for each key."""
+    texts = ["[1, 2]", '{"a": [5], "items": [1, {"x": "y"}]}', '{"a":[5,6],"b":[7]}', '{"items":"no","results":[1]}', '{"items":"[1]"}', "{}", None, "no json", '{"items":[1,2]', '{"items":[1],"items":[2]}']
+    wanted = ["[1, 2]", '[1,{"x":"y"}]', "[5,6]", "[1]", "[1]", None, None, None, None, "[1]"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", jsonx.unwrap_list(F.col("x")).alias("l"))
+    assert [r.l for r in found.orderBy("i").collect()] == wanted
+    assert plan(found).count("from_json") == 1 and "transform(array(from_json" in plan(found)
