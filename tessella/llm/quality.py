@@ -1,13 +1,21 @@
 """Operator 4: quality classifier by Bradley-Terry pairwise ranking.
 
 Each document has features of its whole text (repetition of words and word
-pairs, letter case, symbols, line shape). Preference pairs of a training sample
-(a document of label 1 over one of label 0) give feature differences; logistic
-loss on them yields a linear score, so that sigmoid(s(a) - s(b)) is the chance
-that a is preferred. The threshold is a quantile of the scores of the training
-sample: the share of label 0 among all training rows.
+pairs, letter case, symbols, line shape). Every training document of label 1 is
+preferred to every one of label 0; ridge logistic loss over all these pairs
+yields a linear score, so that sigmoid(s(a) - s(b)) is the chance that a is
+preferred. The threshold is a quantile of the scores of all training documents:
+the share of label 0 among them.
+
+Training: features of all training documents are computed once, in place, and
+stored until the model is fitted; there is no sample of documents or pairs. A
+step of Newton's method is one pass over them. As a pair's chance depends on two
+scores alone, a pass sums documents, features and products of features by label
+at nodes `STEP` apart on the axis of scores (each document is shared out to four
+nodes by cubic interpolation, which gives sigmoid to 1e-6), and the driver adds
+up all pairs of nodes. The coefficients are rounded to 9 decimals, as the sums
+of tasks arrive in any order.
 
-Sample: at most `PER_CLASS` documents a label and `PAIRS` pairs, drawn by hash.
 Every document is scored from its own text alone, in place, without a shuffle.
 
 Cases: null counts as empty; empty and wordless texts have features of zero
@@ -25,13 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import held_out, owners, pack, per_slice, unpack
-from .learn import labelled_sample, logistic, sigmoid
+from .common import held_out, n_stored, owners, pack, per_slice, release, unpack, written
+from .learn import at_rank, labelled_features, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
-PER_CLASS, PAIRS = 4000, 40_000
+#: Weight of the squared coefficients beside the mean loss of a pair; distance of nodes on the axis of scores.
+RIDGE, STEP = 1 / 800, 1 / 8
+ROUNDS = 30
 FEATURES = 14
+_UPPER = np.triu_indices(FEATURES)
 
 
 def _share(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -85,39 +96,101 @@ class Ranker:
     beta: np.ndarray
     threshold: float
 
+    def linear(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of features; a row's sum does not depend on the rows beside it."""
+        return ((x - self.mean) / self.scale * self.beta).sum(1)
+
     def scores(self, texts: pa.Array) -> np.ndarray:
-        s = ((features(texts) - self.mean) / self.scale) @ self.beta
-        return sigmoid(s - self.threshold + np.log(CUT / (1 - CUT)))
+        return sigmoid(self.linear(features(texts)) - self.threshold + np.log(CUT / (1 - CUT)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Ranker:
-    sample, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, PER_CLASS)
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+
 
-    def featured(batches):
+def _at_nodes(rows: DataFrame, model: Ranker) -> dict[int, tuple[np.ndarray, ...]]:
+    """Per label: nodes on the axis of scores with their documents, features (standardised) and products of features."""
+
+    def summed(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            x = features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+            x, y = _rows(batch), batch.column("label").to_numpy().astype(np.int64)
+            z, place = (x - model.mean) / model.scale, model.linear(x) / STEP
+            node = np.floor(place).astype(np.int64)
+            order = np.lexsort((node, y))
+            z, y, node, t = z[order], y[order], node[order], (place - node)[order]
+            each = np.concatenate([np.ones((len(z), 1)), z, z[:, _UPPER[0]] * z[:, _UPPER[1]]], axis=1)
+            starts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1) | np.diff(y, prepend=y[:1]))
+            cubic = (-t * (t - 1) * (t - 2) / 6, (t + 1) * (t - 1) * (t - 2) / 2, -(t + 1) * t * (t - 2) / 2, (t + 1) * t * (t - 1) / 6)
+            for shift, share in zip((-1, 0, 1, 2), cubic, strict=True):
+                parts = np.add.reduceat(each * share[:, None], starts) if len(starts) else []
+                for k, part in zip(starts, parts, strict=True):
+                    at = int(y[k]), int(node[k]) + shift
+                    sums[at] = sums[at] + part if at in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sums], pa.int32()), pa.array([b for _, b in sums], pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["label", "node", "v"])
+
+    partial = rows.mapInArrow(summed, "label int, node long, v array<double>").groupBy("label", "node").agg(F.collect_list("v").alias("v"))
+    added = F.reduce(F.slice("v", 2, F.size("v")), F.col("v")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    found = partial.select("label", "node", added.alias("v")).orderBy("label", "node").collect()
+    out = {}
+    for label in (0, 1):
+        v = np.array([r.v for r in found if r.label == label])
+        products = np.zeros((len(v), FEATURES, FEATURES))
+        products[:, _UPPER[0], _UPPER[1]] = products[:, _UPPER[1], _UPPER[0]] = v[:, 1 + FEATURES :]
+        out[label] = np.array([r.node for r in found if r.label == label]) * STEP, v[:, 0], v[:, 1 : 1 + FEATURES], products
+    return out
+
+
+def _loss(nodes: dict[int, tuple[np.ndarray, ...]], beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss of a pair with the ridge, its gradient and its second derivatives, over all pairs of nodes."""
+    (s0, n0, z0, zz0), (s1, n1, z1, zz1) = nodes[0], nodes[1]
+    loss, gradient, curve = 0.0, np.zeros(FEATURES), np.zeros((FEATURES, FEATURES))
+    for a in range(0, len(s1), 256):  # a block of nodes against all, so that memory is bounded
+        b = slice(a, a + 256)
+        lead = s1[b, None] - s0[None, :]
+        wrong = sigmoid(-lead)
+        slope = wrong * (1 - wrong)
+        loss += n1[b] @ np.logaddexp(0, -lead) @ n0
+        gradient -= (wrong @ n0) @ z1[b] - (n1[b] @ wrong) @ z0
+        cross = z1[b].T @ slope @ z0
+        curve += np.tensordot(slope @ n0, zz1[b], 1) + np.tensordot(n1[b] @ slope, zz0, 1) - cross - cross.T
+    pairs = n0.sum() * n1.sum()
+    return loss / pairs + RIDGE * beta @ beta / 2, gradient / pairs + RIDGE * beta, curve / pairs + RIDGE * np.eye(FEATURES)
+
 
-    rows = sample.select("text", "label").mapInArrow(featured, "x array<double>, label int").collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.label for r in rows])
-    if not (y == 1).any() or not (y == 0).any():
+def fit(docs: DataFrame, labels: DataFrame) -> Ranker:
+    before = n_stored()
+    try:
+        return _fitted(written(labelled_features(docs, labels, "quality", FOLDS, HELD_OUT, features)))
+    finally:
+        release(docs.sparkSession, before)
+
+
+def _fitted(rows: DataFrame) -> Ranker:
+    at = [F.col("x")[i] for i in range(FEATURES)]
+    found = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1), *map(F.avg, at), *map(F.stddev_pop, at)).first()
+    if not found[0] or not found[1]:
         return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(CUT / (1 - CUT))))
-    order = np.lexsort((*x.T, y))  # rows arrive in any order; the pairs must not depend on it
-    x, y = x[order], y[order]
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / scale
-    draw = np.random.default_rng(20)
-    good, bad = draw.choice(np.flatnonzero(y == 1), PAIRS), draw.choice(np.flatnonzero(y == 0), PAIRS)
-    difference = z[good] - z[bad]
-    both = np.concatenate([difference, -difference])  # each pair from both sides: symmetric, no intercept
-    beta = logistic(both, np.repeat([1.0, 0.0], PAIRS), np.ones(2 * PAIRS), ridge=PAIRS / 400)
-    s = z @ beta
-    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    by = np.argsort(s)
-    below = np.cumsum(weight[by]) / weight.sum()
-    at = int(np.searchsorted(below, counts[0] / (counts[0] + counts[1])))
-    at = min(at, len(s) - 2)
-    return Ranker(mean, scale, beta, float((s[by][at] + s[by][at + 1]) / 2))
+    model = Ranker(np.round(found[2 : 2 + FEATURES], 9), np.round(found[2 + FEATURES :], 9) + 1e-9, np.zeros(FEATURES), 0.0)
+    best, step = np.inf, np.zeros(FEATURES)
+    for _ in range(ROUNDS):
+        loss, gradient, curve = _loss(_at_nodes(rows, model), model.beta)
+        if loss > best + 1e-6:  # too far: half the way back
+            step = step / 2
+            model.beta = model.beta - step
+            continue
+        best, step = loss, -np.linalg.solve(curve, gradient)
+        model.beta = model.beta + step
+        if np.abs(step).max() < 1e-6:
+            break
+    model.beta = np.round(model.beta, 9)
+
+    def scored(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.linear(_rows(batch)))], ["s"])
+
+    model.threshold = float(np.mean(at_rank(rows.mapInArrow(scored, "s double"), found[0] - 1)))
+    return model
 
 
 def score(text: Column, model: Ranker) -> Column:

@@ -348,6 +348,48 @@ def test_quality_with_contradictory_labels(spark, docs, labels):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, twice).collect())
 
 
+def test_quality_learns_from_all_training_documents(spark):
+    """More than 4,000 documents a label: coefficients against Newton's method over all pairs one by one, threshold at the exact rank."""
+    rng = np.random.default_rng(5)
+    rows, marks = [], []
+    for i in range(11_000):
+        good = int(rng.random() < 0.5)
+        n, capitals, bangs = rng.integers(3, 40), rng.random() * (0.6 if good else 1), rng.integers(0, 3 if good else 4)
+        rows.append((i, " ".join(w.upper() if rng.random() < capitals else w for w in (f"w{k}" for k in rng.integers(0, 30, n))) + "!" * bangs))
+        marks.append((i, good))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int")
+    model = quality.fit(d, lab)
+    learned = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5]
+    x, y = quality.features(pa.array([rows[i][1] for i in learned])), np.array([marks[i][1] for i in learned])
+    assert min((y == 0).sum(), (y == 1).sum()) > 4000
+    assert model.mean == pytest.approx(x.mean(0), abs=1e-8) and model.scale == pytest.approx(x.std(0) + 1e-9, abs=1e-8)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    good, bad, beta = z[y == 1], z[y == 0], np.zeros(z.shape[1])
+    for _ in range(8):
+        gradient, curve = np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
+        for part in np.array_split(good, 20):
+            p = 1 / (1 + np.exp(part @ beta[:, None] - (bad @ beta)[None, :]))
+            q = p * (1 - p)
+            gradient += p.sum(1) @ part - p.sum(0) @ bad
+            curve += (part * q.sum(1)[:, None]).T @ part + (bad * q.sum(0)[:, None]).T @ bad - part.T @ q @ bad - (part.T @ q @ bad).T
+        pairs = len(good) * len(bad)
+        beta += np.linalg.solve(curve / pairs + np.eye(len(beta)) / 800, gradient / pairs - beta / 800)
+    assert model.beta == pytest.approx(beta, abs=1e-4)
+    s = np.sort(z @ beta)
+    n0 = int((y == 0).sum())
+    assert s[n0 - 1] - 1e-3 < model.threshold < s[n0] + 1e-3
+    predicted = {r.doc_id: r.predicted for r in quality.classify(d, lab).collect()}
+    assert sum(1 - predicted[i] for i in learned) == n0
+
+
+def test_value_at_a_rank(spark):
+    values = [0.5] * 5 + [1e-300, 2e-300, 3.0, 3.0 + 1e-12, -7.0, 1e9]
+    frame = spark.createDataFrame([(v,) for v in values], "s double").repartition(3)
+    order = sorted(values)
+    for rank, value in enumerate(order):
+        assert learn.at_rank(frame, rank) == (value, min((v for v in order if v > value), default=value))
+
+
 def test_quality_held_out(docs, labels, odd, empty, spark):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     rows = [r for r in quality.classify(docs, labels).collect()]
