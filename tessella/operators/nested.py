@@ -1,15 +1,23 @@
 """Nested objects of any depth, as VARIANT: paths and values, deep differences, nodes of nested trees.
 
-Each step takes all objects and arrays of one depth apart at once; there are as
-many steps as the deepest value has levels, whatever the number of rows.
+Each step of `leaves` and `nodes` takes all objects and arrays of one depth apart
+at once; there are as many steps as the deepest value has levels, whatever the
+number of rows. `deep_diff` takes a pair of documents apart in place.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import zip_longest
+from json.encoder import encode_basestring
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.session import use_shared_checkpoints
 
@@ -48,15 +56,109 @@ def leaves(rows: DataFrame, key: str, doc: str, flat: bool = False) -> DataFrame
         level = fields.unionByName(items).withColumn("top", F.lit(False))
 
 
+#: In JSON text: an empty key, or one with a dot or bracket; its path may be that of another value.
+_AMBIGUOUS = re.compile(r'(?:""|[.\[](?:[^"\\]|\\.)*"):')
+#: What a document lacks at a path (a singleton, also in tasks).
+_NOTHING = ...
+
+
 def deep_diff(current: DataFrame, proposed: DataFrame, key: str, doc: str, flat: bool = False) -> DataFrame:
-    """key, path, kind (changed, added, removed), current, proposed (JSON text): what differs between two documents of a key, value by value. flat as in `leaves`."""
-    one = leaves(current, key, doc, flat).select(key, "path", F.to_json("value").alias("current"))
-    two = leaves(proposed, key, doc, flat).select(key, "path", F.to_json("value").alias("proposed"))
-    both = one.join(two, [key, "path"], "full_outer").filter(~F.col("current").eqNullSafe(F.col("proposed")))
+    """key, path, kind (changed, added, removed), current, proposed (JSON text): what differs between two documents of a key, value by value. flat as in `leaves`.
+
+    The documents of a key meet first and are taken apart together, where they
+    are; what is equal in both is passed over. So only differences are stored,
+    once, however deep they lie. Keys with several documents on a side, and
+    documents with ambiguous paths, go by their leaves.
+    """
+    use_shared_checkpoints(current.sparkSession)
+    once = lambda docs, name: docs.select(key, F.to_json(doc).alias(name), F.count("*").over(Window.partitionBy(key)).alias(f"{name}n"))
+    texts = once(current, "__a").join(once(proposed, "__b"), key, "full_outer")
+    odd = F.col(key).isNotNull() & (F.greatest("__an", "__bn") > 1)
+    pairs = texts.select(key, "__a", "__b", odd.alias("__odd")).filter("__odd or not __a <=> __b")
+
+    def apart(batches):
+        parsed = json.JSONDecoder(parse_int=_number, parse_float=_number).decode
+        for batch in batches:
+            at, out = [], []
+            for i, (a, b, several) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                if several or (a is not None and b is not None and (_AMBIGUOUS.search(a) or _AMBIGUOUS.search(b))):
+                    rows = [(None, None, None, True)]
+                else:
+                    rows = [(*r, False) for r in _differences(*(_NOTHING if t is None else parsed(t) for t in (a, b)), flat)]
+                out += rows
+                at += [i] * len(rows)
+            path, one, two, odd = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in (path, one, two)), pa.array(odd, pa.bool_())], [key, "path", "current", "proposed", "__odd"])
+
+    schema = StructType([pairs.schema[key]]).add("path", "string").add("current", "string").add("proposed", "string").add("__odd", "boolean")
+    stored = pairs.mapInArrow(apart, schema).checkpoint()
+    found = _kinds(stored.filter("not __odd"), key)
+    if stored.filter("__odd").isEmpty():
+        return found
+    keys = stored.filter("__odd").select(F.col(key).alias("__key")).distinct()
+    of = lambda docs, name: leaves(docs.join(keys, F.col(key) == F.col("__key"), "left_semi"), key, doc, flat).select(key, "path", F.to_json("value").alias(name))
+    both = of(current, "current").join(of(proposed, "proposed"), [key, "path"], "full_outer")
+    return found.unionByName(_kinds(both.filter("not current <=> proposed"), key))
+
+
+def _kinds(both: DataFrame, key: str) -> DataFrame:
     kind = F.when(F.col("current").isNull(), "added").when(F.col("proposed").isNull(), "removed").otherwise("changed")
     return both.select(key, "path", kind.alias("kind"), "current", "proposed")
 
 
+def _differences(a: object, b: object, flat: bool) -> Iterator[tuple[str, str | None, str | None]]:
+    """path and both values, as JSON text, of what differs between two parsed documents; None: not there."""
+    stack, top = [("", a, b)], True
+    while stack:
+        path, a, b = stack.pop()
+        open_a, open_b = _holds_more(a, flat, top), _holds_more(b, flat, top)
+        top = False
+        if open_a and open_b and type(a) is type(b):
+            sides = [(a, b)]
+        else:  # each by itself
+            leaf = [_NOTHING if o else v for o, v in ((open_a, a), (open_b, b))]
+            if leaf[0] is not _NOTHING or leaf[1] is not _NOTHING:
+                yield path, _json(leaf[0]), _json(leaf[1])
+            sides = [x for x in ((a, type(a)()) if open_a else None, (type(b)(), b) if open_b else None) if x]
+        for one, two in sides:
+            if isinstance(one, list):
+                inside = [(f"{path}[{i}]", v, w) for i, (v, w) in enumerate(zip_longest(one, two, fillvalue=_NOTHING)) if v != w]
+            else:
+                before = f"{path}." if path else ""
+                inside = [(before + k, v, two.get(k, _NOTHING)) for k, v in one.items() if v != two.get(k, _NOTHING)]
+                inside += [(before + k, _NOTHING, w) for k, w in two.items() if k not in one]
+            for item in inside:
+                if isinstance(item[1], (dict, list)) or isinstance(item[2], (dict, list)):
+                    stack.append(item)
+                else:
+                    yield item[0], _json(item[1]), _json(item[2])
+
+
+def _number(text: str) -> tuple[str]:
+    """A number as it is written; equal to no string."""
+    return (text,)
+
+
+def _holds_more(value: object, flat: bool, top: bool) -> bool:
+    if isinstance(value, dict):
+        return bool(value) and not (flat and not top and all(isinstance(v, str) for v in value.values()))
+    return isinstance(value, list) and bool(value) and not flat
+
+
+def _json(value: object) -> str | None:
+    """JSON text as Spark writes it; None for what is not there."""
+    if isinstance(value, tuple):
+        return value[0]
+    if isinstance(value, str):
+        text = encode_basestring(value)
+        return re.sub(r"(\\\\)|(\\u00..)", lambda m: m[1] or "\\u" + m[2][2:].upper(), text) if "\\u00" in text else text
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    return None if value is _NOTHING else "null" if value is None else "true" if value else "false"
+
+
 def nodes(docs: DataFrame, key: str, top: Column, children: str = "children") -> DataFrame:
     """key, id, parent, level (from 1), place (from 0 among its siblings), weight, node (variant) of nested nodes of any depth.
 

@@ -129,6 +129,50 @@ def test_deep_diff_against_recursion(spark, flat):
             assert text is None or json.loads(text) == dict(plain_leaves(doc, flat=flat))[r.path]
 
 
+def test_deep_diff_of_odd_keys_and_documents(spark):
+    """Null and repeated keys, null documents, ambiguous and empty names, many levels: as a join of leaves by key and path."""
+    deep = lambda v, n: {"d": deep(v, n - 1)} if n else [v, {}]
+    one = [(None, {"a": 1}), (None, {"a": 1}), (1, {"a.b": 1, "c": 2}), (2, {"": {"x": 1}, "x": 2}), (3, {"a": 1, "b": 2}), (3, {"a": 2}), (4, None), (5, deep(1, 9)), (6, {"a": []}), (7, {"a": {"b": [1, 2]}}), (8, 5), (9, {"a": "x. \"y\": [z"}), (10, {"q": 1})]
+    two = [(None, {"a": 1}), (1, {"a": {"b": 1}, "c": 3}), (2, {"": {"x": 1}, "x": 3}), (3, {"a": 1}), (3, {"a": 3}), (4, {"a": 1}), (5, deep(2, 9)), (6, {"a": {}}), (7, {"a": [{"b": 1}, 2]}), (8, [5]), (9, {"a": "x"}), (11, {"q": [[1]]})]
+    frame = lambda rows: spark.createDataFrame([(k, None if d is None else json.dumps(d)) for k, d in rows], "k int, j string").select("k", F.parse_json("j").alias("doc"))
+    plain = []
+    a = [(k, p, json.dumps(v, separators=(",", ":"))) for k, d in one if d is not None for p, v in plain_leaves(d)]
+    b = [(k, p, json.dumps(v, separators=(",", ":"))) for k, d in two if d is not None for p, v in plain_leaves(d)]
+    same = lambda x, y: x[0] is not None and x[:2] == y[:2]
+    for x in a:
+        plain += [(*x[:2], "changed", x[2], y[2]) for y in b if same(x, y) and x[2] != y[2]]
+        plain += [] if any(same(x, y) for y in b) else [(*x[:2], "removed", x[2], None)]
+    plain += [(*y[:2], "added", None, y[2]) for y in b if not any(same(x, y) for x in a)]
+    assert sorted(map(str, map(tuple, nested.deep_diff(frame(one), frame(two), "k", "doc").collect()))) == sorted(map(str, plain))
+
+
+def test_deep_diff_writes_values_as_spark_does(spark):
+    strings = [*map(chr, range(1, 0x80)), "\\u001f", "\\\\u00ab\x1f", "é\u2028\U0001f600", "x\x00y"]
+    numbers = ["1", "-0", "1.50", "1e300", "-2.5E-7", "12345678901234567890123456789", "true", "null", "[]", "{}"]
+    texts = [*map(json.dumps, strings), *numbers, '[[1.0,"\\u001f"],{"b":1,"a":{}}]']
+    one = spark.createDataFrame([(i, json.dumps({"v": 0})[:-2] + t + "}") for i, t in enumerate(texts)], "k int, j string").select("k", F.parse_json("j").alias("doc"))
+    two = one.select("k", F.parse_json(F.lit('{"w": 1}')).alias("doc"))
+    for flat in (False, True):
+        plain = nested.leaves(one, "k", "doc", flat).select("k", "path", F.lit("removed"), F.to_json("value")).collect()
+        found = nested.deep_diff(one, two, "k", "doc", flat).filter("kind <> 'added'").select("k", "path", "kind", "current").collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, plain))
+
+
+def test_deep_diff_stores_only_differences(spark, monkeypatch):
+    docs = spark.range(200).select("id", F.parse_json(F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(i.alias("n"))).alias("l"), "id"))).alias("doc"))
+    other = docs.withColumn("doc", F.when(F.col("id") % 10 == 0, F.parse_json(F.regexp_replace(F.to_json("doc"), '"n":7}', '"n":0}'))).otherwise(F.col("doc")))
+    stored, whole = [], type(docs).checkpoint
+
+    def counted(self, *args):
+        stored.append(whole(self, *args))
+        return stored[-1]
+
+    monkeypatch.setattr(type(docs), "checkpoint", counted)
+    found = nested.deep_diff(docs, other, "id", "doc").collect()
+    assert sorted(map(tuple, found)) == [(k, "l[6].n", "changed", "7", "0") for k in range(0, 200, 10)]
+    assert sum(s.count() for s in stored) == len(found)
+
+
 def plain_nodes(items, parent, level=1):
     out = []
     for place, item in enumerate(items):
