@@ -25,7 +25,7 @@ def order_documents(spark, sf_dir):
     # both documents are made of one list, so that the lines are shuffled once
     sums = read(spark, sf_dir, "lineitem").groupBy(k.alias("k")).agg(F.count_if(F.col("l_returnflag") == "A").alias("a"), F.array_sort(F.collect_list(line)).alias("one"))
     two = F.transform(F.filter("one", lambda x: x.n != 4), lambda x: F.struct(x.n.alias("n"), (x.q + F.when(x.n == 2, 1).otherwise(0)).alias("q"), x.f.alias("f")))
-    document = lambda mark, lines: F.parse_json(F.to_json(F.struct(F.struct("a", mark.alias("n")).alias("flags"), lines.alias("lines")), {"ignoreNullFields": "false"})).alias("doc")
+    document = lambda mark, lines: F.to_variant_object(F.struct(F.struct("a", mark.alias("n")).alias("flags"), lines.alias("lines"))).alias("doc")
     return sums.select("k", document(F.lit(None).cast("long"), F.col("one"))), sums.select("k", document(F.col("k") % 2, two))
 
 
