@@ -99,9 +99,9 @@ def struct(**fields: Column) -> Column:
     return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
 
 
-def per_slice(texts: pa.Array) -> Iterator[tuple[int, int, textnum.Words]]:
+def per_slice(texts: pa.Array, most: int = textnum.SLICE_BYTES) -> Iterator[tuple[int, int, textnum.Words]]:
     """Words of a batch in slices of bounded bytes."""
-    for a, b in textnum.slices(texts):
+    for a, b in textnum.slices(texts, most):
         yield a, b, textnum.words(texts[a:b])
 
 

@@ -149,7 +149,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(2)
-            for a, b in textnum.slices(texts):
+            for a, b in textnum.slices(texts, textnum.WORK_BYTES):
                 w = textnum.words(texts[a:b])
                 raw = texts[a:b].to_pylist() if (w.counts == 0).any() else None
                 c = np.zeros((2, b - a), np.uint64)
@@ -179,7 +179,7 @@ def _kmer_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in textnum.slices(batch.column(1)):
+            for a, b in textnum.slices(batch.column(1), textnum.WORK_BYTES):
                 w = textnum.words(batch.column(1)[a:b])
                 lists = [labelled_kmers(w.hash[w.first[i] : w.first[i + 1]]).view(np.int64) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(lists, pa.list_(pa.int64()))], ["id", "kmers"])

@@ -52,7 +52,7 @@ def _share(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def features(texts: pa.Array) -> np.ndarray:
     """FEATURES numbers a text; see the module text."""
-    parts = [_features(w) for _, _, w in per_slice(texts)]
+    parts = [_features(w) for _, _, w in per_slice(texts, textnum.WORK_BYTES)]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
 
 
@@ -131,7 +131,7 @@ def _at_nodes(rows: DataFrame, model: Ranker) -> dict[int, tuple[np.ndarray, ...
 
     partial = rows.mapInArrow(summed, "label int, node long, v array<double>").groupBy("label", "node").agg(F.collect_list("v").alias("v"))
     added = F.reduce(F.slice("v", 2, F.size("v")), F.col("v")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
-    found = partial.select("label", "node", added.alias("v")).orderBy("label", "node").collect()
+    found = sorted(partial.select("label", "node", added.alias("v")).collect(), key=lambda r: (r.label, r.node))
     out = {}
     for label in (0, 1):
         v = np.array([r.v for r in found if r.label == label])

@@ -75,7 +75,7 @@ def unit_digests(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             ids, hashes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2)
-            for a, b in textnum.slices(texts):
+            for a, b in textnum.slices(texts, textnum.WORK_BYTES):
                 u = Units(textnum.words(texts[a:b]))
                 keep = ~u.earlier_here()
                 unit = np.arange(len(u.owner)) - u.first[u.owner]
@@ -99,7 +99,7 @@ def _remove(text: Column, units: Column, min_words: int) -> Column:
     @F.arrow_udf(_TYPE)
     def removed(texts: pa.Array, marks: pa.Array) -> pa.Array:
         out = []
-        for a, b in textnum.slices(texts):
+        for a, b in textnum.slices(texts, textnum.WORK_BYTES):
             out += _removed(texts[a:b], marks[a:b], min_words)
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in out], pa.string()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3)), pa.array([r[4] for r in out], pa.string())],

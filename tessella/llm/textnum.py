@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+#: For work that leaves nothing but a few numbers or rows a text: some 60 bytes of memory are needed a byte of a slice.
+WORK_BYTES = 500_000
 
 _byte = np.arange(256)
 WORD_BYTE = ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128)
@@ -87,7 +89,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes, at least one row each, so that working memory is bounded."""
-    _, at = buffers(texts)
+    at = buffers(texts)[1]  # not the bytes: they are a copy where a text is null
     row, n = 0, len(texts)
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)

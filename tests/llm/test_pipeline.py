@@ -31,6 +31,34 @@ def test_stages_on_an_empty_table(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() == 0
 
 
+def test_workers_need_little_memory(spark, sf_dir):
+    """Of long texts a worker gets some MB at a time, and the classifier needs a small multiple of that."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessella.llm import quality
+
+    own = spark.newSession()
+    docs = own.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in pipeline.STAGES[:4]:
+        own.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(own, docs, sf_dir)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+        long = own.range(40, numPartitions=1).selectExpr("repeat('some words ', 50000) AS text")
+        assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 10_000_000
+    texts = pa.array(["some words of a text, then more. " * 100] * 1000)
+    tracemalloc.start()
+    x = quality.features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == 1000 and peak < 50_000_000
+
+
 def _words(text):
     import re
 
